@@ -6,19 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modalgraph.llm import packing
+from modalgraph.llm import near_dups, packing, quality_classifier, quality_rules
 from modalgraph.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality_classifier.keep(docs, quality_classifier.fit(docs))
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the trusted ids are those of the labels beside the input."""
+    trusted = quality_rules.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.keep(docs, quality_rules.fit(docs, trusted))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return near_dups.keep(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", best_fit_packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier_stage),
+    ("quality_rules", quality_rules_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 #: SQL can express neither the fitted models nor the tokenizer; the stages are tested against brute force instead.
 ORACLE_SQL = None

@@ -85,10 +85,13 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a run of texts: ``begin``/``end`` byte places, ``first`` word of each text (n + 1), ``doc`` of each word."""
+    """Words of a run of texts: ``begin``/``end`` byte places, ``first`` word of each text (n + 1), ``doc`` of each word.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        ink = ~_SPACE[raw]
+    ``ink`` marks the bytes of words; other marks cut the texts into other runs, as into lines.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, ink: np.ndarray | None = None):
+        ink = ~_SPACE[raw] if ink is None else ink
         full = offsets[:-1] < offsets[1:]
         opens = ink.copy()
         opens[1:] &= ~ink[:-1]
@@ -147,3 +150,18 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums over [first[i], first[i + 1]) for each i, empty runs included."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def within(places: int, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of ``width`` over items dealt by ``first`` to texts: which lie in one text, and the first window of each text."""
+    inside = np.ones(max(0, places - width + 1), bool)
+    for i in range(1, width):
+        at = first[1:-1] - i
+        inside[at[(at >= 0) & (at < len(inside))]] = False
+    counts = np.maximum(0, np.diff(first) - width + 1)
+    return inside, np.concatenate([[0], np.cumsum(counts)])
+
+
+def in_text(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only for equal keys of one text."""
+    return mix(keys + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
