@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, near_dups, packing, quality_classifier, quality_rules, token_files
+from . import lattice_lm, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op3_token_files": token_files.op3_token_files,
     "op5_near_dups": near_dups.op5_near_dups,
     "op6_lattice_lm": lattice_lm.op6_lattice_lm,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
