@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files
+from . import byte_bpe, lattice_lm, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_url_filters": url_filters.op2_url_filters,
     "op3_token_files": token_files.op3_token_files,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_near_dups": near_dups.op5_near_dups,
     "op6_lattice_lm": lattice_lm.op6_lattice_lm,
     "op7_order_minhash": order_minhash.op7_order_minhash,
