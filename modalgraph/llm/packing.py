@@ -39,7 +39,7 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     for rows, ids in encoded(batches, tokenizer, end_id, "text"):
-        out = [(d, i, a, n, zlib.crc32(x[4 * a : 4 * (a + n)])) for d, x in zip(rows.column(0).to_pylist(), ids, strict=True) for i, (a, n) in enumerate(cut(len(x) // 4, size))]
+        out = [(d, i, a, n, zlib.crc32(x[a : a + n].astype("<u4"))) for d, x in zip(rows.column(0).to_pylist(), ids, strict=True) for i, (a, n) in enumerate(cut(len(x), size))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

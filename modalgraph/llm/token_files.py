@@ -108,8 +108,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
             files.create_dir(root, recursive=True)
             sink = files.open_output_stream(own)
             writer = Writer(sink, wide=wide)
-        places = [writer.append(np.frombuffer(x, "<u4")) for x in ids]
-        yield pa.record_batch([pa.array([part] * len(ids), pa.int32()), rows.column(0), pa.array(places, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["part", "doc_id", "first", "n_tokens"])
+        places = [writer.append(x) for x in ids]
+        yield pa.record_batch([pa.array([part] * len(ids), pa.int32()), rows.column(0), pa.array(places, pa.int64()), pa.array([len(x) for x in ids], pa.int64())], names=["part", "doc_id", "first", "n_tokens"])
     if writer:
         writer.close()
         sink.close()

@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 
-#: Fixed value: the splitting pattern of the byte-level pre-tokenizer that the vocabulary file names.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .common import chunks
+
+#: Letters and numbers among the characters up to U+024F.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+#: The byte-level pre-tokenizer's splits, for texts of usual characters.
+_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Texts with characters beyond these are encoded whole by the library, as Unicode tables differ between libraries.
-_UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-›€]")
-_SPLIT = regex.compile(SPLIT)
-_KEEP = 400_000
+_UNUSUAL = re.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-›€]")
+#: Pre-tokens kept by a worker before it starts anew.
+KEEP = 600_000
+
+
+class _Known(dict):
+    """Numbers of pre-tokens; one asked for the first time gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.waiting.append(piece)
+        return n
 
 
 class CachedTokenizer:
@@ -26,29 +42,56 @@ class CachedTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as bytes."""
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        known = self.known
-        split = [[] if not t or _UNUSUAL.search(t) else _SPLIT.findall(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in known})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.ends = _Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        new = self.known.waiting
+        if not new:
+            return
+        ids, ends, base = [self.ids], [self.ends], len(self.ids)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) if pieces else self._whole(text) for text, pieces in zip(texts, split, strict=True)]
+            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            ends.append(base + np.searchsorted(np.array(got.word_ids), np.arange(len(some)), side="right"))
+            base += len(ids[-1])
+        self.ids, self.ends, self.known.waiting = np.concatenate(ids), np.concatenate(ends), []
 
-    def _whole(self, text: str | None) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.known) > KEEP:
+            self._forget()
+        whole = [bool(t and _UNUSUAL.search(t)) for t in texts]
+        split = [[] if w or not t else _SPLIT.findall(t) for t, w in zip(texts, whole, strict=True)]
+        counts = np.array([len(s) for s in split])
+        number = np.fromiter((n for s in split for n in map(self.known.__getitem__, s)), np.int64, int(counts.sum()))
+        self._learn()
+        begin = self.ends[number]
+        size = self.ends[number + 1] - begin
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
+        return [self._whole(t) if w else ids[a:b] for t, w, a, b in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+_LOADED: dict[str, CachedTokenizer] = {}
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Chunks of the batches with each row's ids, the end id appended."""
-    from .common import chunks
 
-    tokenizer, end = CachedTokenizer(path), np.array([end_id], "<u4").tobytes()
+def loaded(path: str) -> CachedTokenizer:
+    """The worker's own tokenizer; its cache lives as long as the worker."""
+    if path not in _LOADED:
+        _LOADED[path] = CachedTokenizer(path)
+    return _LOADED[path]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Chunks of the batches with each row's ids, the end id appended."""
+    tokenizer, end = loaded(path), np.array([end_id], np.uint32)
     for part in chunks(batches, text):
-        yield part, [ids + end for ids in tokenizer.encode(part.column(text).to_pylist())]
+        yield part, [np.append(ids, end) for ids in tokenizer.encode(part.column(text).to_pylist())]
