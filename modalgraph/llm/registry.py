@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, lattice_lm, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files, url_filters
+from . import byte_bpe, lattice_lm, licenses, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op10_licenses": licenses.op10_licenses,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_token_files": token_files.op3_token_files,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
