@@ -6,9 +6,11 @@ register keeps the shingle that arrived first, and a process ends when it can no
 on a register with the probability Jaccard similarity of their weighted shingles.  Bands of registers are hashed to buckets.
 
 Texts with equal word sequences are merged first, so a group of copies is one text from then on.  Every text of a bucket is
-compared with the bucket's least id; buckets whose texts are then not yet in one class have the pairs across classes compared
-too, so no link between bucket mates is lost and no pair inside a class is made.  A comparison computes the similarity of all
-shingles and links at ``SIMILARITY`` or more; classes are the connected components of the links.
+compared with the bucket's least id.  Buckets whose other texts are then not yet in one class let a few more of their texts meet
+those of other classes.  What is still open after that is compared in full: the texts outside a bucket's largest class, in
+blocks, meet all texts of the bucket, and a task returns no pairs but the few links that join classes.  So no link between
+bucket mates is lost, a task holds a block and a part of a bucket, and rows grow with the texts.  A comparison computes the
+similarity of all shingles and links at ``SIMILARITY`` or more; classes are the connected components of the links.
 
 Defined results: texts without words (null texts included) are copies of each other; the class id is the least doc_id of the
 class; rows with a null doc_id take the class of their copies, or null; repeated rows of one doc_id are one document; an empty
@@ -32,6 +34,10 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 BROADCAST_IDS = 500_000
 #: Comparisons with one text are dealt to a task of their own for each so many.
 PER_TASK = 512
+#: Rounds in which one more text of each open bucket meets the texts of other classes in it.
+LEADERS = 2
+#: Texts of a block when classes of a bucket are compared.
+BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
@@ -156,6 +162,91 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.select("center", "member", "text").mapInArrow(_compare, "a long, b long")
 
 
+def _joining(block: list[tuple[int, str, int, str]]) -> list[tuple[int, int]]:
+    """Links between different classes of two blocks of texts (side, class, id, text): of each two classes at most one.
+
+    Shared shingles are counted for all pairs at once, which is the similarity where no shingle repeats in a text; where some
+    do, pairs are compared by weight until their classes are joined.
+    """
+    side, label, rep, text = zip(*block, strict=True)
+    s, side = Shingles(pa.array(text, pa.string())), np.array(side)
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if side.any() else a
+    _, which, many = np.unique(s.key, return_inverse=True, return_counts=True)
+    both = many[which] > 1
+    columns, doc = np.unique(which[both], return_inverse=True)[1], s.doc[both]
+    shared, wide = np.zeros((len(a), len(b)), np.float32), max(1, (2 << 20) // len(block))
+    for low in range(0, int(columns.max(initial=-1)) + 1, wide):
+        own = (columns >= low) & (columns < low + wide)
+        table = np.zeros((len(block), wide), np.float32)
+        table[doc[own], columns[own] - low] = 1
+        shared += table[a] @ table[b].T
+    size = np.diff(s.first).astype(np.float32)
+    alike = shared / np.maximum(1, size[a][:, None] + size[b][None, :] - shared)
+    plain = np.array([s.of(i)[1].max(initial=1) == 1 for i in range(len(block))])
+    names = np.unique(np.array(label), return_inverse=True)[1]
+    root = list(range(int(names.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    exact = plain[a][:, None] & plain[b][None, :]
+    rows, cols = np.nonzero((shared > 0) & (names[a][:, None] != names[b][None, :]) & (~exact | (alike >= SIMILARITY - 1e-6)))
+    links = []
+    for k in np.argsort(-alike[rows, cols], kind="stable").tolist():
+        i, j = int(a[rows[k]]), int(b[cols[k]])
+        x, y = find(int(names[i])), find(int(names[j]))
+        if x != y and (exact[rows[k], cols[k]] or probability_jaccard(s.of(i), s.of(j)) >= SIMILARITY - 1e-9):
+            root[x] = y
+            links.append((rep[i], rep[j]))
+    return links
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket and block: first the block (side 0), then what it is compared with, taken by ``BLOCK`` texts."""
+    at, block, chunk = None, [], []
+
+    def done() -> pa.RecordBatch:
+        links = _joining(block + chunk) if block and chunk else []
+        chunk.clear()
+        return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for rows in batches:
+        keys = zip(rows.column("bucket").to_pylist(), rows.column("block").to_pylist(), strict=True)
+        for key, *row in zip(keys, *(rows.column(c).to_pylist() for c in ("side", "label", "rep", "text")), strict=True):
+            if key != at:
+                yield done()
+                at, block = key, []
+            (chunk if row[0] else block).append(tuple(row))
+            if len(chunk) == BLOCK:
+                yield done()
+    yield done()
+
+
+def _open(mates: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, label) of the buckets with texts of different classes; of buckets with the same texts only one."""
+    placed = _labelled(mates.select("bucket", "rep"), labels)
+    seen = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.sum(F.hash("rep").cast("long")).alias("h2"))
+    once = seen.filter("low != high").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return saved(placed.join(once, "bucket", "left_semi").select("bucket", "rep", "label"), "open-buckets")
+
+
+def across_classes(mates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes within buckets; mates as (bucket, rep, label).
+
+    The texts outside a bucket's largest class, in blocks, meet all texts of the bucket.
+    """
+    largest = mates.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"))
+    outside = mates.join(largest, "bucket").filter(F.col("label") != F.col("top.label")).select("bucket", "rep", "label")
+    blocks = outside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = outside.join(blocks, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "label", "rep")
+    met = mates.join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "label", "rep")
+    rows = held.union(met).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition(partitions(mates.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "side", "rep")
+    return rows.mapInArrow(_compare_blocks, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of the links (a, b), for the nodes that have links.
 
@@ -190,14 +281,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = mates.filter("rep != center").select("center", F.col("rep").alias("member")).distinct()
     links = saved(compared(first, texts), "links")
     labels = components(links)
-    placed = _labelled(mates, labels)
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    open_mates = saved(placed.join(mixed, "bucket", "left_semi"), "open-mates")
-    left, right = open_mates.select("bucket", F.col("rep").alias("center"), F.col("label").alias("la")), open_mates.select("bucket", F.col("rep").alias("member"), F.col("label").alias("lb"))
-    across = left.join(right, "bucket").filter("la != lb and center < member").select("center", "member").distinct().join(first, ["center", "member"], "left_anti")
-    across = saved(across, "pairs")
-    if across.limit(1).count():
-        labels = components(links.union(saved(compared(across, texts), "links")))
+    rest = _open(mates.filter("rep != center"), labels)  # a center has met all its bucket
+    for i in range(LEADERS):
+        if not rest.limit(1).count():
+            break
+        leaders = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "label")).alias("leader"))
+        led = rest.join(leaders, "bucket")
+        pairs = led.filter(F.col("label") != F.col("leader.label")).select(F.col("leader.rep").alias("center"), F.col("rep").alias("member")).distinct()
+        links = saved(links.union(compared(pairs, texts)), "links")
+        labels = components(links)
+        rest = _open(led.filter(F.col("rep") != F.col("leader.rep")), labels)
+    if rest.limit(1).count():
+        labels = components(links.union(across_classes(rest, texts)))
     return _labelled(merged.select("doc_id", "rep"), labels).select("doc_id", F.col("label").alias("class_id"))
 
 
