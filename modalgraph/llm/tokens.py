@@ -66,7 +66,7 @@ class CachedTokenizer:
             self._forget()
         whole = [bool(t and _UNUSUAL.search(t)) for t in texts]
         split = [[] if w or not t else _SPLIT.findall(t) for t, w in zip(texts, whole, strict=True)]
-        counts = np.array([len(s) for s in split])
+        counts = np.array([len(s) for s in split], np.int64)
         number = np.fromiter((n for s in split for n in map(self.known.__getitem__, s)), np.int64, int(counts.sum()))
         self._learn()
         begin = self.ends[number]

@@ -1,9 +1,10 @@
 """URL filters: host rules, and trust and distrust spread over the link graph for the hosts no rule decides.
 
-Hosts are linked by the absolute and relative links of their pages, an edge weighing the share of the host's links.  Personalised
+Hosts are linked by the links of their pages to other hosts, an edge weighing its share of the host's links.  Personalised
 PageRank carries trust along the edges from hosts by the share of their pages that an allow rule fits, and distrust against the
-edges (to those that link to them) from hosts by the share that a block rule fits.  A page that no rule fits gets its host's
-verdict: block if distrust exceeds trust by ``MARGIN``, else allow.
+edges (to those that link to them) from hosts by the share that a block rule fits.  Scores are scaled so that a host that no
+edge reaches scores its own share.  A page that no rule fits gets its host's verdict: block if distrust exceeds trust by
+``MARGIN``, else allow.
 
 Edges are counted once for each pair of hosts before anything is joined, so a host that holds a third of the pages is one row.
 Scores pass from round to round through tables in the shared folder.
@@ -44,12 +45,12 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(source, target, links): links between hosts, counted; pages as (host, html)."""
+    """(source, target, links): links between different hosts, counted; pages as (host, html)."""
     found = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]*)"), 1)
     target = F.when(F.col("link").rlike("(?i)^(https?:)?//"), F.coalesce(F.translate(F.regexp_extract("link", r"//([^/?#]*)", 1), _UPPER, _UPPER.lower()), F.lit("")))
     target = target.when(~F.col("link").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.col("host"))
     links = pages.filter("host != ''").select("host", F.explode(found).alias("link")).select(F.col("host").alias("source"), target.alias("target"))
-    return links.filter("target != ''").groupBy("source", "target").agg(F.count(F.lit(1)).alias("links"))
+    return links.filter("target != '' and target != source").groupBy("source", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
@@ -64,7 +65,7 @@ def spread(edges: DataFrame, seeds: DataFrame, sweeps: int = SWEEPS) -> DataFram
     scores = base.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     for i in range(1, sweeps + 1):
         moved = flows.join(scores, flows["at"] == scores["host"]).groupBy("to").agg(F.sum(F.col("ahead") * F.col("trust")).alias("t"), F.sum(F.col("back") * F.col("distrust")).alias("d"))
-        mixed = lambda seed, got: (1 - FOLLOW) * F.col(seed) + FOLLOW * F.coalesce(F.col(got), F.lit(0.0))
+        mixed = lambda seed, got: F.col(seed) + FOLLOW * F.coalesce(F.col(got), F.lit(0.0))
         scores = base.join(moved, base["host"] == moved["to"], "left").select("host", mixed("trusted", "t").alias("trust"), mixed("blocked", "d").alias("distrust"))
         if i % KEPT_EVERY == 0 or i == sweeps:
             scores = saved(scores, "scores")
