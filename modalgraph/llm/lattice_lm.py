@@ -1,14 +1,19 @@
 """Language-model scoring by subword lattices.
 
-The pieces of an existing vocabulary, each with a probability of its own, are drawn one after another, an end piece closing a
-text.  A word (after a word-start mark) can be spelled by many piece sequences: a forward recursion in log space adds up the
-probabilities of all its segmentations, and a text's probability is the product over its words and the end.  Characters that
-are no piece are spelled by bytes.  The probabilities start from the order of the vocabulary's own scores and are re-estimated
-by expectation-maximisation (forward-backward) over the counts of all training words.
+The pieces of an existing vocabulary, each with a probability of its own, spell words after a word-start mark.  A word can be
+spelled by many piece sequences: a forward recursion in log space adds up the probabilities of all its segmentations.  A word
+seen in training is a piece too, with its discounted frequency; what the discount leaves over weighs the spelled probability,
+so a word's probability is the sum over all ways to write it, as one piece or as many.  A text's probability is the product over
+its words and the end.  Characters that are no piece are spelled by bytes.  Piece probabilities start from the order of the
+vocabulary's own scores and are re-estimated by expectation-maximisation (forward-backward) over the counts of training words.
 
-Words are counted and scored once for each different word, in a table dealt by word.  Words that make up at least
-1 / ``FREQUENT`` of all words, of which there can be no more than ``FREQUENT``, are scored where the text is; the other words of
-each text meet the table in a join whose keys are therefore never hot.  Words are joined by a 64-bit hash.
+Corpora mix languages and styles, so there are a few classes of texts, each with probabilities of its own: a mixture of word
+multinomials is fitted to a bounded sample of training texts (``SAMPLE`` at most, chosen by hash), every text is put into its
+likeliest class, and its score is the probability of the class times that of the text in it.  All counts cover all texts.
+
+Words are counted and scored once for each class, in a table dealt by word.  Words that make up at least 1 / ``FREQUENT`` of all
+words, of which there can be no more than ``FREQUENT``, are scored where the text is; the other words of each text meet the
+table in a join whose keys are therefore never hot.  Words are joined by a 64-bit hash.
 
 Beside the model's score there is a base score: add-one smoothed word frequencies of the training texts.
 
@@ -25,12 +30,14 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, lowered, mix, saved, sums, text_bytes
 
-FREQUENT, ROUNDS, PRIOR = 20_000, 2, 0.1
+FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 0.1, 0.75
+#: Classes of texts, buckets of their words, and texts of the sample that the classes are fitted to.
+CLASSES, BUCKETS, SAMPLE = 6, 1 << 12, 2_000
 FOLDS, HELD_OUT = 7, 2
 #: The mark of a word's start in the vocabulary's pieces.
 START = "▁"
@@ -151,63 +158,161 @@ def word_logs(words: list[str], table: Pieces, logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different words of each chunk with their counts in all and in training texts."""
+class Mixture:
+    """Classes of texts: a multinomial over hashed words for each."""
+
+    def __init__(self, counts: np.ndarray, k: int = CLASSES, rounds: int = 25):
+        """Fits to rows of bucket counts; the first row and then those least like any chosen one start a class."""
+        self.prior, self.logs = np.zeros(1), np.full((1, BUCKETS), -math.log(BUCKETS))
+        if not len(counts):
+            return
+        unit = counts / np.maximum(1e-9, np.linalg.norm(counts, axis=1, keepdims=True))
+        chosen = [int(counts.sum(1).argmax())]
+        nearest = unit @ unit[chosen[0]]
+        while len(chosen) < min(k, len(counts)):
+            chosen.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+        share = counts[chosen] + counts.mean(0) + 1e-3
+        prior = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(rounds):
+            logs = np.log(share / share.sum(1, keepdims=True))
+            post = counts @ logs.T + np.log(prior)
+            post = np.exp(post - post.max(1, keepdims=True))
+            post /= post.sum(1, keepdims=True)
+            prior = (post.sum(0) + 1) / (len(counts) + post.shape[1])
+            share = post.T @ counts + 0.1
+        self.prior, self.logs = np.log(prior), np.log(share / share.sum(1, keepdims=True))
+
+    def classes(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The likeliest class of each text from the hashes of its words."""
+        bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        return np.stack([sums(row[bucket], first) + p for row, p in zip(self.logs, self.prior, strict=True)]).argmax(0)
+
+
+def _keys(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Hashes of words within classes."""
+    return mix(hashes + (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in chunks(batches, "text"):
+        raw, offsets = text_bytes(rows.column("text"))
+        words = Words(raw, offsets)
+        bucket = (words.hashes(lowered(raw)) % np.uint64(BUCKETS)).astype(np.int64)
+        out = [np.bincount(bucket[a:b], minlength=BUCKETS).astype("<f4").tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        yield pa.record_batch([rows.column("key"), pa.array(out, pa.binary())], names=["key", "counts"])
+
+
+def fit_classes(rows: DataFrame, sample: int = SAMPLE) -> Mixture:
+    """Classes of a sample of the training texts among (doc_id, text, training)."""
+    keyed = rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text")
+    cut = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key")).head()[0]
+    if cut is None:
+        return Mixture(np.zeros((0, BUCKETS)))
+    got = keyed.filter(F.col("key") <= cut).mapInArrow(_sample, "key bigint, counts binary").orderBy("key", F.xxhash64("counts")).limit(sample).collect()
+    counts = np.empty((len(got), BUCKETS), np.float32)
+    for row, r in zip(counts, got, strict=True):
+        row[:] = np.frombuffer(r["counts"], "<f4")
+    return Mixture(counts)
+
+
+def _count(batches: Iterator[pa.RecordBatch], mixture: Mixture) -> Iterator[pa.RecordBatch]:
+    """Different words of each class in a chunk with their counts in all and in training texts; ends as empty words."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         raw = lowered(raw)
         words = Words(raw, offsets)
-        hashes, at, which = np.unique(words.hashes(raw), return_index=True, return_inverse=True)
-        trained = rows.column("training").to_numpy(zero_copy_only=False)[words.doc]
+        plain = words.hashes(raw)
+        kind = mixture.classes(plain, words.first)
+        of_word = kind[words.doc]
+        keys, at, which = np.unique(_keys(plain, of_word), return_index=True, return_inverse=True)
+        trained = rows.column("training").to_numpy(zero_copy_only=False)
         begin, end = words.begin[at], words.end[at]
         data = raw.tobytes()
-        text = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
-        yield pa.record_batch([pa.array(hashes.view(np.int64)), text, pa.array(np.bincount(which, minlength=len(hashes))), pa.array(np.bincount(which, trained, len(hashes)).astype(np.int64))], names=["hash", "word", "n", "c"])
+        text = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        ends = np.unique(kind)
+        key = np.concatenate([keys, _keys(np.zeros(len(ends), np.uint64), ends)]).view(np.int64)
+        hashes = np.concatenate([plain[at], np.zeros(len(ends), np.uint64)]).view(np.int64)
+        n = np.concatenate([np.bincount(which, minlength=len(keys)), np.bincount(kind)[ends]])
+        c = np.concatenate([np.bincount(which, trained[words.doc], len(keys)), np.bincount(kind, trained)[ends]]).astype(np.int64)
+        yield pa.record_batch([pa.array(key), pa.array(hashes), pa.array(np.concatenate([of_word[at], ends]).astype(np.int32)), pa.array([*text, *[b""] * len(ends)], pa.binary()).cast(pa.string()), pa.array(n), pa.array(c)], names=["key", "hash", "kind", "word", "n", "c"])
 
 
-def _expect(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    table, uses = pieces(path), np.zeros(len(logs))
-    for rows in batches:
-        weight = rows.column("c").to_numpy().astype(float)
-        for own, lattice in lattices(rows.column("word").to_pylist(), table):
-            uses += lattice.expected(logs, weight[own])
-    met = np.flatnonzero(uses)
-    yield pa.record_batch([pa.array(met, pa.int32()), pa.array(uses[met])], names=["piece", "uses"])
+def _by_kind(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    kind, word = rows.column("kind").to_numpy(), rows.column("word").to_pylist()
+    for k in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == k)
+        yield k, own, [word[i] for i in own.tolist()]
 
 
-def _spell(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _expect(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    table, uses = pieces(path), np.zeros(logs.shape)
     for rows in batches:
-        log = word_logs(rows.column("word").to_pylist(), pieces(path), logs) / math.log(10)
-        yield pa.record_batch([*(rows.column(c) for c in ("hash", "n", "c")), pa.array(log)], names=["hash", "n", "c", "log"])
+        weight = rows.column("c").to_numpy().astype(float)
+        for k, own, words in _by_kind(rows):
+            for part, lattice in lattices(words, table):
+                uses[k] += lattice.expected(logs[k], weight[own[part]])
+    kind, piece = np.nonzero(uses)
+    yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[kind, piece])], names=["kind", "piece", "uses"])
 
 
-def fit(counted: DataFrame, docs_trained: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural logs of the piece probabilities from the training counts of words (word, c)."""
-    logs = pieces(path).first_logs()
-    trained = counted.filter("c > 0").select("word", "c")
+def fit(counted: DataFrame, ends: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """By class, natural logs of the piece probabilities from the training counts of words (kind, word, c) and of ends."""
+    logs = np.repeat(pieces(path).first_logs()[None], len(ends), 0)
+    trained = counted.filter("c > 0 and word <> ''").select("kind", "word", "c")
     for _ in range(rounds):
-        got = trained.mapInArrow(partial(_expect, path=path, logs=logs), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        if not got.num_rows:
-            break
-        uses = np.full(len(logs), PRIOR)
-        uses[got.column("piece").to_numpy()] += got.column("uses").to_numpy()
-        uses[pieces(path).end] += docs_trained
-        logs = np.log(uses / uses.sum())
+        got = trained.mapInArrow(partial(_expect, path=path, logs=logs), "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        uses = np.full(logs.shape, PRIOR)
+        uses[got.column("kind").to_numpy(), got.column("piece").to_numpy()] += got.column("uses").to_numpy()
+        uses[:, pieces(path).end] += ends
+        met = np.unique(got.column("kind").to_numpy())
+        logs[met] = np.log(uses / uses.sum(1, keepdims=True))[met]
     return logs
 
 
-def _score(batches: Iterator[pa.RecordBatch], often: np.ndarray, base: np.ndarray, log: np.ndarray, known: np.ndarray, end: tuple[float, float, int]) -> Iterator[pa.RecordBatch]:
+class Totals:
+    """By class: training words, different ones among them, and ends."""
+
+    def __init__(self, words: np.ndarray, kinds: np.ndarray, ends: np.ndarray):
+        self.words, self.kinds, self.ends = words.astype(float), kinds.astype(float), ends.astype(float)
+
+    def word(self, k: int, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Natural log of a word's probability from its training count and the log of its spelled probability."""
+        n, v, d = self.words[k], self.kinds[k], self.ends[k]
+        if not n:
+            return spelled
+        left = math.log(DISCOUNT * v / n) + spelled
+        with np.errstate(divide="ignore"):
+            return math.log(n / (n + d)) + np.logaddexp(np.log(np.maximum(0, c - DISCOUNT) / n), left)
+
+    def end(self, k: int, spelled: float) -> float:
+        """Natural log of the class and of the end of a text in it."""
+        own = math.log(self.ends[k] / (self.words[k] + self.ends[k])) if self.words[k] and self.ends[k] else spelled
+        return own + math.log((self.ends[k] + 1) / (self.ends.sum() + len(self.ends)))
+
+
+def _spell(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray, totals: Totals) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        log, c = np.zeros(rows.num_rows), rows.column("c").to_numpy()
+        for k, own, words in _by_kind(rows):
+            log[own] = totals.word(k, c[own], word_logs(words, pieces(path), logs[k])) / math.log(10)
+        yield pa.record_batch([*(rows.column(x) for x in ("key", "n", "everywhere")), pa.array(log)], names=["key", "n", "c", "log"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], mixture: Mixture, often: np.ndarray, base: np.ndarray, log: np.ndarray, known: np.ndarray, end: tuple[float, int], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each text a row with what its frequent words and its end add, and a row for each of its other words."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         raw = lowered(raw)
         words = Words(raw, offsets)
-        hashes = words.hashes(raw)
-        at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
-        near = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+        plain = words.hashes(raw)
+        kind = mixture.classes(plain, words.first)
+        keys = _keys(plain, kind[words.doc])
+        at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
+        near = often[at] == keys if len(often) else np.zeros(len(keys), bool)
         part = [sums(np.where(near, x[at], 0), words.first) if len(often) else np.zeros(rows.num_rows) for x in (base, log, known)]
         row = rows.column("row").to_numpy()
-        far, doc = hashes[~near], words.doc[~near]
+        far, doc = keys[~near], words.doc[~near]
         order = np.lexsort((far, doc))
         far, doc = far[order], doc[order]
         heads = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (doc[1:] != doc[:-1])])) if len(far) else np.zeros(0, np.int64)
@@ -218,9 +323,9 @@ def _score(batches: Iterator[pa.RecordBatch], often: np.ndarray, base: np.ndarra
             [
                 pa.array(np.concatenate([row, row[doc[heads]]])), pa.array(key), pa.array(np.concatenate([np.zeros(n, np.int64), many])),
                 pa.concat_arrays([rows.column("doc_id"), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([words.count + 1, empty]).astype(np.int64)),
-                pa.array(np.concatenate([part[2] + end[2], empty]).astype(np.int64)), pa.array(np.concatenate([part[0] + end[0], empty])), pa.array(np.concatenate([part[1] + end[1], empty])),
+                pa.array(np.concatenate([part[2] + end[1], empty]).astype(np.int64)), pa.array(np.concatenate([part[0] + end[0], empty])), pa.array(np.concatenate([part[1] + ends[kind], empty])),
             ],
-            names=["row", "hash", "many", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+            names=["row", "key", "many", "doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
 
 
@@ -228,21 +333,31 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     fold = F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold != HELD_OUT).alias("training"))
-    counted = saved(rows.select("text", "training").mapInArrow(_count, "hash long, word string, n long, c long").groupBy("hash", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
-    docs_trained = rows.filter("training").count()
-    n_all, n_words, v = (x or 0 for x in counted.agg(F.sum("n"), F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).head())
-    tokens, kinds = n_words + docs_trained, v + (docs_trained > 0)
-    logs = fit(counted, docs_trained, path)
-    spelled = saved(counted.mapInArrow(partial(_spell, path=path, logs=logs), "hash long, n long, c long, log double"), "spelled")
-    term = F.log10((F.col("c") + 1.0) / F.lit(float(tokens + kinds + 1)))
-    top = spelled.filter(F.col("n") * FREQUENT >= n_all).select("hash", "c", "log", term.alias("base")).toArrow()
-    often = top.column("hash").to_numpy().view(np.uint64)
+    mixture = fit_classes(rows)
+    pairs = rows.select("text", "training").mapInArrow(partial(_count, mixture=mixture), "key long, hash long, kind int, word string, n long, c long")
+    summed = pairs.groupBy("key", "hash", "kind", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    # a word has a row for each class at most
+    counted = saved(summed.withColumn("everywhere", F.sum("c").over(Window.partitionBy("hash"))).withColumn("first", F.row_number().over(Window.partitionBy("hash").orderBy("kind")) == 1), "words")
+    word = F.col("word") != ""
+    of_kind = counted.groupBy("kind").agg(F.sum(F.when(word, F.col("n"))).alias("all"), F.sum(F.when(word, F.col("c"))).alias("words"), F.count_if(word & (F.col("c") > 0)).alias("kinds"), F.sum(F.when(~word, F.col("c"))).alias("ends"), F.count_if(F.col("first") & (F.col("everywhere") > 0)).alias("different"))
+    got = {r["kind"]: r for r in of_kind.collect()}  # one row for each class
+    size = len(mixture.prior)
+    column = lambda name: np.array([(got[k][name] or 0) if k in got else 0 for k in range(size)])
+    totals = Totals(column("words"), column("kinds"), column("ends"))
+    n_all, tokens, different = int(column("all").sum()), int(totals.words.sum() + totals.ends.sum()), int(column("different").sum())
+    logs = fit(counted, totals.ends, path)
+    spelled = saved(counted.filter(word).select("key", "kind", "word", "n", "c", "everywhere").mapInArrow(partial(_spell, path=path, logs=logs, totals=totals), "key long, n long, c long, log double"), "spelled")
+    term = F.log10((F.col("c") + 1.0) / F.lit(float(tokens + different + 1)))
+    top = spelled.filter(F.col("n") * FREQUENT >= n_all).select("key", "c", "log", term.alias("base")).toArrow()
+    often = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    end = (math.log10((docs_trained + 1) / (tokens + kinds + 1)), float(logs[pieces(path).end]) / math.log(10), int(docs_trained > 0))
-    near = partial(_score, often=often[order], base=top.column("base").to_numpy()[order], log=top.column("log").to_numpy()[order], known=(top.column("c").to_numpy()[order] > 0).astype(np.int64), end=end)
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(near, "row long, hash long, many long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-    rare = spelled.filter(F.col("n") * FREQUENT < n_all).select("hash", (F.col("c") > 0).cast("long").alias("known"), term.alias("base"), "log")
-    met = parts.join(rare, "hash", "left")
+    trained = int(totals.ends.sum())
+    end = (math.log10((trained + 1) / (tokens + different + 1)), int(trained > 0))
+    ends = np.array([totals.end(k, float(logs[k, pieces(path).end])) for k in range(size)]) / math.log(10)
+    near = partial(_score, mixture=mixture, often=often[order], base=top.column("base").to_numpy()[order], log=top.column("log").to_numpy()[order], known=(top.column("c").to_numpy()[order] > 0).astype(np.int64), end=end, ends=ends)
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(near, "row long, key long, many long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    rare = spelled.filter(F.col("n") * FREQUENT < n_all).select("key", (F.col("c") > 0).cast("long").alias("known"), term.alias("base"), "log")
+    met = parts.join(rare, "key", "left")
     added = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -251,7 +366,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         F.sum(F.col("score") + F.col("many") * F.coalesce("log", F.lit(0.0))).alias("score"),
     )
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    return added.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    return added.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lattice_lm(spark, sf_dir: str) -> DataFrame:

@@ -57,10 +57,36 @@ def test_expected_uses_spell_every_word():
 
 def test_training_raises_the_likelihood(spark):
     table = lattice_lm.pieces(PATH)
-    counted = spark.createDataFrame([("therein", 5), ("there", 9), ("in", 20), ("unseen", 0)], "word string, c bigint")
+    counted = spark.createDataFrame([(0, "therein", 5), (0, "there", 9), (0, "in", 20), (0, "unseen", 0), (0, "", 3), (1, "other", 0)], "kind int, word string, c bigint")
     score = lambda logs: sum(c * x for c, x in zip((5, 9, 20), lattice_lm.word_logs(["therein", "there", "in"], table, logs), strict=True))
-    runs = [score(lattice_lm.fit(counted, 3, PATH, rounds)) for rounds in (0, 1, 2, 4)]
+    fitted = [lattice_lm.fit(counted, np.array([3, 0]), PATH, rounds) for rounds in (0, 1, 2, 4)]
+    runs = [score(logs[0]) for logs in fitted]
     assert runs[0] < runs[1] < runs[2] <= runs[3] + 1e-9
+    for logs in fitted:
+        assert np.exp(logs[0]).sum() == pytest.approx(1)
+        assert (logs[1] == table.first_logs()).all()
+
+
+def test_classes_tell_languages_apart():
+    rng = np.random.default_rng(1)
+    share = rng.dirichlet(np.full(lattice_lm.BUCKETS, 0.01), 3)
+    kind = rng.integers(0, 3, 200)
+    counts = np.stack([rng.multinomial(120, share[k]) for k in kind]).astype(np.float32)
+    mixture = lattice_lm.Mixture(counts, k=3)
+    bucket = [np.repeat(np.arange(lattice_lm.BUCKETS), row.astype(int)).astype(np.uint64) for row in counts]
+    got = mixture.classes(np.concatenate(bucket), np.concatenate([[0], np.cumsum([len(b) for b in bucket])]))
+    assert len({(g, k) for g, k in zip(got.tolist(), kind.tolist(), strict=True)}) == 3
+    assert lattice_lm.Mixture(counts[:0]).classes(np.zeros(0, np.uint64), np.zeros(3, np.int64)).tolist() == [0, 0]
+
+
+def test_word_probabilities_stay_within_one():
+    totals = lattice_lm.Totals(np.array([20, 0]), np.array([4, 0]), np.array([5, 0]))
+    counts = np.array([10, 5, 3, 2])
+    spelled = np.log([0.2, 0.1, 0.05, 0.05])
+    seen = np.exp(totals.word(0, counts, spelled)).sum()
+    unseen = np.exp(totals.word(0, np.zeros(1), np.log([0.6])))[0]
+    assert seen + unseen + 5 / 25 == pytest.approx(1)
+    assert totals.word(1, np.zeros(4), spelled) == pytest.approx(spelled)
 
 
 @pytest.mark.parametrize("frequent", [1, 20_000])
@@ -86,16 +112,22 @@ def test_scores_and_counts(spark, odd, odd_rows, monkeypatch, frequent):
     assert all(s < 0 for x in by_id.values() for s in x)
 
 
-def test_a_text_scores_the_sum_of_its_words(spark):
-    docs = spark.createDataFrame([(1, "The cat sat"), (3, "cat cat Zebra"), (4, "zebra")], "doc_id bigint, text string")
+def test_a_text_scores_the_sum_of_its_words(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "fit_classes", lambda rows: lattice_lm.Mixture(np.zeros((0, lattice_lm.BUCKETS))))
+    texts = {1: "The cat sat", 3: "cat cat Zebra", 4: "zebra", 5: "unheardof"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
     table = lattice_lm.pieces(PATH)
-    trained = [d for d in (1, 3, 4) if zlib.crc32(str(d).encode()) % 7 != 2]
-    words = Counter(w.lower() for d, t in ((1, "The cat sat"), (3, "cat cat Zebra"), (4, "zebra")) if d in trained for w in t.split())
-    logs = lattice_lm.fit(spark.createDataFrame(sorted(words.items()), "word string, c bigint"), len(trained), PATH)
+    trained = [d for d in texts if zlib.crc32(str(d).encode()) % 7 != 2]
+    words = Counter(w for d in trained for w in texts[d].lower().split())
+    n, v, d = sum(words.values()), len(words), len(trained)
+    logs = lattice_lm.fit(spark.createDataFrame([(0, w, c) for w, c in sorted(words.items())], "kind int, word string, c bigint"), np.array([d]), PATH)[0]
     got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, PATH).collect()}
-    for d, text in ((1, "the cat sat"), (3, "cat cat zebra"), (4, "zebra")):
-        want = (lattice_lm.word_logs(text.split(), table, logs).sum() + logs[table.end]) / math.log(10)
-        assert got[d] == pytest.approx(want)
+    for i, text in texts.items():
+        total = math.log(d / (n + d))
+        for w in text.lower().split():
+            spelled = math.exp(lattice_lm.word_logs([w], table, logs)[0])
+            total += math.log(n / (n + d) * (max(0, words[w] - 0.75) / n + 0.75 * v / n * spelled))
+        assert got[i] == pytest.approx(total / math.log(10))
 
 
 def test_no_rows(nothing):
