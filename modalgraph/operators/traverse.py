@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import Graph, nodes
@@ -104,23 +106,21 @@ def hubs_and_authorities(graph: Graph, rounds: int = 20, norm: str = "reference"
     A round sums hubs of linking worlds to authorities, divides them by their norm, and does the same for hubs over linked
     worlds.  The norm is the root of the sum of roots, or with ``l2`` of squares; a norm of 0 makes scores NaN.
     """
-    edges, worlds = graph.links.filter("source <> target").select("source", "target"), graph.linked
-    if rounds > 2:
-        edges, worlds = saved(edges, "edges"), saved(worlds, "worlds")
+    edges, worlds = saved(graph.links.filter("source <> target").select("source", "target"), "edges"), saved(graph.linked, "worlds")
     scores = worlds.select("world", F.lit(1.0).alias("auth"), F.lit(1.0).alias("hub"))
 
     def updated(scores: DataFrame, own: str, other: str, at: str, frm: str) -> DataFrame:
         got = edges.join(scores.select(F.col("world").alias(frm), F.col(other).alias("__v")), frm).groupBy(F.col(at).alias("world")).agg(F.sum("__v").alias("__got"))
-        new = scores.drop(own).join(got, "world", "left").withColumn(own, F.coalesce("__got", F.lit(0.0))).drop("__got")
-        size = new.agg(F.sqrt(F.sum(F.sqrt(own) if norm == "reference" else F.col(own) * F.col(own))).alias("__norm"))
-        value = F.when(F.col("__norm") == 0, F.lit(float("nan"))).otherwise(F.col(own) / F.when(F.col("__norm") == 0, 1.0).otherwise(F.col("__norm")))
-        return new.join(F.broadcast(size)).withColumn(own, value).select("world", "auth", "hub")  # one row on the right
-
-    for i in range(1, rounds + 1):
+        new = scores.drop(own).join(got, "world", "left").select("world", other, F.coalesce("__got", F.lit(0.0)).alias(own))
+        seen = Observation()
+        term = F.sqrt(own) if norm == "reference" else F.col(own) * F.col(own)
+        new = saved(new.observe(seen, F.sum(term).alias("total")), "scores")  # the norm is summed while the scores are written
+        size = math.sqrt(seen.get["total"] or 0.0)
+        return new.select("world", *((F.col(c) / size if size else F.lit(math.nan)).alias(c) if c == own else F.col(c) for c in ("auth", "hub")))
+
+    for _ in range(rounds):
         scores = updated(scores, "auth", "hub", "target", "source")
         scores = updated(scores, "hub", "auth", "source", "target")
-        if i % 2 == 0 and i < rounds:
-            scores = saved(scores, "scores")
     return scores
 
 
