@@ -1,4 +1,4 @@
-"""Stemmers after the published Snowball algorithms: English (Porter 2), German, Spanish, Swedish, Norwegian, Danish and Dutch.
+"""Stemmers after the published Snowball algorithms: English (Porter 2), German, French, Spanish, Swedish, Norwegian, Danish, Dutch.
 
 Other languages leave words as they are, as an unknown language does.
 """
@@ -239,6 +239,128 @@ def spanish(word: str) -> str:
     return w.translate(_ACUTE)
 
 
+# French
+
+_FR_V = "aeiouyâàëéêèïîôûù"
+#: Fixed values of the published algorithm: endings of its steps.
+_FR_PLAIN = "ance iqUe isme able iste eux ances iqUes ismes ables istes".split()
+_FR_AGENT = "atrice ateur ation atrices ateurs ations".split()
+_FR_OTHER = "logie logies usion ution usions utions ence ences ement ements ité ités if ive ifs ives eaux aux euse euses issement issements amment emment ment ments".split()
+_FR_I = """îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait
+issant issante issantes issants isse issent isses issez issiez issions issons it""".split()
+_FR_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+_FR_A = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+
+
+def _french_rv(w: str) -> int:
+    if w.startswith(("par", "col", "tap")):
+        return 3
+    if len(w) > 1 and w[0] in _FR_V and w[1] in _FR_V:
+        return min(3, len(w))
+    m = re.search(rf"[{_FR_V}]", w[1:])
+    return 1 + m.end() if m else len(w)
+
+
+def _french_ending(w: str, rv: int, r1: int, r2: int) -> tuple[str, bool]:
+    """(word, whether verb endings are to be tried) after the standard endings."""
+    end = _longest(w, [*_FR_PLAIN, *_FR_AGENT, *_FR_OTHER])
+    if not end:
+        return w, True
+    at = len(w) - len(end)
+    cut = w[:at]
+
+    def less(x: str, more: str, other: str | None = None) -> str:
+        """Takes a further ending off if it is far enough in, or puts another one."""
+        if not x.endswith(more):
+            return x
+        head = x[: -len(more)]
+        return head if len(head) >= r2 else x if other is None else head + other
+
+    if end in _FR_PLAIN:
+        return (cut, False) if at >= r2 else (w, True)
+    if end in _FR_AGENT:
+        return (less(cut, "ic", "iqU"), False) if at >= r2 else (w, True)
+    put = {"logie": "log", "logies": "log", "usion": "u", "ution": "u", "usions": "u", "utions": "u", "ence": "ent", "ences": "ent"}
+    if end in put:
+        return (cut + put[end], False) if at >= r2 else (w, True)
+    if end in ("ement", "ements"):
+        if at < rv:
+            return w, True
+        if cut.endswith("iv"):
+            shorter = less(cut, "iv")
+            return (less(shorter, "at") if shorter != cut else cut), False
+        if cut.endswith("eus"):
+            return (cut[:-3] if at - 3 >= r2 else cut[:-1] + "x" if at - 3 >= r1 else cut), False
+        if cut.endswith(("abl", "iqU")):
+            return (cut[:-3] if at - 3 >= r2 else cut), False
+        if cut.endswith(("ièr", "Ièr")):
+            return (cut[:-3] + "i" if at - 3 >= rv else cut), False
+        return cut, False
+    if end in ("ité", "ités"):
+        if at < r2:
+            return w, True
+        return (less(cut, "abil", "abl") if cut.endswith("abil") else less(cut, "ic", "iqU") if cut.endswith("ic") else less(cut, "iv")), False
+    if end in ("if", "ive", "ifs", "ives"):
+        if at < r2:
+            return w, True
+        shorter = less(cut, "at")
+        return (less(shorter, "ic", "iqU") if shorter != cut else cut), False
+    if end == "eaux":
+        return w[:-1], False
+    if end == "aux":
+        return (cut + "al", False) if at >= r1 else (w, True)
+    if end in ("euse", "euses"):
+        return (cut, False) if at >= r2 else (cut + "eux", False) if at >= r1 else (w, True)
+    if end in ("issement", "issements"):
+        return (cut, False) if at >= r1 and cut and cut[-1] not in _FR_V else (w, True)
+    if end in ("amment", "emment"):
+        return (cut + ("ant" if end == "amment" else "ent"), True) if at >= rv else (w, True)
+    return (cut, True) if at - 1 >= rv and cut[-1] in _FR_V else (w, True)
+
+
+def french(word: str) -> str:
+    v = _FR_V
+    w = re.sub("(?<=q)u", "U", word)
+    w = re.sub(rf"(?<=[{v}])([ui])(?=[{v}])", lambda m: m[1].upper(), w)
+    w = re.sub(rf"(?<=[{v}])y|y(?=[{v}])", "Y", w)
+    rv, r1 = _french_rv(w), _r1(w, v)
+    r2 = _r1(w, v, r1)
+    start = w
+    w, verbs = _french_ending(w, rv, r1, r2)
+    if verbs:
+        before = w
+        end = _longest(w[rv:], _FR_I)
+        at = len(w) - len(end)
+        if end and at - 1 >= rv and w[at - 1] not in v:
+            w = w[:at]
+        if w == before:
+            end = _longest(w[rv:], ["ions", *_FR_E, *_FR_A])
+            at = len(w) - len(end)
+            if end == "ions":
+                w = w[:at] if at >= r2 else w
+            elif end:
+                w = w[:at]
+                if end in _FR_A and w.endswith("e") and at - 1 >= rv:
+                    w = w[:-1]
+    if w != start:
+        w = w[:-1] + "i" if w.endswith("Y") else w[:-1] + "c" if w.endswith("ç") else w
+    else:
+        if w.endswith("s") and len(w) > 1 and w[-2] not in "aiouès":
+            w = w[:-1]
+        end = _longest(w[rv:], ["ion", "ier", "ière", "Ier", "Ière", "e", "ë"])
+        at = len(w) - len(end)
+        if end == "ion":
+            w = w[:at] if at >= r2 and at - 1 >= rv and w[at - 1] in "st" else w
+        elif end == "ë":
+            w = w[:at] if w[:at].endswith("gu") else w
+        elif end:
+            w = w[:at] + ("" if end == "e" else "i")
+    if w.endswith(("enn", "onn", "ett", "ell", "eill")):
+        w = w[:-1]
+    w = re.sub(rf"[éè]([^{v}]+)$", r"e\1", w)
+    return w.lower()
+
+
 # Scandinavian languages and Dutch
 
 
@@ -343,7 +465,7 @@ def dutch(word: str) -> str:
     return w.lower()
 
 
-STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german, "spanish": spanish, "swedish": swedish, "danish": danish, "norwegian": norwegian, "dutch": dutch}
+STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german, "french": french, "spanish": spanish, "swedish": swedish, "danish": danish, "norwegian": norwegian, "dutch": dutch}
 
 
 @lru_cache(maxsize=200_000)

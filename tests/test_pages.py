@@ -53,6 +53,7 @@ def test_stop_words_and_terms():
         ("english", {"consistency": "consist", "knightly": "knight", "generously": "generous", "skies": "sky", "hopping": "hop", "relational": "relat", "happy": "happi", "ties": "tie", "cries": "cri"}),
         ("german", {"aufeinanderfolgenden": "aufeinanderfolg", "häuser": "haus", "kategorischen": "kategor", "katers": "kat", "verträglichkeit": "vertrag"}),
         ("spanish", {"chicharrones": "chicharron", "torneados": "torn", "cheque": "chequ"}),
+        ("french", {"continuellement": "continuel", "majestueusement": "majestu", "continuité": "continu", "mainte": "maint", "chevaux": "cheval", "majorité": "major", "constamment": "const", "parlait": "parl", "finissons": "fin", "maître": "maîtr"}),
         ("swedish", {"jaktkarlarne": "jaktkarl", "klostren": "klostr"}),
         (None, {"anything": "anything"}),
         ("finnish", {"sana": "sana"}),
