@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import chunks, saved, sums
 from .text_stats import TextStats, grams
 
-WIDTH, BITS, SAMPLE = 3, 12, 4_000
+WIDTH, BITS, SAMPLE = 3, 11, 4_000
 #: Byte runs are scaled down so, as there are many and each text has few of them.
 RUN_SCALE = 20.0
 #: Indicators for each of the nine measures.
@@ -123,9 +123,12 @@ def train(features: np.ndarray, labels: np.ndarray, steps: int = 250, ridge: flo
     """Logistic regression on soft labels; features are scaled for the descent and the scale is folded into the weights."""
     if not len(labels):
         return Model(np.zeros(FEATURES), 30.0)
-    mean, scale = features.mean(0), features.std(0) + 1e-4
+    x = features  # scaled in place: the sample is the most that the driver holds
+    mean = x.mean(0, dtype=np.float64).astype(np.float32)
+    x -= mean
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-4)
     scale[: 1 << BITS] *= RUN_SCALE
-    x = ((features - mean) / scale).astype(np.float32)
+    x /= scale
     w, b = np.zeros(x.shape[1], np.float32), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -162,13 +165,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     surveyed = saved(rows.mapInArrow(partial(_survey, cut=-(1 << 63) if keys is None else keys), "pattern string, worded boolean, features binary"), "votes")
     counted = surveyed.filter("worded").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     if not counted:
-        return train(np.zeros((0, FEATURES)), np.zeros(0))
+        return train(np.zeros((0, FEATURES), np.float32), np.zeros(0))
     patterns = np.array([[int(v) for v in r["pattern"]] for r in counted])
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     belief = {r["pattern"]: p for r, p in zip(counted, post.tolist(), strict=True)}
     chosen = surveyed.filter(F.col("features").isNotNull()).select("pattern", "features").orderBy(F.xxhash64("features"), "features").limit(2 * sample).collect()
-    features = np.stack([np.frombuffer(r["features"], "<f4") for r in chosen])
-    return train(features, np.array([belief[r["pattern"]] for r in chosen]))
+    features = np.empty((len(chosen), FEATURES), np.float32)
+    for row, r in zip(features, chosen, strict=True):
+        row[:] = np.frombuffer(r["features"], "<f4")
+    labels = np.array([belief[r["pattern"]] for r in chosen])
+    del chosen
+    return train(features, labels)
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
