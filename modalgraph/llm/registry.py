@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, lattice_lm, licenses, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files, url_filters
+from . import byte_bpe, checking_sql, lattice_lm, licenses, near_dups, order_minhash, packing, quality_classifier, quality_rules, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -21,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": checking_sql.url_filters_sql(),
+    "op10_licenses": checking_sql.licenses_sql(),
+}

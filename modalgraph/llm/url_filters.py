@@ -87,4 +87,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
