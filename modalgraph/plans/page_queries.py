@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import ENGLISH, is_term_column, joined_url, language, soundex_code, stop_words, url_domain, without_last_slash
 from ..model import LAMBDA_TYPES
+from ..operators import lookup
 from ..sources import crawl, pages
 from ..sources.shared import saved
 from .registry import add
@@ -17,6 +18,7 @@ LINKS = f", a AS (SELECT url, {UNESCAPED.format(h='h')} AS h FROM (SELECT url, u
 
 _parsed = lambda d: pages.parsed(d.table("pages"))
 _cut = lambda d: saved(_parsed(d), "parsed")
+_cut_languages = lambda d: saved(_languages(d), "languages")
 
 add("url_domain", lambda d: d.table("pages").select("url", url_domain(F.col("url")).alias("domain")), "", f"SELECT url, {DOMAIN} AS domain FROM pages")
 add("url_key", lambda d: d.table("pages").select("url", without_last_slash(F.col("url")).alias("key"), joined_url(F.col("url"), F.lit("/feed")).alias("joined")), "", "SELECT url, regexp_replace(url, '/$', '') AS key, regexp_replace(url, '/$', '') || '/feed' AS joined FROM pages")
@@ -27,6 +29,16 @@ add("feed_link", lambda d: pages.feed_links(_parsed(d)), "", "SELECT url AS worl
 add("links_rel", lambda d: pages.page_links(_parsed(d)), "g4", None)
 add("links_abs", lambda d: pages.host_links(_parsed(d)), "", f"SELECT DISTINCT {DOMAIN} AS source, {DOMAIN} AS target FROM pages WHERE html LIKE '%<a href=%'")
 add("stem_language", lambda d: pages.page_language(_parsed(d)), "", "SELECT url AS world, language FROM (SELECT url, CASE regexp_extract(html, '<html lang=\"([^\"-]*)', 1) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' END AS language FROM pages) x WHERE language IS NOT NULL")
+_languages = lambda d: pages.page_language(_parsed(d))
+LANGUAGES = "SELECT url AS world, CASE regexp_extract(html, '<html lang=\"([^\"-]*)', 1) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' END AS language FROM pages"
+FIRST = "(SELECT min(url) FROM pages)"
+add("stem_lang", lambda d: lookup.stem_language(_cut_languages(d), d.table("pages").agg(F.min("url")).head()[0]), "", f"SELECT coalesce(max(language), '') AS language FROM ({LANGUAGES}) x WHERE world = {FIRST}")
+add("stem_lang_unknown", lambda d: lookup.stem_language(_cut_languages(d), "http://nowhere"), "", f"SELECT coalesce(max(language), '') AS language FROM ({LANGUAGES}) x WHERE world = 'http://nowhere'")
+add("delete_stem_lang", lambda d: lookup.without_world(_cut_languages(d), d.table("pages").agg(F.min("url")).head()[0]), "", f"SELECT world, language FROM ({LANGUAGES}) x WHERE language IS NOT NULL AND world <> {FIRST}")
+add("page_meta", lambda d: _parsed(d).select("url", F.explode("meta").alias("formula")), "", "SELECT url, '' AS formula FROM pages WHERE html LIKE '%<meta name=%'")
+add("page_link_texts", lambda d: _parsed(d).select("url", F.explode("link_texts").alias("formula")))
+add("page_body_terms", lambda d: pages.raw_terms(_parsed(d), main=False).groupBy("world").agg(F.count(F.lit(1)).alias("n")))
+add("subsites", lambda d: d.table("pages").select("url").filter(F.col("url") != url_domain(F.col("url"))), "", f"SELECT url FROM pages WHERE url <> {DOMAIN}")
 _ends = {"com": "english", "org": "english", "net": None, "de": "german", "ru": "russian"}
 add("tld_language", lambda d: d.names(*[f"www.example.{e}" for e in _ends], column="host").select("host", language(F.lit(None).cast("string"), F.col("host")).alias("language")), "", "SELECT host, language FROM (VALUES " + ", ".join(f"('www.example.{e}', {repr(v) if v else 'NULL'})" for e, v in _ends.items()) + ") t(host, language)")
 _words = lambda d: d.table("documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("formula")).distinct()
