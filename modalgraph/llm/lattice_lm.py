@@ -143,7 +143,7 @@ def lattices(words: list[str], table: Pieces) -> Iterator[tuple[np.ndarray, Latt
     size = np.array([len(w) for w in words])
     for n in np.unique(size).tolist():
         same = np.flatnonzero(size == n)
-        step = max(1, 60_000 // (n + 1))
+        step = max(1, 100_000 // (n + 1))
         for a in range(0, len(same), step):
             own = same[a : a + step]
             codes = np.frombuffer("".join(START + words[i] for i in own.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n + 1)
@@ -336,8 +336,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     mixture = fit_classes(rows)
     pairs = rows.select("text", "training").mapInArrow(partial(_count, mixture=mixture), "key long, hash long, kind int, word string, n long, c long")
     summed = pairs.groupBy("key", "hash", "kind", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    # a word has a row for each class at most
-    counted = saved(summed.withColumn("everywhere", F.sum("c").over(Window.partitionBy("hash"))).withColumn("first", F.row_number().over(Window.partitionBy("hash").orderBy("kind")) == 1), "words")
+    # a word has a row for each class at most; words of one class and length lie together, as they are worked on together
+    counted = saved(summed.withColumn("everywhere", F.sum("c").over(Window.partitionBy("hash"))).withColumn("first", F.row_number().over(Window.partitionBy("hash").orderBy("kind")) == 1).sortWithinPartitions("kind", F.length("word")), "words")
     word = F.col("word") != ""
     of_kind = counted.groupBy("kind").agg(F.sum(F.when(word, F.col("n"))).alias("all"), F.sum(F.when(word, F.col("c"))).alias("words"), F.count_if(word & (F.col("c") > 0)).alias("kinds"), F.sum(F.when(~word, F.col("c"))).alias("ends"), F.count_if(F.col("first") & (F.col("everywhere") > 0)).alias("different"))
     got = {r["kind"]: r for r in of_kind.collect()}  # one row for each class
