@@ -17,9 +17,9 @@ R = lambda df, *cols, n=6: df.withColumns({c: F.round(c, n) for c in cols})  # n
 # tf-idf
 SCORED = ", n AS (SELECT count(DISTINCT world) AS n FROM {l}), f AS (SELECT formula, count(*) AS df FROM {l} GROUP BY formula), s AS (SELECT world, formula, frmcount, frmcount * log10(n / CAST(df AS DOUBLE)) AS tfidf FROM {l} JOIN f USING (formula), n)"
 RANKED = SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY round(tfidf, 9) DESC, formula) AS rank, count(*) OVER (PARTITION BY world) AS many FROM s)"
-scores = lambda d, l: tfidf.scored(d.rows(l)).withColumn("tfidf", F.round("tfidf", 9))  # noqa: E731, E741
+scores = lambda d, l: tfidf.scored(d.kept(l)).withColumn("tfidf", F.round("tfidf", 9))  # noqa: E731, E741
 
-add("all_tfidf", lambda d: R(tfidf.scored(d.rows("l3")).select("world", "formula", "tfidf"), "tfidf"), "l3", SCORED.format(l="l3") + " SELECT world, formula, round(tfidf, 6) AS tfidf FROM s")
+add("all_tfidf", lambda d: R(tfidf.scored(d.kept("l3")).select("world", "formula", "tfidf"), "tfidf"), "l3", SCORED.format(l="l3") + " SELECT world, formula, round(tfidf, 6) AS tfidf FROM s")
 add("all_top_tfidf", lambda d: R(tfidf.top_n(scores(d, "l3"), 5).select("world", "formula", "tfidf", "rank"), "tfidf"), "l3", RANKED.format(l="l3") + " SELECT world, formula, round(tfidf, 6) AS tfidf, rank FROM r WHERE rank <= 5")
 add("tfidf_single", lambda d: R(tfidf.score_of(d.rows("l2"), "u5", "click_1"), "tfidf"), "l2", SCORED.format(l="l2") + " SELECT round(coalesce((SELECT tfidf FROM s WHERE world = 'u5' AND formula = 'click_1'), 0.0), 6) AS tfidf")
 add("world_tfidf", lambda d: R(tfidf.of_world(d.rows("l2"), "u5"), "tfidf"), "l2", SCORED.format(l="l2") + " SELECT formula, round(tfidf, 6) AS tfidf FROM s WHERE world = 'u5'")
@@ -27,7 +27,7 @@ add("world_top_tfidf", lambda d: tfidf.top_n(scores(d, "l2").filter("world = 'u5
 add("world_top_pct_tfidf", lambda d: tfidf.top_percent(scores(d, "l2").filter("world = 'u5'"), 30).select("formula", "rank"), "l2", RANKED.format(l="l2") + " SELECT formula, rank FROM r WHERE world = 'u5' AND rank <= many - round_even(CAST(many * 0.7 AS DOUBLE), 0)")
 add("all_tfidf_stored", lambda d: R(_stored(d).select("world", "formula", "tfidf"), "tfidf"), "l2", SCORED.format(l="l2") + " SELECT world, formula, round(tfidf, 6) AS tfidf FROM s")
 add("world_tfidf_stored", lambda d: R(_stored(d).filter("world = 'u5'").select("formula", "tfidf").orderBy(F.col("tfidf").desc_nulls_first()), "tfidf"), "l2", SCORED.format(l="l2") + " SELECT formula, round(tfidf, 6) AS tfidf FROM s WHERE world = 'u5'")
-add("tfidf_search", lambda d: R(tfidf.search(d.rows("l3"), "the"), "tfidf"), "l3", SCORED.format(l="l3") + " SELECT world, round(tfidf, 6) AS tfidf FROM s WHERE formula = 'the'")
+add("tfidf_search", lambda d: R(tfidf.search(d.kept("l3"), "the"), "tfidf"), "l3", SCORED.format(l="l3") + " SELECT world, round(tfidf, 6) AS tfidf FROM s WHERE formula = 'the'")
 add(
     "pct_cut",
     lambda d: tfidf.cut_percent(scores(d, "l2"), 15).select("world", "formula", "rank"),

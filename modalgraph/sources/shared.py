@@ -26,3 +26,9 @@ def saved(df: DataFrame, name: str = "rows") -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table read from files, dealt to all cores if its files make fewer parts than there are; larger tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
