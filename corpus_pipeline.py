@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from modalgraph.llm import near_dups, packing, quality_classifier, quality_rules
-from modalgraph.llm.common import saved
+from modalgraph.llm.common import saved, source_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

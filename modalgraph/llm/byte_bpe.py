@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, source_table, text_bytes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points with the White_Space property.
@@ -255,4 +255,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(source_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

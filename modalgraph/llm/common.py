@@ -6,7 +6,6 @@ space and \\t..\\r, which in UTF-8 are exactly the words ``[^\\x20\\x09-\\x0D]+`
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import dealt, saved, shared_folder, work_path
+
 #: Text bytes worked on at a time; a single longer text is still taken whole.
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -24,25 +25,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = "/tmp/checkpoints/modalgraph"
-    spark.sparkContext.setCheckpointDir(own)
-    return "file://" + own
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["saved", "shared_folder", "work_path"]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there and lost executors do not matter."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, lowered, mix, saved, sums, text_bytes
+from .common import Words, chunks, lowered, mix, saved, source_table, sums, text_bytes
 
 FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 0.1, 0.75
 #: Classes of texts, buckets of their words, and texts of the sample that the classes are fitted to.
@@ -372,4 +372,4 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 def op6_lattice_lm(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score(source_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, source_table
 
 #: Public licence statements, by SPDX name.
 TEMPLATES = {
@@ -144,4 +144,4 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(document_paths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return scan(document_paths(source_table(spark, sf_dir, "documents")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, lowered, mix, partitions, saved, text_bytes, window_hashes, within
+from .common import Words, chunks, lowered, mix, partitions, saved, source_table, text_bytes, window_hashes, within
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 #: Ids of at most this number (8 bytes each) are broadcast to pick documents; more are joined by shuffle.
@@ -305,4 +305,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op5_near_dups(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(source_table(spark, sf_dir, "documents"))

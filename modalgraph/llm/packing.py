@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, saved, source_table
 from .tokens import encoded
 
 SIZE = 2048
@@ -194,4 +194,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, id_
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(source_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

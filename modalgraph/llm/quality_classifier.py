@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, sums
+from .common import chunks, saved, source_table, sums
 from .text_stats import TextStats, grams
 
 WIDTH, BITS, SAMPLE = 3, 11, 4_000
@@ -201,5 +201,5 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source_table(spark, sf_dir, "documents")
     return judge(docs, fit(docs))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, sums, text_bytes
+from .common import chunks, source_table, sums, text_bytes
 from .text_stats import TextStats, grams
 
 WIDTH, BITS, TRUSTED, SMOOTHING, THRESHOLD = 4, 16, 20_000, 65_536.0, -0.35
@@ -95,5 +95,5 @@ def keep(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFram
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source_table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))))

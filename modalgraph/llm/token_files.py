@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, work_path
+from .common import partitions, saved, source_table, work_path
 from .tokens import encoded
 
 WIDTH, BATCH = 2048, 64
@@ -161,5 +161,5 @@ def op3_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = work_path(spark, "token-files")
-    index = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    index = write(source_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return read(index, folder)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, source_table
 
 #: The rules of the query, as (what a fitting url gets, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -87,5 +87,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
-    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = judge(source_table(spark, sf_dir, "pages"))
     return found.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
