@@ -70,7 +70,7 @@ def patterns(histogram: dict[int, int], size: int = SIZE, wide: int = 6) -> list
         k = size // a
         if 2 <= k <= 8:
             found.add((a,) * k)
-    return sorted(found)
+    return sorted(found, reverse=True)  # those of long pieces are fitted first, as short ones fit anywhere
 
 
 def fit(histogram: dict[int, int], rows: list[tuple[int, ...]], size: int = SIZE, sweeps: int = 25) -> list[int]:
@@ -127,19 +127,24 @@ def best_fit(left: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ..
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """All sequences as (lengths, repeats): the fitted patterns, then best fit for the rest."""
+    """All sequences as (lengths, repeats): the fitted patterns that leave at most one place, then best fit for the rest.
+
+    Where few lengths occur, exact patterns can use up what the others need, so a share of the fitted counts is tried too; the
+    share that makes the fewest sequences is taken, the largest of equal ones.
+    """
     rows = patterns(histogram, size)
-    chosen = [(p, t) for p, t in zip(rows, fit(histogram, rows, size), strict=True) if t]
-    left = {n: c for n, c in histogram.items() if c}
-    for p, t in chosen:
-        for n in p:
-            left[n] -= t
-    tight = [(p, t) for p, t in chosen if size - sum(p) <= 1]
-    for p, t in chosen:  # a loose pattern is no better than best fit: its lengths go back
-        if size - sum(p) > 1:
+    fitted = [(p, t) for p, t in zip(rows, fit(histogram, rows, size), strict=True) if t and size - sum(p) <= 1]
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for quarters in (4, 3, 2, 1):
+        chosen = [(p, t * quarters // 4) for p, t in fitted if t * quarters // 4]
+        left = {n: c for n, c in histogram.items() if c}
+        for p, t in chosen:
             for n in p:
-                left[n] += t
-    return tight + best_fit({n: c for n, c in left.items() if c}, size)
+                left[n] -= t
+        found = chosen + best_fit({n: c for n, c in left.items() if c}, size)
+        if best is None or sum(t for _, t in found) < sum(t for _, t in best):
+            best = found
+    return best or []
 
 
 def intervals(sequences: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
