@@ -6,6 +6,8 @@ space and \\t..\\r, which in UTF-8 are exactly the words ``[^\\x20\\x09-\\x0D]+`
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,9 +63,13 @@ def chunked(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Ite
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Chunks of all batches of a task; at its end freed memory goes back, as the worker lives on."""
     for batch in batches:
         if batch.num_rows:
             yield from chunked(batch, column, limit)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call, the memory stays for the next task
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
