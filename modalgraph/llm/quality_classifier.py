@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import chunks, saved, source_table, sums
 from .text_stats import TextStats, grams
 
-WIDTH, BITS, SAMPLE = 3, 11, 4_000
+WIDTH, BITS, SAMPLE = 3, 12, 4_000
 #: Byte runs are scaled down so, as there are many and each text has few of them.
 RUN_SCALE = 20.0
 #: Indicators for each of the nine measures.
@@ -142,6 +142,18 @@ def train(features: np.ndarray, labels: np.ndarray, steps: int = 250, ridge: flo
     return Model(weights.astype(np.float64), b - float(weights @ mean))
 
 
+def packed(row: np.ndarray) -> bytes:
+    """The features that are not 0 and their places, as most are 0."""
+    at = np.flatnonzero(row)
+    return row[at].astype("<f4").tobytes() + at.astype("<u2").tobytes()
+
+
+def unpack(data: bytes, row: np.ndarray) -> None:
+    """Fills a row of zeros with what ``packed`` kept."""
+    n = len(data) // 6
+    row[np.frombuffer(data, "<u2", offset=4 * n)] = np.frombuffer(data, "<f4", n)
+
+
 def _survey(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBatch]:
     """The vote pattern of each text and, of those in the sample, its feature shares."""
     for rows in chunks(batches, "text"):
@@ -155,7 +167,7 @@ def _survey(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBa
             row = np.zeros(FEATURES, "<f4")
             row[: 1 << BITS] = np.bincount(bucket[first[i] : first[i + 1]], minlength=1 << BITS) / max(1, first[i + 1] - first[i])
             row[(1 << BITS) + level[i]] = 1
-            shares[i] = row.tobytes()
+            shares[i] = packed(row)
         yield pa.record_batch([pa.array(pattern), pa.array(stats.n_words > 0), pa.array(shares, pa.binary())], names=["pattern", "worded", "features"])
 
 
@@ -170,9 +182,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     belief = {r["pattern"]: p for r, p in zip(counted, post.tolist(), strict=True)}
     chosen = surveyed.filter(F.col("features").isNotNull()).select("pattern", "features").orderBy(F.xxhash64("features"), "features").limit(2 * sample).collect()
-    features = np.empty((len(chosen), FEATURES), np.float32)
+    features = np.zeros((len(chosen), FEATURES), np.float32)
     for row, r in zip(features, chosen, strict=True):
-        row[:] = np.frombuffer(r["features"], "<f4")
+        unpack(r["features"], row)
     labels = np.array([belief[r["pattern"]] for r in chosen])
     del chosen
     return train(features, labels)

@@ -126,3 +126,20 @@ def test_expectation_maximisation_finds_the_good_class():
     post, prior, _ = quality_classifier.expectation_maximisation(patterns, counts.astype(float))
     assert ((post[which] > 0.5) == truth).mean() > 0.97
     assert abs(prior[0] - 0.8) < 0.05
+
+
+def test_classifier_tells_4096_buckets_of_runs_apart():
+    rng = np.random.default_rng(1)
+    stats = TextStats(pa.array(["".join(chr(c) for c in rng.integers(97, 123, 60_000))]))
+    bucket, _ = quality_classifier.grams(stats.raw, stats.offsets, quality_classifier.WIDTH, quality_classifier.BITS)
+    assert 1 << 11 < len(np.unique(bucket)) and bucket.max() < 1 << 12
+    assert quality_classifier.FEATURES == 4096 + 81
+
+
+def test_features_are_packed_without_loss():
+    row = np.zeros(quality_classifier.FEATURES, np.float32)
+    row[[0, 7, 4095, 4096, 4176]] = [1 / 3, 1e-7, 0.25, 1, 1]
+    for x in (row, np.zeros_like(row), np.ones_like(row)):
+        got = np.zeros_like(x)
+        quality_classifier.unpack(quality_classifier.packed(x), got)
+        assert (got == x).all()
