@@ -8,8 +8,8 @@ its words and the end.  Characters that are no piece are spelled by bytes.  Piec
 vocabulary's own scores and are re-estimated by expectation-maximisation (forward-backward) over the counts of training words.
 
 Corpora mix languages and styles, so there are a few classes of texts, each with probabilities of its own: a mixture of word
-multinomials is fitted to a bounded sample of training texts (``SAMPLE`` at most, chosen by hash), every text is put into its
-likeliest class, and its score is the probability of the class times that of the text in it.  All counts cover all texts.
+multinomials is fitted to all training texts, from starting points in a bounded sample (``SAMPLE`` at most, chosen by hash),
+every text is put into its likeliest class, and its score is the probability of the class times that of the text in it.  All counts cover all texts.
 
 Words are counted and scored once for each class, in a table dealt by word.  Words that make up at least 1 / ``FREQUENT`` of all
 words, of which there can be no more than ``FREQUENT``, are scored where the text is; the other words of each text meet the
@@ -25,7 +25,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, lowered, mix, saved, source_table, sums, text_bytes
 
 FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 0.1, 0.75
-#: Classes of texts, buckets of their words, and texts of the sample that the classes are fitted to.
+#: Classes of texts, buckets of their words, and texts of the sample in which the classes start.
 CLASSES, BUCKETS, SAMPLE = 6, 1 << 12, 2_000
 FOLDS, HELD_OUT = 7, 2
 #: The mark of a word's start in the vocabulary's pieces.
@@ -158,11 +158,22 @@ def word_logs(words: list[str], table: Pieces, logs: np.ndarray) -> np.ndarray:
     return out
 
 
+def expected(counts: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected texts of each class, and expected words of each class and bucket, over rows of bucket counts."""
+    post = counts @ logs.T + prior
+    post = np.exp(post - post.max(1, keepdims=True))
+    post /= post.sum(1, keepdims=True)
+    return post.sum(0), post.T @ counts
+
+
 class Mixture:
     """Classes of texts: a multinomial over hashed words for each."""
 
-    def __init__(self, counts: np.ndarray, k: int = CLASSES, rounds: int = 25):
-        """Fits to rows of bucket counts; the first row and then those least like any chosen one start a class."""
+    def __init__(self, counts: np.ndarray, k: int = CLASSES, rounds: int = 25, expect: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        """Starts a class at the longest row of bucket counts and at those least like any chosen one.
+
+        Then fits to these rows, or where they are a sample to the texts over which ``expect`` gives what ``expected`` does.
+        """
         self.prior, self.logs = np.zeros(1), np.full((1, BUCKETS), -math.log(BUCKETS))
         if not len(counts):
             return
@@ -176,11 +187,9 @@ class Mixture:
         prior = np.full(len(chosen), 1 / len(chosen))
         for _ in range(rounds):
             logs = np.log(share / share.sum(1, keepdims=True))
-            post = counts @ logs.T + np.log(prior)
-            post = np.exp(post - post.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
-            prior = (post.sum(0) + 1) / (len(counts) + post.shape[1])
-            share = post.T @ counts + 0.1
+            texts, words = (expect or partial(expected, counts))(logs, np.log(prior))
+            prior = (texts + 1) / (texts.sum() + len(texts))
+            share = words + 0.1
         self.prior, self.logs = np.log(prior), np.log(share / share.sum(1, keepdims=True))
 
     def classes(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -194,26 +203,65 @@ def _keys(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return mix(hashes + (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of each text that are not empty, and then their counts."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         words = Words(raw, offsets)
         bucket = (words.hashes(lowered(raw)) % np.uint64(BUCKETS)).astype(np.int64)
-        out = [np.bincount(bucket[a:b], minlength=BUCKETS).astype("<f4").tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        met, n = np.unique(words.doc * BUCKETS + bucket, return_counts=True)
+        at, n = (met % BUCKETS).astype("<u2"), n.astype("<u4")
+        first = np.searchsorted(met, np.arange(rows.num_rows + 1) * BUCKETS).tolist()
+        out = [at[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.record_batch([rows.column("key"), pa.array(out, pa.binary())], names=["key", "counts"])
 
 
+def dense(bags: list[bytes]) -> np.ndarray:
+    counts = np.zeros((len(bags), BUCKETS), np.float32)
+    for row, bag in zip(counts, bags, strict=True):
+        n = len(bag) // 6
+        row[np.frombuffer(bag, "<u2", n)] = np.frombuffer(bag, "<u4", offset=2 * n)
+    return counts
+
+
+def _expect_classes(batches: Iterator[pa.RecordBatch], logs: np.ndarray, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row with the expected texts and words of a task, by blocks of texts that stay in the cache."""
+    least = (logs - logs.max(0)).astype(np.float32)  # only differences of classes matter; small ones keep their digits
+    total = np.zeros((len(prior), 1 + BUCKETS))
+    for rows in batches:
+        for a in range(0, rows.num_rows, 64):
+            texts, words = expected(dense(rows.column("counts").slice(a, 64).to_pylist()), least, prior.astype(np.float32))
+            total[:, 0] += texts
+            total[:, 1:] += words
+    yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for rows in batches:
+        for x in rows.column("sums"):
+            got = np.frombuffer(x.as_buffer())
+            total = got.copy() if total is None else total + got
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
 def fit_classes(rows: DataFrame, sample: int = SAMPLE) -> Mixture:
-    """Classes of a sample of the training texts among (doc_id, text, training)."""
-    keyed = rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text")
-    cut = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key")).head()[0]
-    if cut is None:
-        return Mixture(np.zeros((0, BUCKETS)))
-    got = keyed.filter(F.col("key") <= cut).mapInArrow(_sample, "key bigint, counts binary").orderBy("key", F.xxhash64("counts")).limit(sample).collect()
-    counts = np.empty((len(got), BUCKETS), np.float32)
-    for row, r in zip(counts, got, strict=True):
-        row[:] = np.frombuffer(r["counts"], "<f4")
-    return Mixture(counts)
+    """Classes of all training texts among (doc_id, text, training)."""
+    bags = saved(rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_bags, "key bigint, counts binary"), "bags")
+    got = bags.orderBy("key", F.xxhash64("counts")).limit(sample + 1).collect()
+    counts = dense([r["counts"] for r in got[:sample]])
+    if len(got) <= sample:
+        return Mixture(counts)
+    parts = math.isqrt(bags.rdd.getNumPartitions()) + 1
+
+    def expect(logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of_tasks = bags.select("counts").mapInArrow(partial(_expect_classes, logs=logs, prior=prior), "sums binary")
+        total = sum(np.frombuffer(r["sums"]) for r in of_tasks.repartition(parts).mapInArrow(_add, "sums binary").collect())
+        total = total.reshape(len(prior), -1)
+        return total[:, 0], total[:, 1:]
+
+    return Mixture(counts, expect=expect)
 
 
 def _count(batches: Iterator[pa.RecordBatch], mixture: Mixture) -> Iterator[pa.RecordBatch]:

@@ -132,3 +132,16 @@ def test_a_text_scores_the_sum_of_its_words(spark, monkeypatch):
 
 def test_no_rows(nothing):
     assert lattice_lm.score(nothing, PATH).collect() == []
+
+
+def test_classes_are_fitted_to_all_training_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'abc'[i % 3]}{w}" for w in rng.integers(0, 40, 30)) for i in range(150)]
+    rows = spark.createDataFrame([(i, t, i % 7 != 2) for i, t in enumerate(texts)], "doc_id bigint, text string, training boolean").repartition(5)
+    bags = lattice_lm.saved(rows.filter("training").selectExpr("xxhash64(doc_id) AS key", "text").mapInArrow(lattice_lm._bags, "key bigint, counts binary"), "bags")
+    counts = lattice_lm.dense([r["counts"] for r in bags.orderBy("key").collect()])
+    assert counts.sum() == 30 * sum(i % 7 != 2 for i in range(150))
+    got = lattice_lm.fit_classes(rows, sample=20)
+    want = lattice_lm.Mixture(counts[:20], expect=lambda logs, prior: lattice_lm.expected(counts.astype(float), logs, prior))
+    assert np.allclose(got.logs, want.logs, atol=1e-3) and np.allclose(got.prior, want.prior, atol=1e-3)
+    assert not np.allclose(got.logs, lattice_lm.Mixture(counts[:20]).logs, atol=1e-3)
