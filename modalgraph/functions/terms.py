@@ -17,20 +17,26 @@ only or other ought our ourselves out over own same shan't she she'd she'll she'
 the their theirs them themselves then there there's these they they'd they'll they're they've this those through to too under
 until up very want was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's
 whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves"""
-#: German stop words by rule: stems with the endings they take, a stem by itself being the ending "-".
-GERMAN_FORMS = """aber:- all:e,em,en,es als:-,o an:-,s ander:e,em,er,es,s auf:-,s aus:-,ser,serdem beid:e,en,es
-bei:-,m besteh:en,t brauch:en,t da:-,bei,durch,für,gegen,her,mit,nach,nn,s,ss,von,zu dar:-,an,auf,f,um,unter,über de:in,m,mnach,n,nen,nn,nnoch,r,ren,s,shalb,ssen
-dies:-,e,em,en,er,es,elbte,mal durft:e,en eben:falls,so eigen:e,em,en,er,es ein:-,e,em,en,er,es,mal einig:e,es einzeln:e,en erst:-,e,en etwa:-,s
-folg:ender,lich ganz:-,e ge:ben,gen,habt,konnt,mäss,tan,wesen,wollt,worden hab:-,e,en hat:-,te,ten her:aus,ein hin:-,aus,ein,ter,zu hätt:e,en
-ih:m,n,nen,r,re,rem,ren,rer,res in:-,dem,folge,nen,nerhalb,s,zwischen irgend:-,was,wen,wer,wie,wo jed:e,em,en,er,es,erzeit,och jen:e,em,en,er,es jeweil:igen,s
-kein:-,e,em,en,er,es komm:en,t konnt:e,en könn:en,te,ten mach:en,t,te,ten mein:-,e,em,en,er meist:-,e,en muss:-,te,ten möcht:e,en müss:en,ten
-nach:-,dem,er nicht:-,s ob:-,gleich,wohl sein:-,e,em,en,er,es seit:-,dem,her selb:er,st so:-,bald,fern,fort,gar,lange,mit,ndern,nst,nstiges,weit,wie,wohl
-solch:-,e,em,en,er,es soll:-,en,te,ten um:-,s un:d,s,ser,sere,serem,seren,serer,ter viel:-,e,en,er vo:m,n,r,rbei,rher,rüber war:-,en,um wegen:- we:g,il,it,m,n,nigstens,nn,nngleich,r,rde,rden,shalb,ssen
-weiter:-,e,em,en,er,es,hin welch:e,em,en,er,es wo:-,durch,hin,rin woll:en,te,ten wurd:e,en wär:e,en würd:e,en zeig:en,t zu:-,dem,folge,m,r,rück,sammen"""
-#: The other German stop words.
-GERMAN = """ab am auch bereits bevor bin bis bloss bzw dich die dir doch dort du durch dürfen einzig entweder er es euch falls fast
-ferner für gar gibt hallo hier ich im immer ist kann lassen leer man mehr mich mit nacher neben nein noch nun nur nämlich oder
-ohne schon sehr seid sich sie siehe sind statt stets such u.v.m. wann was wie wieder will wir wird während z.b zwar zwischen
+#: German stop words.
+GERMAN = """ab aber alle allem allen alles als also am an andere anderem anderer anderes anders ans auch auf aufs aus ausser ausserdem bei
+beide beiden beides beim bereits bestehen besteht bevor bin bis bloss brauchen braucht bzw da dabei dadurch dafür dagegen
+daher damit danach dann dar daran darauf darf darum darunter darüber das dass davon dazu dein dem demnach den denen denn
+dennoch der deren des deshalb dessen dich die dies diese dieselbte diesem diesen dieser dieses diesmal dir doch dort du durch
+durfte durften dürfen ebenfalls ebenso eigene eigenem eigenen eigener eigenes ein eine einem einen einer eines einige einiges
+einmal einzelne einzelnen einzig entweder er erst erste ersten es etwa etwas euch falls fast ferner folgender folglich für
+ganz ganze gar geben gegen gehabt gekonnt gemäss getan gewesen gewollt geworden gibt hab habe haben hallo hat hatte hatten
+heraus herein hier hin hinaus hinein hinter hinzu hätte hätten ich ihm ihn ihnen ihr ihre ihrem ihren ihrer ihres im immer in
+indem infolge innen innerhalb ins inzwischen irgend irgendwas irgendwen irgendwer irgendwie irgendwo ist jede jedem jeden
+jeder jederzeit jedes jedoch jene jenem jenen jener jenes jeweiligen jeweils kann kein keine keinem keinen keiner keines
+kommen kommt konnte konnten können könnte könnten lassen leer machen macht machte machten man mehr mein meine meinem meinen
+meiner meist meiste meisten mich mit muss musste mussten möchte möchten müssen müssten nach nachdem nacher neben nein nicht
+nichts noch nun nur nämlich ob obgleich obwohl oder ohne schon sehr seid sein seine seinem seinen seiner seines seit seitdem
+seither selber selbst sich sie siehe sind so sobald sofern sofort sogar solange solch solche solchem solchen solcher solches
+soll sollen sollte sollten somit sondern sonst sonstiges soweit sowie sowohl statt stets such u.v.m. um ums und uns unser
+unsere unserem unseren unserer unter viel viele vielen vieler vom von vor vorbei vorher vorüber wann war waren warum was weg
+wegen weil weit weiter weitere weiterem weiteren weiterer weiteres weiterhin welche welchem welchen welcher welches wem wen
+wenigstens wenn wenngleich wer werde werden weshalb wessen wie wieder will wir wird wo wodurch wohin wollen wollte wollten
+worin wurde wurden während wäre wären würde würden z.b zeigen zeigt zu zudem zufolge zum zur zurück zusammen zwar zwischen
 zzgl über"""
 #: Characters that no term may have.
 BAD_CHARACTERS = "#$%()*,0123456789:;<>@[]{|}§"
@@ -58,8 +64,7 @@ _ADDRESSES = ("http://", "ftp://", "mailto:")
 
 
 def stop_words() -> list[str]:
-    forms = (stem + ("" if end == "-" else end) for entry in GERMAN_FORMS.split() for stem, ends in [entry.split(":")] for end in ends.split(","))
-    return sorted({*ENGLISH.split(), *GERMAN.split(), *forms})
+    return sorted({*ENGLISH.split(), *GERMAN.split()})
 
 
 _STOP = frozenset(stop_words())
