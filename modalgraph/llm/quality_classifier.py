@@ -3,8 +3,9 @@
 Each labeller votes good, bad or abstains on a whole text.  Only the counts of vote patterns over all documents are gathered
 (three votes for each labeller bound their number); expectation-maximisation over them estimates how each labeller votes for
 good and for bad texts.  The posterior of each pattern then labels a bounded sample of documents (``SAMPLE`` at most, chosen by
-hash), on which a logistic scorer is trained; it judges every document.  Its features are the shares of hashed byte runs and
-indicators of the level that each measure of the text reaches.  No gold label is used.
+hash), on which a logistic scorer is trained in one task; it judges every document.  Its only features are the shares of hashed
+byte runs, a run in words that the text repeats being another than the same run elsewhere; what the labellers measure is not
+among them.  No gold label is used.
 
 Defined results: texts without words, null texts included, score 0 and are rejected; equal texts get equal scores; an empty
 table gives no rows and a model that keeps everything; other columns are ignored by ``judge`` and passed through by ``keep``.
@@ -25,11 +26,6 @@ from .common import chunks, saved, source_table, sums
 from .text_stats import TextStats, grams
 
 WIDTH, BITS, SAMPLE = 3, 12, 4_000
-#: Byte runs are scaled down so, as there are many and each text has few of them.
-RUN_SCALE = 20.0
-#: Indicators for each of the nine measures.
-LEVELS, MEASURES = 9, 9
-FEATURES = (1 << BITS) + LEVELS * MEASURES
 BAD, GOOD, ABSTAIN = 0, 1, 2
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -77,12 +73,6 @@ def votes(stats: TextStats) -> np.ndarray:
     return np.stack(found, 1)
 
 
-def levels(stats: TextStats) -> np.ndarray:
-    """For each text and measure the indicator that is on: one of ``LEVELS`` for each measure."""
-    m = np.stack(list(measures(stats).values()), 1)
-    return np.minimum(LEVELS - 1, np.ceil(m * (LEVELS - 1)).astype(np.int64)) + LEVELS * np.arange(m.shape[1])
-
-
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of good for each pattern, prior of the classes, vote probabilities[labeller, class, vote]).
 
@@ -108,26 +98,32 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post[:, 0], prior, probability
 
 
+def runs(stats: TextStats) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each byte run and the place of each text's first (n + 1)."""
+    return grams(stats.raw, stats.offsets, WIDTH, BITS, stats.repeated_bytes())
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, stats: TextStats) -> np.ndarray:
-        bucket, first = grams(stats.raw, stats.offsets, WIDTH, BITS)
-        margin = self.bias + sums(self.weights[bucket], first) / np.maximum(1, np.diff(first)) + self.weights[(1 << BITS) + levels(stats)].sum(1)
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """The probability of good for each text."""
+        stats = TextStats(column, lines=False)
+        bucket, first = runs(stats)
+        margin = self.bias + sums(self.weights[bucket], first) / np.maximum(1, np.diff(first))
         return np.where(stats.n_words > 0, 1 / (1 + np.exp(-np.clip(margin, -500, 500))), 0.0)
 
 
 def train(features: np.ndarray, labels: np.ndarray, steps: int = 250, ridge: float = 3e-3) -> Model:
     """Logistic regression on soft labels; features are scaled for the descent and the scale is folded into the weights."""
     if not len(labels):
-        return Model(np.zeros(FEATURES), 30.0)
-    x = features  # scaled in place: the sample is the most that the driver holds
+        return Model(np.zeros(1 << BITS), 30.0)
+    x = features  # scaled in place: the sample is the most that is held
     mean = x.mean(0, dtype=np.float64).astype(np.float32)
     x -= mean
     scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-4)
-    scale[: 1 << BITS] *= RUN_SCALE
     x /= scale
     w, b = np.zeros(x.shape[1], np.float32), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -158,47 +154,49 @@ def _survey(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBa
     """The vote pattern of each text and, of those in the sample, its feature shares."""
     for rows in chunks(batches, "text"):
         stats = TextStats(rows.column("text"))
-        found = votes(stats)
-        pattern = ["".join(map(str, v)) for v in found.tolist()]
+        pattern = ["".join(map(str, v)) for v in votes(stats).tolist()]
         chosen = (rows.column("key").to_numpy() <= cut) & (stats.n_words > 0)
-        bucket, first = grams(stats.raw, stats.offsets, WIDTH, BITS)
-        level, shares = levels(stats), [None] * len(pattern)
+        bucket, first = runs(stats)
+        shares = [None] * len(pattern)
         for i in np.flatnonzero(chosen).tolist():
-            row = np.zeros(FEATURES, "<f4")
-            row[: 1 << BITS] = np.bincount(bucket[first[i] : first[i + 1]], minlength=1 << BITS) / max(1, first[i + 1] - first[i])
-            row[(1 << BITS) + level[i]] = 1
-            shares[i] = packed(row)
-        yield pa.record_batch([pa.array(pattern), pa.array(stats.n_words > 0), pa.array(shares, pa.binary())], names=["pattern", "worded", "features"])
+            shares[i] = packed(np.bincount(bucket[first[i] : first[i + 1]], minlength=1 << BITS).astype("<f4") / max(1, first[i + 1] - first[i]))
+        yield pa.record_batch([rows.column("key"), pa.array(pattern), pa.array(stats.n_words > 0), pa.array(shares, pa.binary())], names=["key", "pattern", "worded", "features"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], belief: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """One row: the model trained on all rows of the task."""
+    rows = pa.Table.from_batches(batches, pa.schema([("pattern", pa.string()), ("features", pa.binary())]))
+    features = np.zeros((rows.num_rows, 1 << BITS), np.float32)
+    for row, data in zip(features, rows.column("features"), strict=True):
+        unpack(data.as_py(), row)
+    model = train(features, np.array([belief[p] for p in rows.column("pattern").to_pylist()]))
+    yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).cast("string").alias("text"))
     keys = rows.select("key").orderBy("key").limit(sample).agg(F.max("key")).head()[0]
-    surveyed = saved(rows.mapInArrow(partial(_survey, cut=-(1 << 63) if keys is None else keys), "pattern string, worded boolean, features binary"), "votes")
+    surveyed = saved(rows.mapInArrow(partial(_survey, cut=-(1 << 63) if keys is None else keys), "key long, pattern string, worded boolean, features binary"), "votes")
     counted = surveyed.filter("worded").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     if not counted:
-        return train(np.zeros((0, FEATURES), np.float32), np.zeros(0))
+        return train(np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
     patterns = np.array([[int(v) for v in r["pattern"]] for r in counted])
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     belief = {r["pattern"]: p for r, p in zip(counted, post.tolist(), strict=True)}
-    chosen = surveyed.filter(F.col("features").isNotNull()).select("pattern", "features").orderBy(F.xxhash64("features"), "features").limit(2 * sample).collect()
-    features = np.zeros((len(chosen), FEATURES), np.float32)
-    for row, r in zip(features, chosen, strict=True):
-        unpack(r["features"], row)
-    labels = np.array([belief[r["pattern"]] for r in chosen])
-    del chosen
-    return train(features, labels)
+    chosen = surveyed.filter("features is not null").orderBy("key", F.xxhash64("features"), "features").limit(sample).select("pattern", "features")
+    got = chosen.coalesce(1).mapInArrow(partial(_train, belief=belief), "weights binary, bias double").head()
+    return Model(np.frombuffer(got["weights"]), got["bias"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for rows in chunks(batches, "text"):
-        score = model.scores(TextStats(rows.column("text")))
+        score = model.scores(rows.column("text"))
         yield pa.record_batch([rows.column("doc_id"), pa.array(score), pa.array(score >= 0.5)], names=["doc_id", "score", "kept"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
     for rows in chunks(batches, text):
-        yield rows.filter(pa.array(model.scores(TextStats(rows.column(text))) >= 0.5))
+        yield rows.filter(pa.array(model.scores(rows.column(text)) >= 0.5))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,13 +133,84 @@ def test_classifier_tells_4096_buckets_of_runs_apart():
     stats = TextStats(pa.array(["".join(chr(c) for c in rng.integers(97, 123, 60_000))]))
     bucket, _ = quality_classifier.grams(stats.raw, stats.offsets, quality_classifier.WIDTH, quality_classifier.BITS)
     assert 1 << 11 < len(np.unique(bucket)) and bucket.max() < 1 << 12
-    assert quality_classifier.FEATURES == 4096 + 81
 
 
 def test_features_are_packed_without_loss():
-    row = np.zeros(quality_classifier.FEATURES, np.float32)
-    row[[0, 7, 4095, 4096, 4176]] = [1 / 3, 1e-7, 0.25, 1, 1]
+    row = np.zeros(1 << quality_classifier.BITS, np.float32)
+    row[[0, 7, 2048, 4095]] = [1 / 3, 1e-7, 0.25, 1]
     for x in (row, np.zeros_like(row), np.ones_like(row)):
         got = np.zeros_like(x)
         quality_classifier.unpack(quality_classifier.packed(x), got)
         assert (got == x).all()
+
+
+def plain_votes(text):
+    """The labellers by plain loops over one text."""
+    text = text or ""
+    n_words, chars, symbols, copied, repeats = counted(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    words, letters = max(1, n_words), [c for c in text if c.isascii() and c.isalpha()]
+    level = lambda x, bad, good: 0 if x > bad else 1 if x <= good else 2
+    opened = 1 - sum(x[-1] in ".!?:;\"" for x in lines) / max(1, len(lines))
+    size = chars / words / 20
+    return [
+        level(symbols / max(1, chars), 0.03, 0.0), level(symbols / words, 0.25, 0.01), level(sum(c.isupper() for c in letters) / max(1, len(letters)), 0.25, 0.08),
+        level(text.count("!") / words, 0.2, 0.02), level(text.count("|") / words, 0.1, 0.0), level(repeats / words, 0.6, 0.4), level(copied / max(1, len(lines)), 0.6, 0.5),
+        0 if size < 0.1 or size > 0.7 else 1 if 0.15 < size < 0.45 else 2, 0 if opened > 0.9 and n_words > 20 else 1 if opened < 0.4 else 2,
+    ]
+
+
+def plain_buckets(text):
+    """The hashed runs of a text by plain loops: a run that begins in a word of a repeated window is marked."""
+    data, words = (text or "").encode(), list(re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode()))
+    windows = Counter(tuple(w.group() for w in words[i : i + 3]) for i in range(len(words) - 2))
+    marked = set()
+    for i in range(len(words) - 2):
+        if windows[tuple(w.group() for w in words[i : i + 3])] > 1:
+            marked |= {b for w in words[i : i + 3] for b in range(w.start(), w.end())}
+    out = []
+    for i in range(len(data) - quality_classifier.WIDTH + 1):
+        key = int(i in marked)
+        for b in data[i : i + quality_classifier.WIDTH]:
+            key = (key * 0x01000193 + b) % 2**32
+        key = (key ^ key >> 15) * 0x2C1B3C6D % 2**32
+        out.append(key >> 32 - quality_classifier.BITS)
+    return out
+
+
+def test_votes_and_scores_are_those_of_plain_loops(spark):
+    rows = corpus(60) + [(100, None, *[None] * 8), (101, "a b c a b c a b c é!", *[None] * 8), (102, "x", *[None] * 8)]
+    texts = [r[1] for r in rows]
+    assert quality_classifier.votes(TextStats(pa.array(texts, pa.string()))).tolist() == [plain_votes(t) for t in texts]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string")
+    model = quality_classifier.fit(docs)
+    # the model anew, from plain counts of all texts: fewer than the sample, so all are trained on
+    worded = [t for t in texts if t and WORD.search(t)]
+    patterns = Counter("".join(map(str, plain_votes(t))) for t in worded)
+    names = sorted(patterns)
+    post, _, _ = quality_classifier.expectation_maximisation(np.array([[int(v) for v in p] for p in names]), np.array([patterns[p] for p in names], float))
+    belief = dict(zip(names, post, strict=True))
+    shares = np.array([np.bincount(plain_buckets(t), minlength=1 << quality_classifier.BITS) / max(1, len(plain_buckets(t))) for t in worded], np.float32)
+    again = quality_classifier.train(shares, np.array([belief["".join(map(str, plain_votes(t)))] for t in worded]))
+    for r in quality_classifier.judge(docs, model).collect():
+        text = texts[[x[0] for x in rows].index(r["doc_id"])]
+        own = plain_buckets(text)
+        margin = again.bias + sum(again.weights[b] for b in own) / max(1, len(own))
+        want = 1 / (1 + np.exp(-margin)) if text and WORD.search(text) else 0.0
+        assert r["score"] == pytest.approx(want, abs=2e-3)
+
+
+def test_hashed_runs_alone_carry_the_verdict(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:9] for r in rows], SCHEMA)
+    model = quality_classifier.fit(docs)
+    assert model.weights.shape == (1 << quality_classifier.BITS,)
+    flat = quality_classifier.Model(np.zeros_like(model.weights), model.bias)
+    assert len({r["kept"] for r in quality_classifier.judge(docs, flat).collect()}) == 1
+    assert len({r["kept"] for r in quality_classifier.judge(docs, model).collect()}) == 2
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(i % 3, t) for i, t, *_ in corpus(90)], "doc_id bigint, text string")
+    model = quality_classifier.fit(docs, sample=20)
+    assert np.isfinite(model.weights).all()
