@@ -27,11 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, lowered, mix, partitions, saved, source_table, text_bytes, window_hashes, within
+from .common import BROADCAST_IDS, Words, chunks, lowered, mix, partitions, saved, source_table, text_bytes, window_hashes, within
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
-#: Ids of at most this number (8 bytes each) are broadcast to pick documents; more are joined by shuffle.
-BROADCAST_IDS = 500_000
 #: Comparisons with one text are dealt to a task of their own for each so many.
 PER_TASK = 512
 #: Rounds in which one more text of each open bucket meets the texts of other classes in it.

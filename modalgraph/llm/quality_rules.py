@@ -1,10 +1,12 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted texts and the whole corpus, beside plain counts.
 
 Runs of ``WIDTH`` bytes are hashed to ``2 ** BITS`` buckets.  Every text of the corpus adds to the raw multinomial; texts whose
-ids are in a bounded sample of trusted labelled rows (``TRUSTED`` at most, chosen by hash) add to the target multinomial too.
+ids are labelled good and not toxic add to the target multinomial too.
 A text's score is the mean over its runs of log(target / raw), the target smoothed towards the raw counts; texts below
 ``THRESHOLD`` are rejected.  Each task sends one count for each bucket it met, so what is gathered is bounded by the buckets.
 
+Trusted ids meet the texts in a join, broadcast after a count of them (``BROADCAST_IDS`` at most) and else by shuffle.
+
 Defined results: a null or empty text has no words, fails the base rules and scores 0; a corpus with no trusted text scores 0
 everywhere and only the base rules reject; repeated rows are judged alike; an empty table gives no rows; other columns are
 ignored by ``judge`` and passed through by ``keep``.
@@ -20,38 +22,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, source_table, sums, text_bytes
+from .common import BROADCAST_IDS, chunks, source_table, sums, text_bytes
 from .text_stats import TextStats, grams
 
-WIDTH, BITS, TRUSTED, SMOOTHING, THRESHOLD = 4, 16, 20_000, 65_536.0, -0.35
+WIDTH, BITS, SMOOTHING, THRESHOLD = 4, 16, 65_536.0, -0.35
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 
 
-def _count(batches: Iterator[pa.RecordBatch], trusted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw = np.zeros(1 << BITS, np.int64)
     target = np.zeros(1 << BITS, np.int64)
     for rows in chunks(batches, "text"):
         data, offsets = text_bytes(rows.column("text"))
         bucket, first = grams(data, offsets, WIDTH, BITS)
         raw += np.bincount(bucket, minlength=1 << BITS)
-        ids = rows.column("doc_id")
-        own = np.isin(ids.fill_null(0).to_numpy(), trusted) & ~ids.is_null().to_numpy(zero_copy_only=False)
+        own = rows.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
         target += np.bincount(bucket[np.repeat(own, np.diff(first))], minlength=1 << BITS)
     met = np.flatnonzero(raw)
     yield pa.record_batch([pa.array(met, pa.int32()), pa.array(raw[met]), pa.array(target[met])], names=["bucket", "raw", "target"])
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> np.ndarray:
-    """Ids of at most ``limit`` rows labelled good and not toxic, chosen by hash."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return np.array(sorted(r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()), np.int64)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): the ids of rows labelled good and not toxic."""
+    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()
+    return labels.filter(good).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def fit(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of each bucket, from all texts."""
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The log ratio of each bucket, from all texts; ``trusted`` has different ids (doc_id)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.mapInArrow(partial(_count, trusted=trusted), "bucket int, raw long, target long")
+    known = trusted.select("doc_id", F.lit(True).alias("trusted"))
+    known = F.broadcast(known) if trusted.count() <= BROADCAST_IDS else known
+    flagged = rows.join(known, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    counts = flagged.mapInArrow(_count, "bucket int, raw long, target long")
     got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got.column("bucket").to_numpy()

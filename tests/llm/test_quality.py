@@ -39,8 +39,15 @@ def test_counts(texts):
     assert got == [counted(t) for t in texts]
 
 
-def test_rules_on_odd_rows(odd, odd_rows):
-    ratio = quality_rules.fit(odd, np.array([0, 1, 2, 3]))
+def trusted(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_rules_on_odd_rows(spark, odd, odd_rows, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", broadcast)
+    ratio = quality_rules.fit(odd, trusted(spark, 0, 1, 2, 3))
+    assert ratio.any()
     got = quality_rules.judge(odd, ratio).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == sorted((str(d), *counted(t)) for d, t, *_ in odd_rows)
@@ -55,7 +62,7 @@ def test_rules_on_odd_rows(odd, odd_rows):
 def test_rules_score_is_the_mean_log_ratio(spark):
     texts = ["abcabcabc", "xyzxyz", "abcxyz"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    ratio = quality_rules.fit(docs, np.array([0]))
+    ratio = quality_rules.fit(docs, trusted(spark, 0))
     grams = lambda t: [t[i : i + 4] for i in range(len(t) - 3)]
     raw, target = Counter(g for t in texts for g in grams(t)), Counter(grams(texts[0]))
     n, m, s = sum(raw.values()), sum(target.values()), quality_rules.SMOOTHING
@@ -67,15 +74,15 @@ def test_rules_score_is_the_mean_log_ratio(spark):
 
 def test_rules_without_trusted_texts(odd, spark):
     labels = spark.createDataFrame([(None, 1, 0), (99, 1, None), (1, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
-    assert quality_rules.trusted_ids(labels).tolist() == [99]
+    assert [r[0] for r in quality_rules.trusted_ids(labels).collect()] == [99]
     ratio = quality_rules.fit(odd, quality_rules.trusted_ids(labels))
     assert not ratio.any()
     assert {r["llr"] for r in quality_rules.judge(odd, ratio).collect()} == {0.0}
 
 
 @pytest.mark.parametrize("module", [quality_rules, quality_classifier])
-def test_no_rows(nothing, module):
-    model = quality_rules.fit(nothing, np.zeros(0, np.int64)) if module is quality_rules else quality_classifier.fit(nothing)
+def test_no_rows(spark, nothing, module):
+    model = quality_rules.fit(nothing, trusted(spark)) if module is quality_rules else quality_classifier.fit(nothing)
     assert module.judge(nothing, model).collect() == []
     assert module.keep(nothing, model).collect() == []
 
