@@ -1,18 +1,23 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
 A text's k-mers are its runs of ``K`` words (``[^\\x20\\x09-\\x0D]+``; a text of fewer words is one k-mer, an empty text has one
-empty word), each numbered by its occurrence so that repeats differ.  A k-mer's hash deals it to one of ``BINS`` samples; of each
-sample the ``TUPLE`` k-mers of least hash are selected, put back into the order they have in the text, and hashed as a tuple.
-One hash for each k-mer thus serves all samples (one permutation).  Two fingerprints are alike in the share of samples, of those
-that either has, whose tuples agree: moving, replacing or repeating k-mers changes tuples, so likeness falls with edit distance.
-
-Each row is worked on by itself in array functions; hashes and places are packed in longs so that sorting them is a primitive
-sort.  The only exchange deals documents by ranges of doc_id to find each one's neighbour.  K-mers share their places beyond
-2 ** 24 words.
-
-Defined results: a null text is an empty one; equal texts have equal fingerprints; documents of equal or null ids are ordered by
-their text's hash, null ids after all others; the document after the last is the first, so a single one is its own neighbour;
-an empty table gives no rows; other columns are ignored.
+empty word), each numbered by its occurrence so that repeats differ.  Each of ``SAMPLES`` samples orders all k-mers of the text
+in a way of its own, takes the ``TUPLE`` least, puts them back into the order they have in the text, and hashes them as a tuple.
+Likeness is the share of samples whose tuples agree: moving, replacing or repeating k-mers changes tuples, so it falls with edit
+distance.
+
+The orders come from arrivals: a k-mer arrives once in each of ``SAMPLES`` rounds, at a hashed time within the round, each time
+at another sample, which one a permutation of its own says.  So the time at which it comes to a sample is any of the rounds and
+any time in it, alike for all samples, and a sample takes those that come first.  As a sample is full after two arrivals, only
+the first rounds are drawn: as long as ``ARRIVALS`` k-mers are expected to take, or a part of the first round.  Should a sample
+not be full then (texts with at most ``ARRIVALS / SAMPLES`` k-mers have drawn all rounds anyway), all rounds are drawn.
+
+Each row is worked on by itself in array functions.  The only exchange deals documents by ranges of doc_id to find each one's
+neighbour.
+
+Defined results: a null text is an empty one; a text with a single k-mer has it alone in all samples; equal texts have equal
+fingerprints; documents of equal or null ids are ordered by their text's hash, null ids after all others; the document after the
+last is the first, so a single one is its own neighbour; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +27,61 @@ from pyspark.sql import functions as F
 
 from .common import partitions, source_table
 
-K, BINS, TUPLE = 5, 64, 2
-_PLACE, _BIN_BITS = 24, 6
-_HASH_MASK, _PLACE_MASK = -(1 << _PLACE), (1 << _PLACE) - 1
+K, SAMPLES, TUPLE = 5, 64, 2
+#: Arrivals drawn first: that a sample has fewer than two of them has a probability below 1e-7.
+ARRIVALS = 24 * SAMPLES
+#: Bits of a time within a round; an arrival is packed as sample, time and place in 6, 26 and 32 bits.
+_TIME, _KEPT, _PLACE = 40, 26, 32
 
 
-def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - _BIN_BITS)
+def _shift(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, bits)
+
+
+def _time(kmer: Column, turn: Column) -> Column:
+    """When a k-mer arrives in a round (from 0): the round and a hashed part of it."""
+    return F.shiftleft(turn.cast("long"), _TIME).bitwiseOR(F.shiftrightunsigned(F.xxhash64(kmer, turn), 64 - _TIME))
+
+
+def _sample(kmer: Column, turn: Column) -> Column:
+    """At which sample: over the rounds a permutation, odd steps from a start, both of the k-mer's own."""
+    step, start = kmer.bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned(kmer, 6).bitwiseAND(F.lit(SAMPLES - 1))
+    return (step * turn + start).bitwiseAND(F.lit(SAMPLES - 1))
+
+
+def _first(kmers: str, end: Column, spare: Column) -> Column:
+    """The first ``TUPLE`` arrivals before ``end`` at each sample, by sample and time, packed; ``spare`` bits of times are dropped."""
+    places = F.sequence(F.lit(0), F.size(kmers) - 1)
+    kmer = lambda i: F.get(F.col(kmers), i)
+
+    def arrivals(turn: Column) -> Column:
+        early = F.filter(places, lambda i: _time(kmer(i), turn) < end)
+        return F.transform(early, lambda i: F.shiftleft(_sample(kmer(i), turn), _KEPT + _PLACE).bitwiseOR(F.shiftleft(_shift(_time(kmer(i), turn), spare), _PLACE)).bitwiseOR(i.cast("long")))
+
+    turns = F.sequence(F.lit(0), F.shiftright(end - 1, _TIME).cast("int"))
+    met = F.sort_array(F.flatten(F.transform(turns, arrivals)))
+    of = lambda x: F.shiftrightunsigned(x, _KEPT + _PLACE)
+    # a sort of arrivals is bound once: its result is the only element of an array
+    return F.get(F.transform(F.array(met), lambda a: F.filter(a, lambda x, i: (i < TUPLE) | (of(x) != of(F.get(a, i - TUPLE))))), 0)
+
+
+def numbered(df: DataFrame, own: list[str]) -> DataFrame:
+    """Replaces ``__k``, hashes of k-mers, by hashes of k-mers with their occurrence; adds ``__p``, their places, or null if they are in order.
+
+    Only texts with repeated k-mers sort them to number their occurrences.
+    """
+    pairs = F.sort_array(F.transform("__k", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.select(*own, "__k", F.when(F.size(F.array_distinct("__k")) < F.size("__k"), pairs).alias("__s"))
+    h = lambda i: F.get(F.col("__s"), i)["h"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (h(i) != h(i - 1)))
+    df = df.select(*own, "__k", "__s", F.when(F.col("__s").isNotNull(), heads).alias("__h"))
+
+    def occurrences(head: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(F.col("__h"), i + 1), F.size("__s")) - 1
+        return F.transform(F.sequence(head, last), lambda j: F.when(j == head, h(j)).otherwise(F.xxhash64(h(j), j - head)))
+
+    renamed = F.when(F.col("__s").isNull(), F.col("__k")).otherwise(F.flatten(F.transform("__h", occurrences)))
+    return df.select(*own, renamed.alias("__k"), F.transform("__s", lambda x: x["i"]).alias("__p"))
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -37,38 +90,37 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")), "[ \\x09-\\x0D]+")
     df = df.select(*own, F.transform(words, lambda w: F.xxhash64(w)).alias("__w"))
     runs = F.sequence(F.lit(1), F.greatest(F.size("__w") - (K - 1), F.lit(1)))
-    df = df.select(*own, F.transform(runs, lambda i: F.xxhash64(F.slice("__w", i, K))).alias("__k"))
-    packed = F.sort_array(F.transform("__k", lambda h, i: h.bitwiseAND(F.lit(_HASH_MASK)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_PLACE_MASK)))))
-    df = df.select(*own, packed.alias("__s"), (F.size(F.array_distinct("__k")) < F.size("__k")).alias("__again"))
-    hash_at = lambda i: F.get(F.col("__s"), i).bitwiseAND(F.lit(_HASH_MASK))
-    heads = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (hash_at(i) != hash_at(i - 1)))
-    df = df.select(*own, "__s", F.when(F.col("__again"), heads).alias("__h"))
-
-    def numbered(head: Column, i: Column) -> Column:
-        last = F.coalesce(F.get(F.col("__h"), i + 1), F.size("__s")) - 1
-        number = lambda j: F.get(F.col("__s"), j).bitwiseAND(F.lit(_PLACE_MASK)).bitwiseOR(F.xxhash64(hash_at(j), j - head).bitwiseAND(F.lit(_HASH_MASK)))
-        return F.transform(F.sequence(head, last), lambda j: F.when(j == head, F.get(F.col("__s"), j)).otherwise(number(j)))
-
-    df = df.select(*own, F.when(F.col("__h").isNull(), F.col("__s")).otherwise(F.sort_array(F.flatten(F.transform("__h", numbered)))).alias("__t"))
-    least = F.filter("__t", lambda x, j: (j < TUPLE) | (_bin(x) != _bin(F.get(F.col("__t"), j - TUPLE))))
-    placed = lambda x: F.shiftleft(_bin(x), 58).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(_PLACE_MASK)), 34)).bitwiseOR(F.shiftrightunsigned(x, 24).bitwiseAND(F.lit((1 << 34) - 1)))
-    df = df.select(*own, F.sort_array(F.transform(least, placed)).alias("__g"))
-    at = lambda j: F.get(F.col("__g"), j)
-    opens = F.filter(F.sequence(F.lit(0), F.size("__g") - 1), lambda j: (j == 0) | (_bin(at(j)) != _bin(at(j - 1))))
-    low = lambda x: x.bitwiseAND(F.lit((1 << 34) - 1))
-    member = lambda j, i: F.when(_bin(at(j + i)) == _bin(at(j)), low(at(j + i)))
-    tuples = F.transform(opens, lambda j: F.shiftleft(_bin(at(j)), 32).bitwiseOR(F.xxhash64(*(low(at(j)) if i == 0 else member(j, i) for i in range(TUPLE))).bitwiseAND(F.lit((1 << 32) - 1))))
-    return df.select(*own, tuples.alias(out))
+    df = numbered(df.select(*own, F.transform(runs, lambda i: F.xxhash64(F.slice("__w", i, K))).alias("__k")), own)
+    whole = F.lit(SAMPLES << _TIME).cast("long")
+    end = F.least(F.ceil(F.lit(float(ARRIVALS << _TIME)) / F.size("__k")).cast("long"), whole)
+    df = df.select(*own, "__k", "__p", end.alias("__e"))
+    spare = F.greatest(F.ceil(F.log2(F.col("__e"))).cast("int") - _KEPT, F.lit(0))
+    df = df.select(*own, "__k", "__p", _first("__k", F.col("__e"), spare).alias("__g"), "__e")
+    many = F.least(F.size("__k"), F.lit(TUPLE))
+    full = (F.size("__g") == many * SAMPLES) | (F.col("__e") == whole)
+    df = df.select(*own, "__k", "__p", F.when(full, F.col("__g")).otherwise(_first("__k", whole, F.lit(_TIME + 6 - _KEPT))).alias("__g"), many.alias("__m"))
+    at = lambda j: F.get(F.col("__g"), j).bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+    place = lambda i: F.coalesce(F.get(F.col("__p"), i), i)
+    kmer = lambda i: F.get(F.col("__k"), i)
+
+    def tupled(sample: Column) -> Column:
+        run = sample.bitwiseXOR(F.lit(SAMPLES // 2))  # packed arrivals sort as signed numbers
+        one = at(run * F.col("__m"))
+        other = F.when(F.col("__m") == TUPLE, at(run * TUPLE + 1))
+        in_order = other.isNull() | (place(one) < place(other))
+        pair = F.when(in_order, F.xxhash64(kmer(one), kmer(other))).otherwise(F.xxhash64(kmer(other), kmer(one)))
+        return F.shiftleft(sample.cast("long"), 32).bitwiseOR(pair.bitwiseAND(F.lit((1 << 32) - 1)))
+
+    return df.select(*own, F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), tupled).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: agreeing samples of two fingerprint arrays over the samples that either has."""
-    sample = lambda x: F.shiftright(x, 32)
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(F.transform(a, sample), F.transform(b, sample)))
+    """From 0 to 1: the share of samples in which two fingerprint arrays agree."""
+    return F.size(F.array_intersect(a, b)) / F.lit(SAMPLES)
 
 
 def as_text(a: Column) -> Column:
-    """Ten hexadecimal digits for each sample that the text has: two of the sample, eight of its tuple."""
+    """Ten hexadecimal digits for each sample: two of the sample, eight of its tuple."""
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 10, "0")), ""))
 
 

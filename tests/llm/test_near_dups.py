@@ -162,38 +162,53 @@ def order_sketch(spark, texts):
 
 
 def brute_sketch(spark, text):
-    """The same selection by plain loops, with the engine's hash for single values."""
-    words = [w for w in (text or "").strip(" \t\n\x0b\x0c\r").replace("\n", " ").split(" ")]
-    words = [w for i, w in enumerate(words) if w or len(words) == 1]
-    hashed = lambda values, kinds: spark.createDataFrame([tuple(values)], kinds).select(F.xxhash64("*")).head()[0]
-    of_word = {w: hashed([w], "a string") for w in set(words)}
+    """Every sample orders all k-mers anew, by plain loops, with the engine's hash for single values."""
+    words = (text or "").strip(" \t\n\x0b\x0c\r").replace("\n", " ").split(" ")
+    words = [w for w in words if w or len(words) == 1]
+    hashed = lambda rows, kinds: [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kinds}").coalesce(1).orderBy("i").select(F.xxhash64(*[k.split()[0] for k in kinds.split(", ")])).collect()]
+    of_word = dict(zip(words, hashed([[w] for w in words], "a string"), strict=True))
     k = order_minhash.K
-    grams = [[of_word[w] for w in words[i : i + k]] for i in range(max(1, len(words) - k + 1))]
-    seen, table = Counter(), []
-    for place, g in enumerate(grams):
-        h = spark.createDataFrame([(g,)], "a array<bigint>").select(F.xxhash64("a")).head()[0]
-        h = (h >> 24) << 24
-        n = seen[h]
-        seen[h] += 1
-        if n:
-            h = (hashed([h, n], "a bigint, b int") >> 24) << 24
-        table.append((h & (2**64 - 1), place))
+    grams = hashed([[[of_word[w] for w in words[i : i + k]]] for i in range(max(1, len(words) - k + 1))], "a array<bigint>")
+    seen, kmers = Counter(), []
+    for g in grams:
+        kmers.append(g if not seen[g] else hashed([[g, seen[g]]], "a bigint, b int")[0])
+        seen[g] += 1
+    rounds = range(order_minhash.SAMPLES)
+    draws = iter(hashed([[x, j] for x in kmers for j in rounds], "a bigint, b int"))
+    came = [{} for _ in rounds]
+    for place, x in enumerate(kmers):
+        u = x % 2**64
+        for j in rounds:
+            sample = ((u % 64 | 1) * j + (u >> 6) % 64) % 64
+            came[sample][place] = (j, (next(draws) % 2**64) >> 24)
     out = []
-    for b in range(order_minhash.BINS):
-        chosen = sorted(x for x in table if x[0] >> 58 == b)
-        # longs sort signed, so within one sample the order of unsigned hashes is the same
-        chosen = sorted(chosen[: order_minhash.TUPLE], key=lambda x: x[1])
-        if chosen:
-            parts = [(h >> 24) & (2**34 - 1) for h, _ in chosen] + [None] * (order_minhash.TUPLE - len(chosen))
-            t = hashed(parts, ", ".join(f"c{i} bigint" for i in range(len(parts))))
-            out.append(b << 32 | t & (2**32 - 1))
-    return out
-
-
-@pytest.mark.parametrize("text", ["", "one", "a b c d e f g h", "x y z " * 9, "the cat sat on the mat and the cat sat on the mat again and again"])
-def test_fingerprint_selects_as_defined(spark, text):
-    got = order_sketch(spark, [text])[0]
-    assert sorted(got) == sorted(brute_sketch(spark, text))
+    for number, times in enumerate(came):
+        assert len(times) == len(kmers)  # each k-mer comes to each sample once
+        chosen = sorted(sorted(times, key=times.get)[: order_minhash.TUPLE])
+        parts = [kmers[p] for p in chosen] + [None] * (order_minhash.TUPLE - len(chosen))
+        out.append(parts)
+    return [i << 32 | t & (2**32 - 1) for i, t in enumerate(hashed(out, "a bigint, b bigint"))]
+
+
+@pytest.mark.parametrize("text", ["", "one", "a b c d e f g h", "x y z " * 9, "the cat sat on the mat and the cat sat on the mat again and again", prose(random.Random(2), 40), prose(random.Random(3), 700) + " again and again" * 20])
+@pytest.mark.parametrize("arrivals", [64, order_minhash.ARRIVALS])
+def test_every_sample_selects_from_all_kmers(spark, monkeypatch, text, arrivals):
+    monkeypatch.setattr(order_minhash, "ARRIVALS", arrivals)  # with few, samples are not full and all rounds are drawn
+    assert order_sketch(spark, [text])[0] == brute_sketch(spark, text)
+
+
+def test_swapped_halves_of_short_texts_are_less_alike(spark):
+    rng = random.Random(8)
+    texts, sizes = [], (20, 40, 80, 160)
+    for n in sizes:
+        for _ in range(5):
+            words = prose(rng, n).split()
+            texts += [" ".join(words), " ".join(words[n // 2 :] + words[: n // 2])]
+    found = order_sketch(spark, texts)
+    likes = [len(set(a) & set(b)) / order_minhash.SAMPLES for a, b in zip(found[::2], found[1::2], strict=True)]
+    for i, n in enumerate(sizes):
+        both = ((n - 8) / n) ** 2  # about the share of samples with two k-mers that both texts have, half of them in another order
+        assert np.mean(likes[5 * i : 5 * i + 5]) < 0.62 * both + 0.05
 
 
 def test_likeness_follows_edits(spark):
