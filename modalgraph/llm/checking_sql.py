@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from . import licenses, url_filters
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,23 +40,31 @@ SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN distrust - trust >=
 
 
 def licenses_sql(similarity: float = licenses.SIMILARITY) -> str:
-    """Every line scored against every template by its terms, then ancestors by prefixes of paths."""
-    idf, vectors = licenses.weights()
-    rare = math.log(1 + len(vectors)) + 1
-    weights = ", ".join(f"({_text(t)}, {w!r})" for t, w in sorted(idf.items()))
-    templates = ", ".join(f"({i}, {_text(name)}, {_text(t)}, {x!r})" for i, (name, v) in enumerate(vectors) for t, x in sorted(v.items()))
-    return f"""WITH weights(term, w) AS (VALUES {weights}), templates(k, name, term, x) AS (VALUES {templates}),
- d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text, coalesce(source, '') || '/' || coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), '') AS home FROM documents),
- n AS (SELECT *, length(text) <= 400 AND len(regexp_split_to_array(text, '[ \\x09-\\x0D]+')) <= 30 AS short FROM d),
- f AS (SELECT i, doc_id, text, short, home || '/' || CASE WHEN short THEN 'LICENSE' ELSE coalesce(CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') || '.txt' END AS path FROM n),
- c AS (SELECT i, unnest(string_split(translate(text, '{_UPPER}', '{_LOWER}'), chr(10))) AS line FROM f UNION ALL SELECT i, translate(text, '{_UPPER}', '{_LOWER}') FROM f WHERE short),
- u AS (SELECT DISTINCT line FROM c),
- t AS (SELECT line, term, count(*) AS m FROM (SELECT line, unnest(regexp_split_to_array(line, '[^a-z0-9]+')) AS term FROM u) x WHERE term <> '' GROUP BY line, term),
- q AS (SELECT line, sqrt(sum((m * coalesce(w, {rare!r})) ** 2)) AS norm FROM t LEFT JOIN weights USING (term) GROUP BY line),
- s AS (SELECT line, k, name, round(sum(m * w * x) / any_value(norm), 9) AS score FROM t JOIN weights USING (term) JOIN templates USING (term) JOIN q USING (line) GROUP BY line, k, name),
- o AS (SELECT i, name AS own_license, score AS own_score, row_number() OVER (PARTITION BY i ORDER BY score DESC, k) AS best FROM c JOIN s USING (line) WHERE score >= {similarity}),
- g AS (SELECT f.i, doc_id, path, short, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir, own_license, own_score FROM f LEFT JOIN o ON o.i = f.i AND o.best = 1),
- l AS (SELECT dir AS up, arg_max(own_license, (own_score, -(SELECT min(k) FROM templates WHERE name = own_license))) AS given FROM g WHERE short AND own_license IS NOT NULL GROUP BY dir),
+    """Weights from the templates' texts, windows where telling terms lie, and ancestors by prefixes of paths."""
+    texts = [(name, t) for name, found in licenses.TEMPLATES.items() for t in found]
+    values = ", ".join(f"({k}, {_text(name)}, {_text(t)})" for k, (name, t) in enumerate(texts))
+    split = lambda text: f"list_filter(regexp_split_to_array(translate({text}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""WITH said(k, name, text) AS (VALUES {values}),
+ tpl AS (SELECT k, name, {split("text")} AS terms FROM said),
+ lie AS (SELECT k, unnest(terms) AS term, unnest(range(len(terms))) AS place FROM tpl),
+ idf AS (SELECT term, ln((1 + (SELECT count(*) FROM said)) / (1 + count(DISTINCT k))) + 1 AS w FROM lie GROUP BY term),
+ bag AS (SELECT k, term, count(*) * any_value(w) AS y FROM lie JOIN idf USING (term) GROUP BY k, term),
+ long AS (SELECT k, sqrt(sum(y * y)) AS size FROM bag GROUP BY k),
+ vec AS (SELECT k, term, y / size AS x FROM bag JOIN long USING (k)),
+ tell AS (SELECT k, term, place FROM (SELECT k, term FROM vec JOIN idf USING (term) QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(w, 9) DESC, length(term) DESC, term) <= {licenses.TELLING}) x JOIN lie USING (k, term)),
+ d AS (SELECT row_number() OVER () AS i, doc_id, {split("coalesce(text, '')")} AS terms, coalesce(source, '') || '/' || coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), '') || '/' AS home, coalesce(CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), '') || '/' AS hundred FROM documents),
+ f AS (SELECT i, doc_id, terms, home || CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' WHEN doc_id % 10 = 0 THEN hundred || 'LICENSE' ELSE hundred || coalesce(CAST(doc_id AS VARCHAR), '') || '.txt' END AS path FROM d),
+ hit AS (SELECT i, place, term FROM (SELECT i, unnest(terms) AS term, unnest(range(len(terms))) AS place FROM f) x WHERE term IN (SELECT term FROM tell)),
+ win AS (SELECT DISTINCT i, k, hit.place - tell.place AS start FROM hit JOIN tell USING (term)),
+ cut AS (SELECT i, k, list_slice(f.terms, greatest(start, 0) + 1, least(start + len(tpl.terms), len(f.terms))) AS part FROM win JOIN f USING (i) JOIN tpl USING (k)),
+ u AS (SELECT DISTINCT part FROM cut),
+ m AS (SELECT part, term, count(*) AS n FROM (SELECT part, unnest(part) AS term FROM u) x GROUP BY part, term),
+ q AS (SELECT part, sqrt(sum((n * coalesce(w, (SELECT ln(1 + count(*)) + 1 FROM said))) ** 2)) AS norm FROM m LEFT JOIN idf USING (term) GROUP BY part),
+ s AS (SELECT part, k, round(sum(n * w * x) / any_value(norm), 9) AS score FROM m JOIN idf USING (term) JOIN vec USING (term) JOIN q USING (part) GROUP BY part, k),
+ o AS (SELECT i, k, name, score, round(score * CASE WHEN name = {_text(licenses.RESERVATION)} THEN 0 ELSE size END, 6) AS mass FROM cut JOIN s USING (part, k) JOIN said USING (k) JOIN long USING (k) WHERE score >= {similarity}),
+ b AS (SELECT i, k, name AS own_license, score AS own_score, mass FROM o QUALIFY row_number() OVER (PARTITION BY i ORDER BY mass DESC, score DESC, k) = 1),
+ g AS (SELECT f.i, doc_id, path, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir, k, own_license, own_score, mass FROM f LEFT JOIN b USING (i)),
+ l AS (SELECT dir AS up, own_license AS given FROM g WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY mass DESC, own_score DESC, k) = 1),
  v AS (SELECT g.i, up, given, row_number() OVER (PARTITION BY g.i ORDER BY length(up) DESC) AS near FROM g JOIN l ON up = '' OR dir = up OR starts_with(dir, up || '/') WHERE own_license IS NULL)
 SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS license_source, up AS license_dir
 FROM g LEFT JOIN v ON v.i = g.i AND v.near = 1"""

@@ -9,15 +9,15 @@ distance.
 The orders come from arrivals: a k-mer arrives once in each of ``SAMPLES`` rounds, at a hashed time within the round, each time
 at another sample, which one a permutation of its own says.  So the time at which it comes to a sample is any of the rounds and
 any time in it, alike for all samples, and a sample takes those that come first.  As a sample is full after two arrivals, only
-the first rounds are drawn: as long as ``ARRIVALS`` k-mers are expected to take, or a part of the first round.  Should a sample
-not be full then (texts with at most ``ARRIVALS / SAMPLES`` k-mers have drawn all rounds anyway), all rounds are drawn.
+as many rounds are drawn, or of long texts such a part of the first one, as bring ``ARRIVALS[0]`` arrivals.  Where a sample is not
+full then, more are drawn, and at last all rounds.
 
 Each row is worked on by itself in array functions.  The only exchange deals documents by ranges of doc_id to find each one's
 neighbour.
 
 Defined results: a null text is an empty one; a text with a single k-mer has it alone in all samples; equal texts have equal
 fingerprints; documents of equal or null ids are ordered by their text's hash, null ids after all others; the document after the
-last is the first, so a single one is its own neighbour; an empty table gives no rows; other columns are ignored.
+last is the first, so a single one is its own neighbour; an empty table gives no rows; other columns are ignored.  Occurrences are numbered by 33 bits of a k-mer's hash.
 """
 
 from __future__ import annotations
@@ -28,38 +28,41 @@ from pyspark.sql import functions as F
 from .common import partitions, source_table
 
 K, SAMPLES, TUPLE = 5, 64, 2
-#: Arrivals drawn first: that a sample has fewer than two of them has a probability below 1e-7.
-ARRIVALS = 24 * SAMPLES
+#: Arrivals drawn: a sample of them has fewer than two with a probability of 1e-4, and then of 1e-19.
+ARRIVALS = (12 * SAMPLES, 48 * SAMPLES)
 #: Bits of a time within a round; an arrival is packed as sample, time and place in 6, 26 and 32 bits.
 _TIME, _KEPT, _PLACE = 40, 26, 32
+_LOW = (1 << 31) - 1
 
 
-def _shift(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value, bits)
-
-
-def _time(kmer: Column, turn: Column) -> Column:
-    """When a k-mer arrives in a round (from 0): the round and a hashed part of it."""
-    return F.shiftleft(turn.cast("long"), _TIME).bitwiseOR(F.shiftrightunsigned(F.xxhash64(kmer, turn), 64 - _TIME))
+def _part(kmer: Column, turn: Column) -> Column:
+    """At which part of a round a k-mer arrives."""
+    return F.shiftrightunsigned(F.xxhash64(kmer, turn), 64 - _TIME)
 
 
 def _sample(kmer: Column, turn: Column) -> Column:
     """At which sample: over the rounds a permutation, odd steps from a start, both of the k-mer's own."""
-    step, start = kmer.bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned(kmer, 6).bitwiseAND(F.lit(SAMPLES - 1))
+    step, start = kmer.bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned(kmer, 6)
     return (step * turn + start).bitwiseAND(F.lit(SAMPLES - 1))
 
 
-def _first(kmers: str, end: Column, spare: Column) -> Column:
-    """The first ``TUPLE`` arrivals before ``end`` at each sample, by sample and time, packed; ``spare`` bits of times are dropped."""
-    places = F.sequence(F.lit(0), F.size(kmers) - 1)
+def _first(kmers: str, arrivals: int | None) -> Column:
+    """The first ``TUPLE`` arrivals of those drawn (all if None) at each sample, by sample and time, packed."""
     kmer = lambda i: F.get(F.col(kmers), i)
-
-    def arrivals(turn: Column) -> Column:
-        early = F.filter(places, lambda i: _time(kmer(i), turn) < end)
-        return F.transform(early, lambda i: F.shiftleft(_sample(kmer(i), turn), _KEPT + _PLACE).bitwiseOR(F.shiftleft(_shift(_time(kmer(i), turn), spare), _PLACE)).bitwiseOR(i.cast("long")))
-
-    turns = F.sequence(F.lit(0), F.shiftright(end - 1, _TIME).cast("int"))
-    met = F.sort_array(F.flatten(F.transform(turns, arrivals)))
+    places, n = F.sequence(F.lit(0), F.size(kmers) - 1), F.size(kmers)
+    if arrivals is None:
+        turns, spare = F.lit(SAMPLES), F.lit(_TIME + 6 - _KEPT)
+    else:
+        turns, end = F.least(F.ceil(F.lit(arrivals) / n).cast("int"), F.lit(SAMPLES)), F.floor(F.lit(float(arrivals << _TIME)) / n)
+        spare = F.when(n > arrivals, F.ceil(F.log2(end)).cast("int") - _KEPT).otherwise(F.ceil(F.log2(turns)).cast("int") + (_TIME - _KEPT))
+        places = F.when(n > arrivals, F.filter(places, lambda i: _part(kmer(i), F.lit(0)) < end)).otherwise(places)
+
+    def drawn(start: Column, turn: Column, i: Column) -> Column:
+        time = F.call_function("shiftrightunsigned", start.bitwiseOR(_part(kmer(i), turn)), start_spare)
+        return F.shiftleft(_sample(kmer(i), turn), _KEPT + _PLACE).bitwiseOR(F.shiftleft(time, _PLACE)).bitwiseOR(i)
+
+    start_spare = F.greatest(spare, F.lit(0))
+    met = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), turns - 1), lambda turn: F.transform(places, lambda i: drawn(F.shiftleft(turn.cast("long"), _TIME), turn, i)))))
     of = lambda x: F.shiftrightunsigned(x, _KEPT + _PLACE)
     # a sort of arrivals is bound once: its result is the only element of an array
     return F.get(F.transform(F.array(met), lambda a: F.filter(a, lambda x, i: (i < TUPLE) | (of(x) != of(F.get(a, i - TUPLE))))), 0)
@@ -68,20 +71,22 @@ def _first(kmers: str, end: Column, spare: Column) -> Column:
 def numbered(df: DataFrame, own: list[str]) -> DataFrame:
     """Replaces ``__k``, hashes of k-mers, by hashes of k-mers with their occurrence; adds ``__p``, their places, or null if they are in order.
 
-    Only texts with repeated k-mers sort them to number their occurrences.
+    Only texts with repeated k-mers sort them, packed with their places, to number their occurrences.
     """
-    pairs = F.sort_array(F.transform("__k", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("__k", lambda h, i: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i)))
     df = df.select(*own, "__k", F.when(F.size(F.array_distinct("__k")) < F.size("__k"), pairs).alias("__s"))
-    h = lambda i: F.get(F.col("__s"), i)["h"]
-    heads = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (h(i) != h(i - 1)))
+    of = lambda i: F.shiftright(F.get(F.col("__s"), i), 31)
+    place = lambda i: F.get(F.col("__s"), i).bitwiseAND(F.lit(_LOW)).cast("int")
+    kmer = lambda i: F.get(F.col("__k"), place(i))
+    heads = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (of(i) != of(i - 1)))
     df = df.select(*own, "__k", "__s", F.when(F.col("__s").isNotNull(), heads).alias("__h"))
 
     def occurrences(head: Column, i: Column) -> Column:
         last = F.coalesce(F.get(F.col("__h"), i + 1), F.size("__s")) - 1
-        return F.transform(F.sequence(head, last), lambda j: F.when(j == head, h(j)).otherwise(F.xxhash64(h(j), j - head)))
+        return F.transform(F.sequence(head, last), lambda j: F.when(j == head, kmer(j)).otherwise(F.xxhash64(kmer(j), j - head)))
 
     renamed = F.when(F.col("__s").isNull(), F.col("__k")).otherwise(F.flatten(F.transform("__h", occurrences)))
-    return df.select(*own, renamed.alias("__k"), F.transform("__s", lambda x: x["i"]).alias("__p"))
+    return df.select(*own, renamed.alias("__k"), F.transform("__s", lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("__p"))
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -89,16 +94,13 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     own = [c for c in df.columns if c != out]
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")), "[ \\x09-\\x0D]+")
     df = df.select(*own, F.transform(words, lambda w: F.xxhash64(w)).alias("__w"))
-    runs = F.sequence(F.lit(1), F.greatest(F.size("__w") - (K - 1), F.lit(1)))
-    df = numbered(df.select(*own, F.transform(runs, lambda i: F.xxhash64(F.slice("__w", i, K))).alias("__k")), own)
-    whole = F.lit(SAMPLES << _TIME).cast("long")
-    end = F.least(F.ceil(F.lit(float(ARRIVALS << _TIME)) / F.size("__k")).cast("long"), whole)
-    df = df.select(*own, "__k", "__p", end.alias("__e"))
-    spare = F.greatest(F.ceil(F.log2(F.col("__e"))).cast("int") - _KEPT, F.lit(0))
-    df = df.select(*own, "__k", "__p", _first("__k", F.col("__e"), spare).alias("__g"), "__e")
+    runs = F.sequence(F.lit(0), F.greatest(F.size("__w") - K, F.lit(0)))
+    df = numbered(df.select(*own, F.transform(runs, lambda i: F.xxhash64(*(F.get(F.col("__w"), i + k) for k in range(K)))).alias("__k")), own)
     many = F.least(F.size("__k"), F.lit(TUPLE))
-    full = (F.size("__g") == many * SAMPLES) | (F.col("__e") == whole)
-    df = df.select(*own, "__k", "__p", F.when(full, F.col("__g")).otherwise(_first("__k", whole, F.lit(_TIME + 6 - _KEPT))).alias("__g"), many.alias("__m"))
+    df = df.select(*own, "__k", "__p", many.alias("__m"), _first("__k", ARRIVALS[0]).alias("__g"))
+    for arrivals in (ARRIVALS[1], None):
+        more = F.when(F.size("__g") == F.col("__m") * SAMPLES, F.col("__g")).otherwise(_first("__k", arrivals))
+        df = df.select(*own, "__k", "__p", "__m", more.alias("__g"))
     at = lambda j: F.get(F.col("__g"), j).bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
     place = lambda i: F.coalesce(F.get(F.col("__p"), i), i)
     kmer = lambda i: F.get(F.col("__k"), i)

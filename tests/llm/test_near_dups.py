@@ -168,7 +168,8 @@ def brute_sketch(spark, text):
     hashed = lambda rows, kinds: [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kinds}").coalesce(1).orderBy("i").select(F.xxhash64(*[k.split()[0] for k in kinds.split(", ")])).collect()]
     of_word = dict(zip(words, hashed([[w] for w in words], "a string"), strict=True))
     k = order_minhash.K
-    grams = hashed([[[of_word[w] for w in words[i : i + k]]] for i in range(max(1, len(words) - k + 1))], "a array<bigint>")
+    runs = [[of_word[w] for w in words[i : i + k]] for i in range(max(1, len(words) - k + 1))]
+    grams = hashed([r + [None] * (k - len(r)) for r in runs], ", ".join(f"c{i} bigint" for i in range(k)))
     seen, kmers = Counter(), []
     for g in grams:
         kmers.append(g if not seen[g] else hashed([[g, seen[g]]], "a bigint, b int")[0])
@@ -191,7 +192,7 @@ def brute_sketch(spark, text):
 
 
 @pytest.mark.parametrize("text", ["", "one", "a b c d e f g h", "x y z " * 9, "the cat sat on the mat and the cat sat on the mat again and again", prose(random.Random(2), 40), prose(random.Random(3), 700) + " again and again" * 20])
-@pytest.mark.parametrize("arrivals", [64, order_minhash.ARRIVALS])
+@pytest.mark.parametrize("arrivals", [(64, 128), order_minhash.ARRIVALS])
 def test_every_sample_selects_from_all_kmers(spark, monkeypatch, text, arrivals):
     monkeypatch.setattr(order_minhash, "ARRIVALS", arrivals)  # with few, samples are not full and all rounds are drawn
     assert order_sketch(spark, [text])[0] == brute_sketch(spark, text)
