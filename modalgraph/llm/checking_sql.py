@@ -64,7 +64,7 @@ def licenses_sql(similarity: float = licenses.SIMILARITY) -> str:
  o AS (SELECT i, k, name, score, round(score * CASE WHEN name = {_text(licenses.RESERVATION)} THEN 0 ELSE size END, 6) AS mass FROM cut JOIN s USING (part, k) JOIN said USING (k) JOIN long USING (k) WHERE score >= {similarity}),
  b AS (SELECT i, k, name AS own_license, score AS own_score, mass FROM o QUALIFY row_number() OVER (PARTITION BY i ORDER BY mass DESC, score DESC, k) = 1),
  g AS (SELECT f.i, doc_id, path, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir, k, own_license, own_score, mass FROM f LEFT JOIN b USING (i)),
- l AS (SELECT dir AS up, own_license AS given FROM g WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY mass DESC, own_score DESC, k) = 1),
+ l AS (SELECT dir AS up, own_license AS given FROM g WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, mass DESC, k) = 1),
  v AS (SELECT g.i, up, given, row_number() OVER (PARTITION BY g.i ORDER BY length(up) DESC) AS near FROM g JOIN l ON up = '' OR dir = up OR starts_with(dir, up || '/') WHERE own_license IS NULL)
 SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS license_source, up AS license_dir
 FROM g LEFT JOIN v ON v.i = g.i AND v.near = 1"""

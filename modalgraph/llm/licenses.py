@@ -15,7 +15,7 @@ to the licensed ones by each of their ancestor paths, then files to directories.
 weights are literals in the plan, and texts are scored in their own rows, so texts are never exchanged.
 
 Defined results: a null or empty text has no licence of its own; a null path is a file in the root directory; ties between
-templates go to the higher cosine and then the first, licence files of one directory are ranked as windows are;
+templates go to the higher cosine and then the first, ties between licence files of one directory to the higher cosine;
 repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -195,7 +195,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     named = F.regexp_extract("path", "(?s)([^/]*)$", 1).rlike(FILE_NAMES)
     found = with_license(rows, "text", "own", similarity).select("doc_id", "path", directory(F.col("path")).alias("dir"), named.alias("named"), "own")
     found = saved(found, "licenses")
-    licensed = found.filter("named and own is not null").groupBy("dir").agg(F.max("own").alias("given"))
+    licensed = found.filter("named and own is not null").groupBy("dir").agg(F.max(F.struct("own.score", "own.mass", "own.order", "own.license")).alias("given"))
     parts = F.split("dir", "/")
     ancestors = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
     above = found.filter("own is null").select("dir").distinct().select("dir", F.explode(ancestors).alias("up"))
