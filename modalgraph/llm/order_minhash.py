@@ -7,7 +7,7 @@ Likeness is the share of samples whose tuples agree: moving, replacing or repeat
 distance.
 
 The orders come from arrivals: a k-mer arrives once in each of ``SAMPLES`` rounds, at a hashed time within the round, each time
-at another sample, which one a permutation of its own says.  So the time at which it comes to a sample is any of the rounds and
+at another sample, its own first one XOR the round.  So the time at which it comes to a sample is any of the rounds and
 any time in it, alike for all samples, and a sample takes those that come first.  As a sample is full after two arrivals, only
 as many rounds are drawn, or of long texts such a part of the first one, as bring ``ARRIVALS[0]`` arrivals.  Where a sample is not
 full then, more are drawn, and at last all rounds.
@@ -30,42 +30,40 @@ from .common import partitions, source_table
 K, SAMPLES, TUPLE = 5, 64, 2
 #: Arrivals drawn: a sample of them has fewer than two with a probability of 1e-4, and then of 1e-19.
 ARRIVALS = (12 * SAMPLES, 48 * SAMPLES)
-#: Bits of a time within a round; an arrival is packed as sample, time and place in 6, 26 and 32 bits.
-_TIME, _KEPT, _PLACE = 40, 26, 32
-_LOW = (1 << 31) - 1
+#: An arrival is packed as sample, time and place in 6, 26 and 32 bits.
+_SAMPLE, _MIDDLE, _LOW = 58, ((1 << 26) - 1) << 32, (1 << 31) - 1
 
 
-def _part(kmer: Column, turn: Column) -> Column:
-    """At which part of a round a k-mer arrives."""
-    return F.shiftrightunsigned(F.xxhash64(kmer, turn), 64 - _TIME)
+def _shifted(way: str, value: Column, bits: Column) -> Column:
+    return F.call_function(f"shift{way}", value, bits)
 
 
-def _sample(kmer: Column, turn: Column) -> Column:
-    """At which sample: over the rounds a permutation, odd steps from a start, both of the k-mer's own."""
-    step, start = kmer.bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned(kmer, 6)
-    return (step * turn + start).bitwiseAND(F.lit(SAMPLES - 1))
+def _drawn(df: DataFrame, own: list[str], arrivals: int | None) -> DataFrame:
+    """Adds ``__a``, arrivals of the k-mers ``__k``, packed and sorted, where the samples ``__g`` are not full.
 
-
-def _first(kmers: str, arrivals: int | None) -> Column:
-    """The first ``TUPLE`` arrivals of those drawn (all if None) at each sample, by sample and time, packed."""
-    kmer = lambda i: F.get(F.col(kmers), i)
-    places, n = F.sequence(F.lit(0), F.size(kmers) - 1), F.size(kmers)
-    if arrivals is None:
-        turns, spare = F.lit(SAMPLES), F.lit(_TIME + 6 - _KEPT)
-    else:
-        turns, end = F.least(F.ceil(F.lit(arrivals) / n).cast("int"), F.lit(SAMPLES)), F.floor(F.lit(float(arrivals << _TIME)) / n)
-        spare = F.when(n > arrivals, F.ceil(F.log2(end)).cast("int") - _KEPT).otherwise(F.ceil(F.log2(turns)).cast("int") + (_TIME - _KEPT))
-        places = F.when(n > arrivals, F.filter(places, lambda i: _part(kmer(i), F.lit(0)) < end)).otherwise(places)
-
-    def drawn(start: Column, turn: Column, i: Column) -> Column:
-        time = F.call_function("shiftrightunsigned", start.bitwiseOR(_part(kmer(i), turn)), start_spare)
-        return F.shiftleft(_sample(kmer(i), turn), _KEPT + _PLACE).bitwiseOR(F.shiftleft(time, _PLACE)).bitwiseOR(i)
-
-    start_spare = F.greatest(spare, F.lit(0))
-    met = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), turns - 1), lambda turn: F.transform(places, lambda i: drawn(F.shiftleft(turn.cast("long"), _TIME), turn, i)))))
-    of = lambda x: F.shiftrightunsigned(x, _KEPT + _PLACE)
-    # a sort of arrivals is bound once: its result is the only element of an array
-    return F.get(F.transform(F.array(met), lambda a: F.filter(a, lambda x, i: (i < TUPLE) | (of(x) != of(F.get(a, i - TUPLE))))), 0)
+    They are those of as many rounds as bring ``arrivals`` (all if None), or of a part of the first.
+    """
+    n, kept = F.size("__k"), ("__k", "__p", "__m", "__g")
+    rounds = F.lit(SAMPLES) if arrivals is None else F.least(F.ceil(F.lit(arrivals) / n).cast("int"), F.lit(SAMPLES))
+    bits = F.ceil(F.log2(rounds)).cast("int")
+    # what is the same for all k-mers is bound in arrays, as a column used once would be computed within the loop over them
+    turns = F.transform(F.sequence(F.lit(0), rounds - 1), lambda t: F.struct(t.cast("long").alias("t"), _shifted("left", t.cast("long"), _SAMPLE - bits).alias("s"), (bits + (64 - _SAMPLE)).alias("v")))
+
+    def arrival(x: Column, i: Column, turn: Column) -> Column:
+        at = F.shiftleft(x.bitwiseXOR(turn["t"]), _SAMPLE)  # the lowest bits are the sample
+        part = _shifted("rightunsigned", F.xxhash64(x, turn["t"]), turn["v"]).bitwiseAND(F.lit(_MIDDLE))
+        return at.bitwiseOR(turn["s"]).bitwiseOR(part).bitwiseOR(i)
+
+    drawn = F.flatten(F.transform(turns, lambda turn: F.transform("__k", lambda x, i: arrival(x, i, turn))))
+    if arrivals is not None:
+        zero, kmer = F.lit(0).cast("long"), lambda i: F.get(F.col("__k"), i)
+        bound = F.array(F.struct((F.lit(arrivals * 2.0**63) / n).cast("long").alias("e"), F.floor(F.log2(n / F.lit(arrivals))).cast("int").alias("z")))
+        early = lambda b: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.shiftrightunsigned(F.xxhash64(kmer(i), zero), 1) < b["e"])
+        soon = lambda i, b: F.shiftrightunsigned(_shifted("left", F.xxhash64(kmer(i), zero), b["z"]), 64 - _SAMPLE).bitwiseAND(F.lit(_MIDDLE))
+        some = F.transform(bound, lambda b: F.transform(early(b), lambda i: F.shiftleft(kmer(i), _SAMPLE).bitwiseOR(soon(i, b)).bitwiseOR(i)))
+        drawn = F.when(n > arrivals, F.get(some, 0)).otherwise(drawn)
+    full = F.coalesce(F.size("__g") == F.col("__m") * SAMPLES, F.lit(False))
+    return df.select(*own, *kept, F.when(~full, F.sort_array(drawn)).alias("__a"))
 
 
 def numbered(df: DataFrame, own: list[str]) -> DataFrame:
@@ -97,11 +95,13 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     runs = F.sequence(F.lit(0), F.greatest(F.size("__w") - K, F.lit(0)))
     df = numbered(df.select(*own, F.transform(runs, lambda i: F.xxhash64(*(F.get(F.col("__w"), i + k) for k in range(K)))).alias("__k")), own)
     many = F.least(F.size("__k"), F.lit(TUPLE))
-    df = df.select(*own, "__k", "__p", many.alias("__m"), _first("__k", ARRIVALS[0]).alias("__g"))
-    for arrivals in (ARRIVALS[1], None):
-        more = F.when(F.size("__g") == F.col("__m") * SAMPLES, F.col("__g")).otherwise(_first("__k", arrivals))
-        df = df.select(*own, "__k", "__p", "__m", more.alias("__g"))
-    at = lambda j: F.get(F.col("__g"), j).bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+    df = df.select(*own, "__k", "__p", many.alias("__m"), F.lit(None).cast("array<bigint>").alias("__g"))
+    of = lambda x: F.shiftrightunsigned(x, _SAMPLE)
+    for arrivals in (*ARRIVALS, None):
+        df = _drawn(df, own, arrivals)
+        first = F.filter("__a", lambda x, i: (i < TUPLE) | (of(x) != of(F.get(F.col("__a"), i - TUPLE))))
+        df = df.select(*own, "__k", "__p", "__m", F.when(F.col("__a").isNull(), F.col("__g")).otherwise(first).alias("__g"))
+    at = lambda j: F.get(F.col("__g"), j).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     place = lambda i: F.coalesce(F.get(F.col("__p"), i), i)
     kmer = lambda i: F.get(F.col("__k"), i)
 

@@ -175,13 +175,11 @@ def brute_sketch(spark, text):
         kmers.append(g if not seen[g] else hashed([[g, seen[g]]], "a bigint, b int")[0])
         seen[g] += 1
     rounds = range(order_minhash.SAMPLES)
-    draws = iter(hashed([[x, j] for x in kmers for j in rounds], "a bigint, b int"))
+    draws = iter(hashed([[x, j] for x in kmers for j in rounds], "a bigint, b bigint"))
     came = [{} for _ in rounds]
     for place, x in enumerate(kmers):
-        u = x % 2**64
         for j in rounds:
-            sample = ((u % 64 | 1) * j + (u >> 6) % 64) % 64
-            came[sample][place] = (j, (next(draws) % 2**64) >> 24)
+            came[(x ^ j) % 64][place] = (j, next(draws) % 2**64)
     out = []
     for number, times in enumerate(came):
         assert len(times) == len(kmers)  # each k-mer comes to each sample once
