@@ -2,14 +2,17 @@
 
 The pieces of an existing vocabulary, each with a probability of its own, spell words after a word-start mark.  A word can be
 spelled by many piece sequences: a forward recursion in log space adds up the probabilities of all its segmentations.  A word
-seen in training is a piece too, with its discounted frequency; what the discount leaves over weighs the spelled probability,
-so a word's probability is the sum over all ways to write it, as one piece or as many.  A text's probability is the product over
-its words and the end.  Characters that are no piece are spelled by bytes.  Piece probabilities start from the order of the
-vocabulary's own scores and are re-estimated by expectation-maximisation (forward-backward) over the counts of training words.
+seen in training is one more piece of the lattice, with its discounted frequency; what the discount leaves over weighs the other
+segmentations, so a word's probability is the sum over all ways to write it, as one piece or as many.  A text's probability is the
+product over its words and the end.  Characters that are no piece are spelled by bytes.  Piece probabilities start from the order
+of the vocabulary's own scores and are re-estimated by expectation-maximisation (forward-backward) over the different training
+words, as it is new words that they have to spell.
 
 Corpora mix languages and styles, so there are a few classes of texts, each with probabilities of its own: a mixture of word
-multinomials is fitted to all training texts, from starting points in a bounded sample (``SAMPLE`` at most, chosen by hash),
-every text is put into its likeliest class, and its score is the probability of the class times that of the text in it.  All counts cover all texts.
+multinomials is fitted to all training texts, from starting points in a bounded sample (``SAMPLE`` at most, chosen by hash).
+Training texts count for each class as much as they belong to it, and the score of a text is the log of the sum over classes of
+the class's probability times that of the text in it.  Classes to which a text belongs by less than ``LEAST`` are no part of it.
+All counts cover all texts.
 
 Words are counted and scored once for each class, in a table dealt by word.  Words that make up at least 1 / ``FREQUENT`` of all
 words, of which there can be no more than ``FREQUENT``, are scored where the text is; the other words of each text meet the
@@ -35,9 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, lowered, mix, saved, source_table, sums, text_bytes
 
-FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 0.1, 0.75
+#: ``PRIOR``: uses of pieces, by their first probabilities, that are added to those of the training words.
+FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 200.0, 0.75
 #: Classes of texts, buckets of their words, and texts of the sample in which the classes start.
-CLASSES, BUCKETS, SAMPLE = 6, 1 << 12, 2_000
+CLASSES, BUCKETS, SAMPLE = 12, 1 << 12, 2_000
+#: The classes start from the best of so many fits to the sample; each is fitted until the likelihood rises by less than a share of it.
+STARTS, TOLERANCE, FITS = 8, 1e-4, 25
+#: The least share by which a text belongs to a class.
+LEAST = 1e-3
 FOLDS, HELD_OUT = 7, 2
 #: The mark of a word's start in the vocabulary's pieces.
 START = "▁"
@@ -158,44 +166,91 @@ def word_logs(words: list[str], table: Pieces, logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(counts: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected texts of each class, and expected words of each class and bucket, over rows of bucket counts."""
-    post = counts @ logs.T + prior
-    post = np.exp(post - post.max(1, keepdims=True))
-    post /= post.sum(1, keepdims=True)
-    return post.sum(0), post.T @ counts
+class Bags:
+    """Bags of buckets of a run of texts: ``at`` and ``n``, the buckets of a text and their counts, ``first`` of each text (n + 1)."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, first: np.ndarray):
+        self.at, self.n, self.first = at, n.astype(np.float64), first
+        self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch | pa.Table) -> Bags:
+        at, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column("at"), rows.column("n")))
+        return cls(at.flatten().to_numpy(), n.flatten().to_numpy(), np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())]).astype(np.int64))
+
+    def dense(self) -> np.ndarray:
+        counts = np.zeros((len(self.first) - 1, BUCKETS), np.float32)
+        counts[self.doc, self.at] = self.n
+        return counts
+
+    def logs(self, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Of each class and text the log of both."""
+        return np.stack([sums(row[self.at] * self.n, self.first) + p for row, p in zip(logs, prior, strict=True)])
+
+    def expected(self, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """A row for each class: expected texts, expected words of each bucket, and of all texts the log of their probability, in the first row."""
+        post, total = self.logs(logs, prior), np.zeros((len(prior), 2 + BUCKETS))
+        if post.shape[1]:
+            top = post.max(0)
+            post = np.exp(post - top)
+            all_ = post.sum(0)
+            post /= all_
+            total[0, -1] = (top + np.log(all_)).sum()
+            total[:, 0] = post.sum(1)
+            for row, share in zip(total, post, strict=True):
+                row[1:-1] = np.bincount(self.at, self.n * share[self.doc], BUCKETS)
+        return total
 
 
 class Mixture:
     """Classes of texts: a multinomial over hashed words for each."""
 
-    def __init__(self, counts: np.ndarray, k: int = CLASSES, rounds: int = 25, expect: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
-        """Starts a class at the longest row of bucket counts and at those least like any chosen one.
+    def __init__(self, sample: Bags, k: int = CLASSES, expect: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """Fits to these texts, or where they are a sample to the texts over which ``expect`` gives what ``expected`` does.
 
-        Then fits to these rows, or where they are a sample to the texts over which ``expect`` gives what ``expected`` does.
+        Starts from the best of ``STARTS`` fits to the sample, each from texts drawn for being long and unlike those drawn before.
         """
         self.prior, self.logs = np.zeros(1), np.full((1, BUCKETS), -math.log(BUCKETS))
+        counts = sample.dense()
         if not len(counts):
             return
-        unit = counts / np.maximum(1e-9, np.linalg.norm(counts, axis=1, keepdims=True))
-        chosen = [int(counts.sum(1).argmax())]
-        nearest = unit @ unit[chosen[0]]
-        while len(chosen) < min(k, len(counts)):
-            chosen.append(int(nearest.argmin()))
-            nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
-        share = counts[chosen] + counts.mean(0) + 1e-3
-        prior = np.full(len(chosen), 1 / len(chosen))
-        for _ in range(rounds):
-            logs = np.log(share / share.sum(1, keepdims=True))
-            texts, words = (expect or partial(expected, counts))(logs, np.log(prior))
-            prior = (texts + 1) / (texts.sum() + len(texts))
-            share = words + 0.1
+        unit, length, draw = counts / np.maximum(1e-9, np.linalg.norm(counts, axis=1, keepdims=True)), np.minimum(counts.sum(1), 500) + 1e-3, np.random.default_rng(0)
+        best = -math.inf
+        for _ in range(STARTS):
+            chosen, nearest = [], np.zeros(len(counts))
+            while len(chosen) < min(k, len(counts)):
+                weight = np.maximum(1 - nearest, 1e-6) ** 2 * length
+                weight[chosen] = 0
+                chosen.append(int(draw.choice(len(counts), p=weight / weight.sum())))
+                nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+            found = self._fitted(np.full(len(chosen), 1 / len(chosen)), counts[chosen] + counts.mean(0) + 1e-3, sample.expected)
+            if found[0] > best:
+                best, prior, share = found
+        if expect:
+            _, prior, share = self._fitted(prior, share, expect)
         self.prior, self.logs = np.log(prior), np.log(share / share.sum(1, keepdims=True))
 
-    def classes(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The likeliest class of each text from the hashes of its words."""
-        bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-        return np.stack([sums(row[bucket], first) + p for row, p in zip(self.logs, self.prior, strict=True)]).argmax(0)
+    @staticmethod
+    def _fitted(prior: np.ndarray, share: np.ndarray, expect: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log likelihood, class probabilities, expected words) once the likelihood hardly rises."""
+        before = -math.inf
+        for _ in range(FITS):
+            total = expect(np.log(share / share.sum(1, keepdims=True)), np.log(prior))
+            texts, likelihood = total[:, 0], total[0, -1]
+            prior, share = (texts + 1) / (texts.sum() + len(texts)), total[:, 1:-1] + 0.1
+            if likelihood - before < TOLERANCE * abs(likelihood):
+                break
+            before = likelihood
+        return likelihood, prior, share
+
+    def shares(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How far each text, of the hashes of its words, belongs to each class: a row for each class."""
+        bags = Bags((hashes % np.uint64(BUCKETS)).astype(np.int64), np.ones(len(hashes)), first)
+        post = bags.logs(self.logs, self.prior)
+        post = np.exp(post - post.max(0))
+        post /= post.sum(0)
+        post[post < LEAST] = 0
+        return post / post.sum(0)
 
 
 def _keys(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -204,35 +259,24 @@ def _keys(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets of each text that are not empty, and then their counts."""
+    """The buckets of each text that are not empty, and their counts."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         words = Words(raw, offsets)
         bucket = (words.hashes(lowered(raw)) % np.uint64(BUCKETS)).astype(np.int64)
         met, n = np.unique(words.doc * BUCKETS + bucket, return_counts=True)
-        at, n = (met % BUCKETS).astype("<u2"), n.astype("<u4")
-        first = np.searchsorted(met, np.arange(rows.num_rows + 1) * BUCKETS).tolist()
-        out = [at[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.record_batch([rows.column("key"), pa.array(out, pa.binary())], names=["key", "counts"])
-
-
-def dense(bags: list[bytes]) -> np.ndarray:
-    counts = np.zeros((len(bags), BUCKETS), np.float32)
-    for row, bag in zip(counts, bags, strict=True):
-        n = len(bag) // 6
-        row[np.frombuffer(bag, "<u2", n)] = np.frombuffer(bag, "<u4", offset=2 * n)
-    return counts
+        first = pa.array(np.searchsorted(met, np.arange(rows.num_rows + 1) * BUCKETS).astype(np.int32))
+        yield pa.record_batch([rows.column("key"), *(pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (met % BUCKETS, n))], names=["key", "at", "n"])
 
 
 def _expect_classes(batches: Iterator[pa.RecordBatch], logs: np.ndarray, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row with the expected texts and words of a task, by blocks of texts that stay in the cache."""
-    least = (logs - logs.max(0)).astype(np.float32)  # only differences of classes matter; small ones keep their digits
-    total = np.zeros((len(prior), 1 + BUCKETS))
+    """One row with the expected texts and words of a task."""
+    least = logs - logs.max(0)  # only differences of classes matter to the shares; the rest is added to the likelihood below
+    total = np.zeros((len(prior), 2 + BUCKETS))
     for rows in batches:
-        for a in range(0, rows.num_rows, 64):
-            texts, words = expected(dense(rows.column("counts").slice(a, 64).to_pylist()), least, prior.astype(np.float32))
-            total[:, 0] += texts
-            total[:, 1:] += words
+        bags = Bags.of(rows)
+        total += bags.expected(least, prior)
+        total[0, -1] += float((logs.max(0)[bags.at] * bags.n).sum())
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
@@ -248,20 +292,35 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_classes(rows: DataFrame, sample: int = SAMPLE) -> Mixture:
     """Classes of all training texts among (doc_id, text, training)."""
-    bags = saved(rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_bags, "key bigint, counts binary"), "bags")
-    got = bags.orderBy("key", F.xxhash64("counts")).limit(sample + 1).collect()
-    counts = dense([r["counts"] for r in got[:sample]])
-    if len(got) <= sample:
-        return Mixture(counts)
+    bags = saved(rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_bags, "key bigint, at array<int>, n array<int>"), "bags")
+    got = bags.orderBy("key", F.xxhash64("at", "n")).limit(sample + 1).toArrow()
+    starts = Bags.of(got.slice(0, sample))
+    if got.num_rows <= sample:
+        return Mixture(starts)
     parts = math.isqrt(bags.rdd.getNumPartitions()) + 1
 
-    def expect(logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        of_tasks = bags.select("counts").mapInArrow(partial(_expect_classes, logs=logs, prior=prior), "sums binary")
-        total = sum(np.frombuffer(r["sums"]) for r in of_tasks.repartition(parts).mapInArrow(_add, "sums binary").collect())
-        total = total.reshape(len(prior), -1)
-        return total[:, 0], total[:, 1:]
+    def expect(logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        of_tasks = bags.select("at", "n").mapInArrow(partial(_expect_classes, logs=logs, prior=prior), "sums binary")
+        return sum(np.frombuffer(r["sums"]) for r in of_tasks.repartition(parts).mapInArrow(_add, "sums binary").collect()).reshape(len(prior), -1)
+
+    return Mixture(starts, expect=expect)
+
 
-    return Mixture(counts, expect=expect)
+class Placed:
+    """Words of a run of texts within the classes that their texts belong to: a pair is a text in a class.
+
+    ``text``, ``kind`` and ``share`` of each pair; ``word``, ``pair`` of each word in it, and its ``key``; ``first`` word of each pair.
+    """
+
+    def __init__(self, words: Words, plain: np.ndarray, mixture: Mixture):
+        shares = mixture.shares(plain, words.first).T
+        self.text, self.kind = np.nonzero(shares)
+        self.share = shares[self.text, self.kind]
+        count = words.count[self.text]
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.pair = np.repeat(np.arange(len(count)), count)
+        self.word = np.arange(len(self.pair)) - np.repeat(self.first[:-1] - words.first[self.text], count)
+        self.key = _keys(plain[self.word], self.kind[self.pair])
 
 
 def _count(batches: Iterator[pa.RecordBatch], mixture: Mixture) -> Iterator[pa.RecordBatch]:
@@ -271,19 +330,18 @@ def _count(batches: Iterator[pa.RecordBatch], mixture: Mixture) -> Iterator[pa.R
         raw = lowered(raw)
         words = Words(raw, offsets)
         plain = words.hashes(raw)
-        kind = mixture.classes(plain, words.first)
-        of_word = kind[words.doc]
-        keys, at, which = np.unique(_keys(plain, of_word), return_index=True, return_inverse=True)
-        trained = rows.column("training").to_numpy(zero_copy_only=False)
-        begin, end = words.begin[at], words.end[at]
+        placed = Placed(words, plain, mixture)
+        keys, at, which = np.unique(placed.key, return_index=True, return_inverse=True)
+        trained = rows.column("training").to_numpy(zero_copy_only=False)[placed.text] * placed.share
+        begin, end, of_word = words.begin[placed.word[at]], words.end[placed.word[at]], placed.kind[placed.pair[at]]
         data = raw.tobytes()
         text = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        ends = np.unique(kind)
+        ends = np.unique(placed.kind)
         key = np.concatenate([keys, _keys(np.zeros(len(ends), np.uint64), ends)]).view(np.int64)
-        hashes = np.concatenate([plain[at], np.zeros(len(ends), np.uint64)]).view(np.int64)
-        n = np.concatenate([np.bincount(which, minlength=len(keys)), np.bincount(kind)[ends]])
-        c = np.concatenate([np.bincount(which, trained[words.doc], len(keys)), np.bincount(kind, trained)[ends]]).astype(np.int64)
-        yield pa.record_batch([pa.array(key), pa.array(hashes), pa.array(np.concatenate([of_word[at], ends]).astype(np.int32)), pa.array([*text, *[b""] * len(ends)], pa.binary()).cast(pa.string()), pa.array(n), pa.array(c)], names=["key", "hash", "kind", "word", "n", "c"])
+        hashes = np.concatenate([plain[placed.word[at]], np.zeros(len(ends), np.uint64)]).view(np.int64)
+        n = np.concatenate([np.bincount(which, minlength=len(keys)), np.bincount(placed.kind)[ends]])
+        c = np.concatenate([np.bincount(which, trained[placed.pair], len(keys)), np.bincount(placed.kind, trained)[ends]])
+        yield pa.record_batch([pa.array(key), pa.array(hashes), pa.array(np.concatenate([of_word, ends]).astype(np.int32)), pa.array([*text, *[b""] * len(ends)], pa.binary()).cast(pa.string()), pa.array(n), pa.array(c)], names=["key", "hash", "kind", "word", "n", "c"])
 
 
 def _by_kind(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[str]]]:
@@ -296,7 +354,7 @@ def _by_kind(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[str]]
 def _expect(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
     table, uses = pieces(path), np.zeros(logs.shape)
     for rows in batches:
-        weight = rows.column("c").to_numpy().astype(float)
+        weight = np.minimum(rows.column("c").to_numpy(), 1.0)  # each different word once, or as far as it belongs to a class
         for k, own, words in _by_kind(rows):
             for part, lattice in lattices(words, table):
                 uses[k] += lattice.expected(logs[k], weight[own[part]])
@@ -305,31 +363,31 @@ def _expect(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray) -> I
 
 
 def fit(counted: DataFrame, ends: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """By class, natural logs of the piece probabilities from the training counts of words (kind, word, c) and of ends."""
+    """By class, natural logs of the piece probabilities from the different training words (kind, word, c) and ends."""
     logs = np.repeat(pieces(path).first_logs()[None], len(ends), 0)
     trained = counted.filter("c > 0 and word <> ''").select("kind", "word", "c")
     for _ in range(rounds):
         got = trained.mapInArrow(partial(_expect, path=path, logs=logs), "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.full(logs.shape, PRIOR)
+        uses = np.repeat(PRIOR * np.exp(pieces(path).first_logs())[None], len(ends), 0)
         uses[got.column("kind").to_numpy(), got.column("piece").to_numpy()] += got.column("uses").to_numpy()
-        uses[:, pieces(path).end] += ends
+        uses[:, pieces(path).end] += np.minimum(ends, 1)
         met = np.unique(got.column("kind").to_numpy())
         logs[met] = np.log(uses / uses.sum(1, keepdims=True))[met]
     return logs
 
 
 class Totals:
-    """By class: training words, different ones among them, and ends."""
+    """By class: training words, what the discount takes of them, and ends."""
 
-    def __init__(self, words: np.ndarray, kinds: np.ndarray, ends: np.ndarray):
-        self.words, self.kinds, self.ends = words.astype(float), kinds.astype(float), ends.astype(float)
+    def __init__(self, words: np.ndarray, left: np.ndarray, ends: np.ndarray):
+        self.words, self.left, self.ends = words.astype(float), left.astype(float), ends.astype(float)
 
     def word(self, k: int, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """Natural log of a word's probability from its training count and the log of its spelled probability."""
-        n, v, d = self.words[k], self.kinds[k], self.ends[k]
+        n, d = self.words[k], self.ends[k]
         if not n:
             return spelled
-        left = math.log(DISCOUNT * v / n) + spelled
+        left = math.log(self.left[k] / n) + spelled
         with np.errstate(divide="ignore"):
             return math.log(n / (n + d)) + np.logaddexp(np.log(np.maximum(0, c - DISCOUNT) / n), left)
 
@@ -348,32 +406,31 @@ def _spell(batches: Iterator[pa.RecordBatch], path: str, logs: np.ndarray, total
 
 
 def _score(batches: Iterator[pa.RecordBatch], mixture: Mixture, often: np.ndarray, base: np.ndarray, log: np.ndarray, known: np.ndarray, end: tuple[float, int], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each text a row with what its frequent words and its end add, and a row for each of its other words."""
+    """For each text in a class a row with what its frequent words and its end add, and a row for each of its other words."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         raw = lowered(raw)
         words = Words(raw, offsets)
-        plain = words.hashes(raw)
-        kind = mixture.classes(plain, words.first)
-        keys = _keys(plain, kind[words.doc])
+        placed = Placed(words, words.hashes(raw), mixture)
+        keys = placed.key
         at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
         near = often[at] == keys if len(often) else np.zeros(len(keys), bool)
-        part = [sums(np.where(near, x[at], 0), words.first) if len(often) else np.zeros(rows.num_rows) for x in (base, log, known)]
-        row = rows.column("row").to_numpy()
-        far, doc = keys[~near], words.doc[~near]
-        order = np.lexsort((far, doc))
-        far, doc = far[order], doc[order]
-        heads = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (doc[1:] != doc[:-1])])) if len(far) else np.zeros(0, np.int64)
-        many, n, k = np.diff(np.append(heads, len(far))), rows.num_rows, len(heads)
+        part = [sums(np.where(near, x[at], 0), placed.first) if len(often) else np.zeros(len(placed.text)) for x in (base, log, known)]
+        pair = rows.column("row").to_numpy()[placed.text] * CLASSES + placed.kind
+        far, of = keys[~near], placed.pair[~near]
+        order = np.lexsort((far, of))
+        far, of = far[order], of[order]
+        heads = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (of[1:] != of[:-1])])) if len(far) else np.zeros(0, np.int64)
+        many, n, k = np.diff(np.append(heads, len(far))), len(pair), len(heads)
         empty = np.zeros(k)
-        key = np.concatenate([mix(row.astype(np.uint64)), far[heads]]).view(np.int64)
+        key = np.concatenate([mix(pair.astype(np.uint64)), far[heads]]).view(np.int64)
         yield pa.record_batch(
             [
-                pa.array(np.concatenate([row, row[doc[heads]]])), pa.array(key), pa.array(np.concatenate([np.zeros(n, np.int64), many])),
-                pa.concat_arrays([rows.column("doc_id"), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([words.count + 1, empty]).astype(np.int64)),
-                pa.array(np.concatenate([part[2] + end[1], empty]).astype(np.int64)), pa.array(np.concatenate([part[0] + end[0], empty])), pa.array(np.concatenate([part[1] + ends[kind], empty])),
+                pa.array(np.concatenate([pair, pair[of[heads]]])), pa.array(key), pa.array(np.concatenate([np.zeros(n, np.int64), many])),
+                pa.concat_arrays([rows.column("doc_id").take(pa.array(placed.text)), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([words.count[placed.text] + 1, empty]).astype(np.int64)),
+                pa.array(np.concatenate([part[2] + end[1], empty]).astype(np.int64)), pa.array(np.concatenate([part[0] + end[0], empty])), pa.array(np.concatenate([part[1] + ends[placed.kind], empty])),
             ],
-            names=["row", "key", "many", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+            names=["pair", "key", "many", "doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
 
 
@@ -382,39 +439,44 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     fold = F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold != HELD_OUT).alias("training"))
     mixture = fit_classes(rows)
-    pairs = rows.select("text", "training").mapInArrow(partial(_count, mixture=mixture), "key long, hash long, kind int, word string, n long, c long")
+    pairs = rows.select("text", "training").mapInArrow(partial(_count, mixture=mixture), "key long, hash long, kind int, word string, n long, c double")
     summed = pairs.groupBy("key", "hash", "kind", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     # a word has a row for each class at most; words of one class and length lie together, as they are worked on together
-    counted = saved(summed.withColumn("everywhere", F.sum("c").over(Window.partitionBy("hash"))).withColumn("first", F.row_number().over(Window.partitionBy("hash").orderBy("kind")) == 1).sortWithinPartitions("kind", F.length("word")), "words")
+    everywhere = F.round(F.sum("c").over(Window.partitionBy("hash"))).cast("long")  # shares of a text add up to 1
+    counted = saved(summed.withColumn("everywhere", everywhere).withColumn("first", F.row_number().over(Window.partitionBy("hash").orderBy("kind")) == 1).sortWithinPartitions("kind", F.length("word")), "words")
     word = F.col("word") != ""
-    of_kind = counted.groupBy("kind").agg(F.sum(F.when(word, F.col("n"))).alias("all"), F.sum(F.when(word, F.col("c"))).alias("words"), F.count_if(word & (F.col("c") > 0)).alias("kinds"), F.sum(F.when(~word, F.col("c"))).alias("ends"), F.count_if(F.col("first") & (F.col("everywhere") > 0)).alias("different"))
+    of_kind = counted.groupBy("kind").agg(F.sum(F.when(word, F.col("n"))).alias("all"), F.sum(F.when(word, F.col("c"))).alias("words"), F.sum(F.when(word, F.least("c", F.lit(DISCOUNT)))).alias("left"), F.sum(F.when(~word, F.col("c"))).alias("ends"), F.sum(F.when(F.col("first"), F.col("everywhere"))).alias("tokens"), F.count_if(F.col("first") & (F.col("everywhere") > 0)).alias("different"))
     got = {r["kind"]: r for r in of_kind.collect()}  # one row for each class
     size = len(mixture.prior)
     column = lambda name: np.array([(got[k][name] or 0) if k in got else 0 for k in range(size)])
-    totals = Totals(column("words"), column("kinds"), column("ends"))
-    n_all, tokens, different = int(column("all").sum()), int(totals.words.sum() + totals.ends.sum()), int(column("different").sum())
+    totals = Totals(column("words"), column("left"), column("ends"))
+    n_all, tokens, different = int(column("all").sum()), int(column("tokens").sum()), int(column("different").sum())
     logs = fit(counted, totals.ends, path)
     spelled = saved(counted.filter(word).select("key", "kind", "word", "n", "c", "everywhere").mapInArrow(partial(_spell, path=path, logs=logs, totals=totals), "key long, n long, c long, log double"), "spelled")
     term = F.log10((F.col("c") + 1.0) / F.lit(float(tokens + different + 1)))
     top = spelled.filter(F.col("n") * FREQUENT >= n_all).select("key", "c", "log", term.alias("base")).toArrow()
     often = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    trained = int(totals.ends.sum())
+    trained = round(totals.ends.sum())
     end = (math.log10((trained + 1) / (tokens + different + 1)), int(trained > 0))
     ends = np.array([totals.end(k, float(logs[k, pieces(path).end])) for k in range(size)]) / math.log(10)
     near = partial(_score, mixture=mixture, often=often[order], base=top.column("base").to_numpy()[order], log=top.column("log").to_numpy()[order], known=(top.column("c").to_numpy()[order] > 0).astype(np.int64), end=end, ends=ends)
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(near, "row long, key long, many long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(near, "pair long, key long, many long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     rare = spelled.filter(F.col("n") * FREQUENT < n_all).select("key", (F.col("c") > 0).cast("long").alias("known"), term.alias("base"), "log")
     met = parts.join(rare, "key", "left")
-    added = met.groupBy("row").agg(
+    added = met.groupBy("pair").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.col("many") * F.coalesce("known", F.lit(0))).alias("n_known"),
         F.sum(F.col("base_score") + F.col("many") * F.coalesce("base", F.lit(0.0))).alias("base_score"),
         F.sum(F.col("score") + F.col("many") * F.coalesce("log", F.lit(0.0))).alias("score"),
     )
+    # one score for each class of a text; they add up in log space
+    of_text = added.groupBy(F.floor(F.col("pair") / CLASSES).alias("text")).agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base_score").alias("base_score"), F.sort_array(F.collect_list("score")).alias("scores"))
+    top_score = F.element_at("scores", -1)
+    total = top_score + F.log10(F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top_score)))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    return added.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return of_text.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
 
 
 def op6_lattice_lm(spark, sf_dir: str) -> DataFrame:
