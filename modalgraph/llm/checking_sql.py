@@ -20,7 +20,7 @@ def url_filters_sql(sweeps: int = url_filters.SWEEPS) -> str:
  fit AS (SELECT i, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS said FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY i),
  r AS (SELECT p.i, page_id, host, path, rule, said FROM p LEFT JOIN fit ON fit.i = p.i),
  seed AS (SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0.0 END) AS trusted, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM r WHERE host <> '' GROUP BY host),
- a AS (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''#]*)', 1)) AS link FROM p WHERE host <> ''),
+ a AS (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''#\\s>]*)', 1)) AS link FROM p WHERE host <> ''),
  t AS (SELECT host AS source, CASE WHEN regexp_matches(link, '(?i)^(https?:)?//') THEN translate(regexp_extract(link, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') WHEN NOT regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN host END AS target FROM a),
  e AS (SELECT source, target, count(*) AS n FROM t WHERE target <> '' AND target <> source GROUP BY source, target),
  w AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS ahead, n / sum(n) OVER (PARTITION BY target) AS back FROM e),

@@ -7,14 +7,17 @@ on a register with the probability Jaccard similarity of their weighted shingles
 
 Texts with equal word sequences are merged first, so a group of copies is one text from then on.  Every text of a bucket is
 compared with the bucket's least id.  Buckets whose other texts are then not yet in one class let a few more of their texts meet
-those of other classes.  What is still open after that is compared in full: the texts outside a bucket's largest class, in
-blocks, meet all texts of the bucket, and a task returns no pairs but the few links that join classes.  So no link between
-bucket mates is lost, a task holds a block and a part of a bucket, and rows grow with the texts.  A comparison computes the
-similarity of all shingles and links at ``SIMILARITY`` or more; classes are the connected components of the links.
+those of other classes.  The texts of buckets that are still open meet by the rarest of their shingles: two texts can only be
+similar if the rarest shingle they share is among the first of each one's shingles, by rarity, that make up 1 - ``SIMILARITY`` of
+its weight.  Texts with one such shingle make a group; those outside a group's largest class, in blocks, meet all texts of the
+group, and a task returns no pairs but the few links that join classes.  So no link between bucket mates is lost, and texts that
+only share frequent passages do not meet.  A comparison computes the similarity of all shingles and links at ``SIMILARITY`` or
+more; classes are the connected components of the links.
 
 Defined results: texts without words (null texts included) are copies of each other; the class id is the least doc_id of the
-class; rows with a null doc_id take the class of their copies, or null; repeated rows of one doc_id are one document; an empty
-table gives no rows; other columns are ignored by ``classes`` and passed through by ``keep``.
+class; rows with a null doc_id take the class of their copies, or null; repeated rows of one doc_id are one document to
+``classes``, while ``keep`` leaves one row of each class, whatever the ids; an empty table gives no rows; other columns are ignored
+by ``classes`` and passed through by ``keep``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, Words, chunks, lowered, mix, partitions, saved, source_table, text_bytes, window_hashes, within
@@ -245,6 +248,27 @@ def across_classes(mates: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare_blocks, "a long, b long")
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, key, share): the shingles of each text and the share of its weight that each has."""
+    for rows in chunks(batches, "text"):
+        s = Shingles(rows.column("text"))
+        whole = np.bincount(s.doc, s.weight, rows.num_rows)
+        yield pa.record_batch([rows.column("rep").take(pa.array(s.doc)), pa.array(s.key.view(np.int64)), pa.array(s.weight / whole[s.doc])], names=["rep", "key", "share"])
+
+
+def rarest(texts: DataFrame) -> DataFrame:
+    """(bucket, rep): the shingles, as buckets, by which texts (rep, text) meet if they are similar.
+
+    The similarity of two texts is at most the sum over shingles of the lesser share.  So at ``SIMILARITY`` the shingles of a text
+    before the first one, by rarity, that both have weigh no more than 1 - ``SIMILARITY``.
+    """
+    weighed = saved(texts.mapInArrow(_weigh, "rep long, key long, share double"), "shingles")
+    often = weighed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    before = F.sum("share").over(Window.partitionBy("rep").orderBy("texts", "key").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = weighed.join(often, "key").select("rep", "key", "texts", F.coalesce(before, F.lit(0.0)).alias("before"))
+    return ranked.filter((F.col("before") <= 1 - SIMILARITY + 1e-9) & (F.col("texts") > 1)).select(F.col("key").alias("bucket"), "rep")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of the links (a, b), for the nodes that have links.
 
@@ -290,16 +314,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         labels = components(links)
         rest = _open(led.filter(F.col("rep") != F.col("leader.rep")), labels)
     if rest.limit(1).count():
-        labels = components(links.union(across_classes(rest, texts)))
+        met = saved(rarest(picked(texts, rest.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")), "rarest")
+        labels = components(links.union(across_classes(_open(met, labels), texts)))
     return _labelled(merged.select("doc_id", "rep"), labels).select("doc_id", F.col("label").alias("class_id"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one of the least id, with all columns; rows with a null id stay."""
-    found = saved(classes(docs, id_col, text_col), "classes")
-    gone = found.filter("doc_id != class_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join((F.broadcast(gone) if few else gone).withColumnRenamed("doc_id", "__gone"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """One document of each class, the one of the least id, with all columns.
+
+    Where ids are null or repeated, rows get numbers of their own, in a table, and of each class one row of the least id stays.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    seen = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if not seen.limit(1).count():
+        found = saved(classes(docs, id_col, text_col), "classes")
+        gone = found.filter("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
+        few = gone.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = classes(rows, "__row", text_col).join(rows.select(F.col("__row").alias("doc_id"), F.col(id_col).cast("long").alias("id")), "doc_id")
+    first = saved(found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("__row")), "first-rows")
+    few = first.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(first) if few else first, "__row", "left_semi").select(docs.columns)
 
 
 def op5_near_dups(spark, sf_dir: str) -> DataFrame:

@@ -129,13 +129,13 @@ def best_fit(left: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ..
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """All sequences as (lengths, repeats): the fitted patterns that leave at most one place, then best fit for the rest.
 
-    Where few lengths occur, exact patterns can use up what the others need, so a share of the fitted counts is tried too; the
-    share that makes the fewest sequences is taken, the largest of equal ones.
+    Where few lengths occur, exact patterns can use up what the others need, so shares of the fitted counts are tried too, down to
+    none, which is best fit alone; the share that makes the fewest sequences is taken, the largest of equal ones.
     """
     rows = patterns(histogram, size)
     fitted = [(p, t) for p, t in zip(rows, fit(histogram, rows, size), strict=True) if t and size - sum(p) <= 1]
     best: list[tuple[tuple[int, ...], int]] | None = None
-    for quarters in (4, 3, 2, 1):
+    for quarters in (4, 3, 2, 1, 0):
         chosen = [(p, t * quarters // 4) for p, t in fitted if t * quarters // 4]
         left = {n: c for n, c in histogram.items() if c}
         for p, t in chosen:

@@ -46,7 +46,7 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, links): links between different hosts, counted; pages as (host, html)."""
-    found = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]*)"), 1)
+    found = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'#\s>]*)"), 1)
     target = F.when(F.col("link").rlike("(?i)^(https?:)?//"), F.coalesce(F.translate(F.regexp_extract("link", r"//([^/?#]*)", 1), _UPPER, _UPPER.lower()), F.lit("")))
     target = target.when(~F.col("link").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.col("host"))
     links = pages.filter("host != ''").select("host", F.explode(found).alias("link")).select(F.col("host").alias("source"), target.alias("target"))

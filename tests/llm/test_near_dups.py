@@ -1,6 +1,7 @@
 """Near-duplicates and fingerprints against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -138,7 +139,46 @@ def test_odd_rows(odd, odd_rows):
     assert sorted(r["class_id"] for r in got if r["doc_id"] is None) == [1, 20]
     kept = near_dups.keep(odd)
     assert kept.schema == odd.schema
-    assert {r["doc_id"] for r in kept.collect()} == {*range(21), 23, *range(26, 29), None}
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(21), 23, *range(26, 29)]
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (None, None), (None, "")]
+    kept = near_dups.keep(spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, n int")).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("3", a), ("5", b), ("None", c), ("None", "")])
+
+
+def test_texts_that_share_frequent_passages_do_not_meet(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 150)
+    alike = prose(rng, 80)
+    texts = [passage + " " + prose(rng, 60) for _ in range(120)] + [passage + " " + alike + f" x{i}" for i in range(3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rep bigint, text string")
+    groups = near_dups.rarest(rows).groupBy("bucket").agg(F.collect_set("rep").alias("reps")).collect()
+    pairs = {(x, y) for r in groups for x in r["reps"] for y in r["reps"] if x < y}
+    sets = [shingles(t) for t in texts]
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity_of_sets(sets[i], sets[j]) >= 0.8}
+    assert similar == {(120, 121), (120, 122), (121, 122)} <= pairs
+    assert len(pairs) < 200  # of 7,503
+
+
+def similarity_of_sets(a, b):
+    return len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+
+
+def test_recall_against_brute_force(spark):
+    """Every document whose id is divisible by 100 against all rows: similar ones are of one class."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    of = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
+    rows = docs.orderBy("doc_id").toArrow()
+    s, ids = near_dups.Shingles(rows.column("text").combine_chunks()), rows.column("doc_id").to_pylist()
+    found = [of[ids[q]] == of[ids[i]] for q in range(len(ids)) if ids[q] % 100 == 0 for i in range(len(ids)) if i != q and near_dups.probability_jaccard(s.of(q), s.of(i)) >= 0.8]
+    assert sum(found) >= 0.9 * len(found)
 
 
 def test_no_rows(nothing):
