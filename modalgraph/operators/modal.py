@@ -1,7 +1,7 @@
 """Truth of formulas in all worlds at once.
 
-A formula becomes one plan: the truth of its atoms is one aggregation over the formulas of worlds, connectives are column
-expressions, and each different modal subformula is one join of links with the truth of its body.  Truth is defined on all
+A formula becomes one plan: the truth of the atoms right below an operator is one aggregation over the formulas of worlds,
+connectives are column expressions, and each modal part is one join of links with the truth of its body.  Truth is defined on all
 worlds, linked or labelled; only the answer is restricted to the worlds a question is about.
 """
 
@@ -16,54 +16,59 @@ from ..functions.formula import And, Box, Diamond, Formula, Imp, Not, Or, Var
 from ..model import Graph
 
 
+def _direct(formula: Formula, kinds: type | tuple[type, ...]) -> dict[Formula, None]:
+    """The atoms or modal parts of a formula that are below no modal operator of it, in order, each once."""
+    if isinstance(formula, kinds):
+        return {formula: None}
+    if isinstance(formula, Box | Diamond):
+        return {}
+    return {f: None for p in formula.parts for f in _direct(p, kinds)}
+
+
 def truths(graph: Graph, formulas: Sequence[Formula], worlds: DataFrame | None = None, nested: Callable[[str], str] | None = None) -> DataFrame:
     """(world, f0, f1, ...): the truth of each formula in each of ``worlds`` (all worlds if not given).
 
-    ``nested`` renames atoms below a modal operator, where they are asked for in the form of the target world.
+    ``nested`` renames atoms below a modal operator, where they are asked for in the form of the target world.  A modal part is
+    one aggregation over links, whose targets meet the atoms and modal parts right below it, so the plan grows with the formula.
     """
-    atoms: dict[str, str] = {}
-    modal: dict[Formula, str] = {}
-    order: list[Formula] = []
-
-    def visit(f: Formula, below: bool) -> None:
-        if isinstance(f, Var):
-            name = nested(f.name) if below and nested else f.name
-            atoms.setdefault(name, f"__a{len(atoms)}")
-            return
-        deeper = below or isinstance(f, Box | Diamond)
-        for p in f.parts:
-            visit(p, deeper)
-        if isinstance(f, Box | Diamond) and f not in modal:
-            modal[f] = f"__m{len(modal)}"
-            order.append(f)
-
-    def column(f: Formula, below: bool = False) -> Column:
-        if isinstance(f, Var):
-            return F.col(atoms[nested(f.name) if below and nested else f.name])
-        if isinstance(f, Box | Diamond):
-            return F.col(modal[f])
-        parts = [column(p, below) for p in f.parts]
-        if isinstance(f, Not):
-            return ~parts[0]
-        if isinstance(f, Imp):
-            return ~parts[0] | parts[1]
-        return parts[0] & parts[1] if isinstance(f, And) else parts[0] | parts[1]
-
-    for f in formulas:
-        visit(f, False)
-    domain = graph.everywhere
-    table = domain
-    if atoms:
-        held = graph.lam.filter(F.col("formula").isin(list(atoms))).groupBy("world").agg(*(F.bool_or(F.col("formula") == a).alias(c) for a, c in atoms.items()))
-        table = domain.join(held, "world", "left").select("world", *(F.coalesce(c, F.lit(False)).alias(c) for c in atoms.values()))
-    for f in order:
-        if isinstance(f, Box | Diamond):
-            together, alone = (F.bool_and, True) if isinstance(f, Box) else (F.bool_or, False)
-            body = table.select(F.col("world").alias("target"), column(f.body, True).alias("__body"))
-            reached = graph.links.join(body, "target").groupBy(F.col("source").alias("world")).agg(together("__body").alias(modal[f]))
-            table = table.join(reached, "world", "left").withColumn(modal[f], F.coalesce(modal[f], F.lit(alone)))
-    found = table.select("world", *(column(f).alias(f"f{i}") for i, f in enumerate(formulas)))
-    return found if worlds is None else found.join(worlds, "world", "left_semi")
+
+    def name(atom: Var, below: bool) -> str:
+        return nested(atom.name) if below and nested else atom.name
+
+    def with_parts(rows: DataFrame, key: str, of: Sequence[Formula], below: bool) -> tuple[DataFrame, Callable[[Formula], Column]]:
+        """Joins the truth of atoms and modal parts right below some formulas to the worlds in a column, and reads formulas off them."""
+        columns: dict[str | Formula, str] = {}
+        for atom in {name(a, below): None for f in of for a in _direct(f, Var)}:
+            columns[atom] = f"__a{len(columns)}"
+        if columns:
+            held = graph.lam.filter(F.col("formula").isin(list(columns))).groupBy(F.col("world").alias(key)).agg(*(F.bool_or(F.col("formula") == a).alias(c) for a, c in columns.items()))
+            rows = rows.join(held, key, "left")
+        for part in {m: None for f in of for m in _direct(f, (Box, Diamond))}:
+            columns[part] = f"__m{len(columns)}"
+            rows = rows.join(reached(part).select(F.col("world").alias(key), F.col("truth").alias(columns[part])), key, "left")
+
+        def column(f: Formula) -> Column:
+            if isinstance(f, Var):
+                return F.coalesce(F.col(columns[name(f, below)]), F.lit(False))
+            if isinstance(f, Box | Diamond):
+                return F.coalesce(F.col(columns[f]), F.lit(isinstance(f, Box)))
+            parts = [column(p) for p in f.parts]
+            if isinstance(f, Not):
+                return ~parts[0]
+            if isinstance(f, Imp):
+                return ~parts[0] | parts[1]
+            return parts[0] & parts[1] if isinstance(f, And) else parts[0] | parts[1]
+
+        return rows, column
+
+    def reached(f: Formula) -> DataFrame:
+        """(world, truth) of a modal formula in the worlds that have links; in others a box is true and a diamond is not."""
+        rows, column = with_parts(graph.links.select("source", "target"), "target", [f.body], True)
+        return rows.groupBy(F.col("source").alias("world")).agg((F.bool_and if isinstance(f, Box) else F.bool_or)(column(f.body)).alias("truth"))
+
+    asked = graph.everywhere if worlds is None else graph.everywhere.join(worlds, "world", "left_semi")
+    table, column = with_parts(asked, "world", formulas, False)
+    return table.select("world", *(column(f).alias(f"f{i}") for i, f in enumerate(formulas)))
 
 
 def satisfying(graph: Graph, formula: Formula, worlds: DataFrame | None = None) -> DataFrame:

@@ -231,3 +231,17 @@ def test_dynamic_k_means_ends_and_keeps_all_worlds(spark, rows):
     found = rows(clusters)
     assert sorted(w for _, w in found) == WORLDS
     assert sorted({c for c, _ in found}) == list(range(len(centroids)))
+
+
+def test_plans_grow_with_the_formula_and_not_with_its_depth(spark):
+    graph = Graph(spark.createDataFrame([("a", "b")], "source string, target string"), spark.createDataFrame([("b", "x", 1)], "world string, formula string, frmcount bigint"))
+
+    def scans(depth):
+        text = "(Var x)"
+        for i in range(depth):
+            text = f"({'[]' if i % 2 else '<>'} (And (Var x) {text}))"
+        plan = modal.truths(graph, [parse(text)])._jdf.queryExecution().analyzed().toString()
+        return plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+    found = [scans(d) for d in (1, 2, 5, 10)]
+    assert found[3] - found[2] == 5 * (found[1] - found[0]) <= 10
