@@ -101,7 +101,7 @@ class Lattice:
 
     def __init__(self, codes: np.ndarray, table: Pieces):
         self.n, self.length = codes.shape
-        self.table, self.edges = table, []
+        self.codes, self.table, self.edges = codes, table, []
         for i in range(self.length):
             h = np.zeros(self.n, np.uint64)
             for k in range(1, min(table.longest, self.length - i) + 1):
@@ -129,7 +129,26 @@ class Lattice:
         return alpha
 
     def expected(self, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, each word counting ``weight`` times."""
+        """Expected uses of each piece, each word counting ``weight`` times; words too unlikely for plain products are worked on in logs."""
+        rate = [np.exp(self._log(e, logs)) for e in self.edges]
+        alpha, beta, uses = np.zeros((self.length + 1, self.n)), np.zeros((self.length + 1, self.n)), np.zeros(len(logs))
+        alpha[0] = beta[-1] = 1
+        for (i, k, rows, *_), p in zip(self.edges, rate, strict=True):
+            alpha[i + k][rows] += alpha[i][rows] * p
+        faint = alpha[-1] < 1e-250
+        scale = np.where(faint, 0, weight / np.where(faint, 1, alpha[-1]))
+        for (i, k, rows, ids, size), p in zip(reversed(self.edges), reversed(rate), strict=True):
+            after = beta[i + k][rows] * p
+            beta[i][rows] += after
+            share = alpha[i][rows] * after * scale[rows]
+            if ids is None:
+                uses[self.table.byte] += float((share * size).sum())
+            else:
+                uses += np.bincount(ids, share, len(uses))
+        return uses + Lattice(self.codes[faint], self.table).expected_by_logs(logs, weight[faint]) if faint.any() else uses
+
+    def expected_by_logs(self, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The same for words of any length."""
         alpha = self.forward(logs)
         beta = np.full(alpha.shape, -np.inf)
         beta[:, -1] = 0
@@ -174,9 +193,22 @@ class Bags:
         self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
 
     @classmethod
-    def of(cls, rows: pa.RecordBatch | pa.Table) -> Bags:
-        at, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column("at"), rows.column("n")))
-        return cls(at.flatten().to_numpy(), n.flatten().to_numpy(), np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())]).astype(np.int64))
+    def of(cls, packed: list[bytes]) -> Bags:
+        """Of runs of texts that ``packed`` made."""
+        if not packed:
+            return cls(np.zeros(0, np.uint16), np.zeros(0), np.zeros(1, np.int64))
+        at, n, sizes = [], [], []
+        for data in packed:
+            texts, many = np.frombuffer(data, "<i8", 2)
+            sizes.append(np.frombuffer(data, "<u4", texts, 16))
+            n.append(np.frombuffer(data, "<u4", many, 16 + 4 * texts))
+            at.append(np.frombuffer(data, "<u2", many, 16 + 4 * texts + 4 * many))
+        return cls(np.concatenate(at), np.concatenate(n), np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)]))
+
+    def packed(self, begin: int, end: int) -> bytes:
+        """The bags of the texts from ``begin`` up to ``end`` as bytes."""
+        a, b = self.first[begin], self.first[end]
+        return np.array([end - begin, b - a], "<i8").tobytes() + np.diff(self.first[begin : end + 1]).astype("<u4").tobytes() + self.n[a:b].astype("<u4").tobytes() + self.at[a:b].astype("<u2").tobytes()
 
     def dense(self) -> np.ndarray:
         counts = np.zeros((len(self.first) - 1, BUCKETS), np.float32)
@@ -258,15 +290,17 @@ def _keys(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return mix(hashes + (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets of each text that are not empty, and their counts."""
+def _bags(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBatch]:
+    """The bags of a chunk of texts in one row without a key, and each of those in the sample in a row with its key."""
     for rows in chunks(batches, "text"):
         raw, offsets = text_bytes(rows.column("text"))
         words = Words(raw, offsets)
         bucket = (words.hashes(lowered(raw)) % np.uint64(BUCKETS)).astype(np.int64)
         met, n = np.unique(words.doc * BUCKETS + bucket, return_counts=True)
-        first = pa.array(np.searchsorted(met, np.arange(rows.num_rows + 1) * BUCKETS).astype(np.int32))
-        yield pa.record_batch([rows.column("key"), *(pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (met % BUCKETS, n))], names=["key", "at", "n"])
+        bags = Bags((met % BUCKETS).astype(np.uint16), n, np.searchsorted(met, np.arange(rows.num_rows + 1) * BUCKETS))
+        key = rows.column("key").to_numpy()
+        some = np.flatnonzero(key <= cut).tolist()
+        yield pa.record_batch([pa.array([None, *key[some].tolist()], pa.int64()), pa.array([bags.packed(0, rows.num_rows), *(bags.packed(i, i + 1) for i in some)], pa.binary())], names=["key", "bags"])
 
 
 def _expect_classes(batches: Iterator[pa.RecordBatch], logs: np.ndarray, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -274,9 +308,10 @@ def _expect_classes(batches: Iterator[pa.RecordBatch], logs: np.ndarray, prior:
     least = logs - logs.max(0)  # only differences of classes matter to the shares; the rest is added to the likelihood below
     total = np.zeros((len(prior), 2 + BUCKETS))
     for rows in batches:
-        bags = Bags.of(rows)
-        total += bags.expected(least, prior)
-        total[0, -1] += float((logs.max(0)[bags.at] * bags.n).sum())
+        for data in rows.column("bags"):
+            bags = Bags.of([data.as_py()])
+            total += bags.expected(least, prior)
+            total[0, -1] += float((logs.max(0)[bags.at] * bags.n).sum())
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
@@ -292,15 +327,17 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_classes(rows: DataFrame, sample: int = SAMPLE) -> Mixture:
     """Classes of all training texts among (doc_id, text, training)."""
-    bags = saved(rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_bags, "key bigint, at array<int>, n array<int>"), "bags")
-    got = bags.orderBy("key", F.xxhash64("at", "n")).limit(sample + 1).toArrow()
-    starts = Bags.of(got.slice(0, sample))
-    if got.num_rows <= sample:
+    trained = rows.filter("training").select(F.xxhash64("doc_id").alias("key"), "text")
+    first = trained.select("key").orderBy("key").limit(sample + 1).toArrow().column("key").to_pylist()
+    bags = saved(trained.mapInArrow(partial(_bags, cut=first[:sample][-1] if first else -(1 << 63)), "key bigint, bags binary"), "bags")
+    got = bags.filter("key is not null").orderBy("key", F.xxhash64("bags"), "bags").limit(sample).collect()
+    starts = Bags.of([r["bags"] for r in got])
+    if len(first) <= sample:
         return Mixture(starts)
     parts = math.isqrt(bags.rdd.getNumPartitions()) + 1
 
     def expect(logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        of_tasks = bags.select("at", "n").mapInArrow(partial(_expect_classes, logs=logs, prior=prior), "sums binary")
+        of_tasks = bags.filter("key is null").select("bags").mapInArrow(partial(_expect_classes, logs=logs, prior=prior), "sums binary")
         return sum(np.frombuffer(r["sums"]) for r in of_tasks.repartition(parts).mapInArrow(_add, "sums binary").collect()).reshape(len(prior), -1)
 
     return Mixture(starts, expect=expect)

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -52,6 +53,9 @@ def test_expected_uses_spell_every_word():
     words = ["therein", "naïve", "😀"]
     uses = sum(lattice.expected(logs, np.array([2.0] * len(own))) for own, lattice in lattice_lm.lattices(words, table))
     spelled = sum(u * len(p.encode()) for u, p in zip(uses, table.text, strict=False)) + uses[table.byte]
+    for _, lattice in lattice_lm.lattices([*words, "y" * 400], table):
+        weight = np.arange(1.0, lattice.n + 1)
+        assert np.allclose(lattice.expected(logs, weight), lattice.expected_by_logs(logs, weight))
     assert spelled == pytest.approx(2 * sum(len((lattice_lm.START + w).encode()) for w in words))
 
 
@@ -95,7 +99,9 @@ def test_expected_counts_are_those_of_plain_loops():
     joint = np.exp(counts @ logs.T + prior)
     post = joint / joint.sum(1, keepdims=True)
     assert np.allclose(got[:, 0], post.sum(0)) and np.allclose(got[:, 1:-1], post.T @ counts) and got[0, -1] == pytest.approx(np.log(joint.sum(1)).sum())
-    batch = lattice_lm.pa.record_batch([lattice_lm.pa.array([np.flatnonzero(r).tolist() for r in counts]), lattice_lm.pa.array([r[r > 0].astype(int).tolist() for r in counts])], names=["at", "n"])
+    bags = bags_of(counts)
+    batch = lattice_lm.pa.record_batch([lattice_lm.pa.array([bags.packed(0, 3), bags.packed(3, 7)])], names=["bags"])
+    assert (lattice_lm.Bags.of([bags.packed(0, 3), bags.packed(3, 7)]).dense() == counts).all()
     again = np.frombuffer(next(lattice_lm._expect_classes(iter([batch]), logs, prior)).column("sums")[0].as_py()).reshape(3, -1)
     assert np.allclose(got, again)
 
@@ -159,8 +165,9 @@ def test_classes_are_fitted_to_all_training_texts(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"{'abc'[i % 3]}{w}" for w in rng.integers(0, 40, 30)) for i in range(150)]
     rows = spark.createDataFrame([(i, t, i % 7 != 2) for i, t in enumerate(texts)], "doc_id bigint, text string, training boolean").repartition(5)
-    bags = lattice_lm.saved(rows.filter("training").selectExpr("xxhash64(doc_id) AS key", "text").mapInArrow(lattice_lm._bags, "key bigint, at array<int>, n array<int>"), "bags")
-    counts = lattice_lm.Bags.of(bags.orderBy("key").toArrow()).dense()
+    bags = rows.filter("training").selectExpr("xxhash64(doc_id) AS key", "text").mapInArrow(partial(lattice_lm._bags, cut=(1 << 63) - 1), "key bigint, bags binary").collect()
+    counts = lattice_lm.Bags.of([r["bags"] for r in sorted((r for r in bags if r["key"] is not None), key=lambda r: r["key"])]).dense()
+    assert lattice_lm.Bags.of([r["bags"] for r in bags if r["key"] is None]).dense().sum() == counts.sum()
     assert counts.sum() == 30 * sum(i % 7 != 2 for i in range(150))
     got = lattice_lm.fit_classes(rows, sample=20)
     want = lattice_lm.Mixture(bags_of(counts[:20]), expect=bags_of(counts).expected)
