@@ -130,21 +130,21 @@ class Lattice:
 
     def expected(self, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, each word counting ``weight`` times; words too unlikely for plain products are worked on in logs."""
-        rate = [np.exp(self._log(e, logs)) for e in self.edges]
+        rate, byte = np.exp(logs), math.exp(logs[self.table.byte] - math.log(256))
         alpha, beta, uses = np.zeros((self.length + 1, self.n)), np.zeros((self.length + 1, self.n)), np.zeros(len(logs))
         alpha[0] = beta[-1] = 1
-        for (i, k, rows, *_), p in zip(self.edges, rate, strict=True):
-            alpha[i + k][rows] += alpha[i][rows] * p
+        for i, k, rows, ids, size in self.edges:
+            alpha[i + k][rows] += alpha[i][rows] * (byte**size if ids is None else rate[ids])
         faint = alpha[-1] < 1e-250
         scale = np.where(faint, 0, weight / np.where(faint, 1, alpha[-1]))
-        for (i, k, rows, ids, size), p in zip(reversed(self.edges), reversed(rate), strict=True):
-            after = beta[i + k][rows] * p
+        for i, k, rows, ids, size in reversed(self.edges):
+            after = beta[i + k][rows] * (byte**size if ids is None else rate[ids])
             beta[i][rows] += after
             share = alpha[i][rows] * after * scale[rows]
             if ids is None:
                 uses[self.table.byte] += float((share * size).sum())
             else:
-                uses += np.bincount(ids, share, len(uses))
+                np.add.at(uses, ids, share)
         return uses + Lattice(self.codes[faint], self.table).expected_by_logs(logs, weight[faint]) if faint.any() else uses
 
     def expected_by_logs(self, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ class Lattice:
             if ids is None:
                 uses[self.table.byte] += float((share * size).sum())
             else:
-                uses += np.bincount(ids, share, len(uses))
+                np.add.at(uses, ids, share)
         return uses
 
 
