@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.formula import Formula, parse
-from .functions.snowball import stem
+from .functions.snowball import STEMMERS, stem
 from .functions.terms import soundex_code
 from .model import LAMBDA_TYPES
 from .operators import lookup, modal, rough, tfidf, traverse
@@ -87,13 +88,15 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[tuple[str, DataFrame]]
     kind = o.lambdatype
     graph = store.graph(kind)
     links, lam = graph.links, graph.lam
-    form = lambda text, modal_too: as_lambda_type(spark, parse(text, modal_too), kind)
+    # stems depend on each world's language, so atoms are asked for in all of them
+    stems = partial(lookup.holding, lam, form=stem, languages=store.table("world_stem_lang"), stem_languages=sorted(STEMMERS)) if kind.endswith("Stem") else None
+    form = lambda text, modal_too: parse(text, modal_too) if stems else as_lambda_type(spark, parse(text, modal_too), kind)
     asked = {
         "lamaccum": lambda _: lookup.accumulated(lam).orderBy(F.desc("total"), "formula"),
         "tfidf": lambda w: tfidf.of_world(lam, w).orderBy("tfidf", "formula"),
-        "tfidfsearch": lambda f: tfidf.search(lam, f).orderBy(F.desc("tfidf"), "world"),
-        "plformula": lambda f: modal.satisfying(graph, form(f, False)).orderBy("world"),
-        "pmlformula": lambda f: modal.satisfying(graph, form(f, True)).orderBy("world"),
+        "tfidfsearch": lambda f: tfidf.search(lam, f, stems([f]) if stems else None).orderBy(F.desc("tfidf"), "world"),
+        "plformula": lambda f: modal.satisfying(graph, form(f, False), held_in=stems).orderBy("world"),
+        "pmlformula": lambda f: modal.satisfying(graph, form(f, True), held_in=stems).orderBy("world"),
         "inlinkrings": lambda w: traverse.link_rings(links, w, outward=False).orderBy("ring", "world"),
         "outlinkrings": lambda w: traverse.link_rings(links, w).orderBy("ring", "world"),
         "rsetlampl": lambda f: rough.of_formula(lam, parse(f, modal=False)).orderBy("world"),

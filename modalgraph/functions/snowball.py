@@ -1,4 +1,5 @@
-"""Stemmers after the published Snowball algorithms: English (Porter 2), German, French, Spanish, Swedish, Norwegian, Danish, Dutch.
+"""Stemmers after the published Snowball algorithms: English (Porter 2), German, French, Spanish, Italian, Portuguese, Romanian,
+Russian, Hungarian, Swedish, Norwegian, Danish, Dutch.
 
 Other languages leave words as they are, as an unknown language does.
 """
@@ -465,7 +466,270 @@ def dutch(word: str) -> str:
     return w.lower()
 
 
-STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german, "french": french, "spanish": spanish, "swedish": swedish, "danish": danish, "norwegian": norwegian, "dutch": dutch}
+# Italian
+
+_IT_V = "aeiouàèìòù"
+#: Fixed values of the published algorithm: pronouns, endings and verb endings.
+_IT_PRONOUNS = "ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split()
+_IT_PLAIN = "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti".split()
+_IT_VERBS = """ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà
+erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete erò erono essero ete eva evamo evano evate evi evo Yamo iamo
+immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero
+ita ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir""".split()
+
+
+def _less(w: str, at: int, *ends: str) -> str:
+    """Without the first of some endings that begins at a place or behind it."""
+    for e in ends:
+        if w.endswith(e):
+            return w[: -len(e)] if len(w) - len(e) >= at else w
+    return w
+
+
+def _italian_ending(w: str, rv: int, r1: int, r2: int) -> str:
+    pairs = {"logia": "log", "logie": "log", **dict.fromkeys("uzione uzioni usione usioni".split(), "u"), "enza": "ente", "enze": "ente"}
+    end = _longest(w, [*_IT_PLAIN, *pairs, *"azione azioni atore atori amento amenti imento imenti amente ità ivo ivi iva ive".split()])
+    at = len(w) - len(end)
+    if not end or at < (rv if end[1:] in ("mento", "menti") else r1 if end == "amente" else r2):
+        return w
+    w = w[:at] + pairs.get(end, "")
+    if end in ("azione", "azioni", "atore", "atori"):
+        return _less(w, r2, "ic")
+    if end == "amente":
+        return _less(_less(w, r2, "iv"), r2, "at") if w.endswith("iv") and len(w) - 2 >= r2 else _less(w, r2, "os", "ic", "abil")
+    if end == "ità":
+        return _less(w, r2, "abil", "ic", "iv")
+    if end in ("ivo", "ivi", "iva", "ive"):
+        return _less(_less(w, r2, "at"), r2, "ic") if w.endswith("at") and len(w) - 2 >= r2 else w
+    return w
+
+
+def italian(word: str) -> str:
+    v = _IT_V
+    w = re.sub("(?<=q)u", "U", word.translate(str.maketrans("áéíóú", "àèìòù")))
+    w = re.sub(rf"(?<=[{v}])([ui])(?=[{v}])", lambda m: m[1].upper(), w)
+    rv, r1 = _rv(w, v), _r1(w, v)
+    r2 = _r1(w, v, r1)
+    end = _longest(w, _IT_PRONOUNS)
+    rest = w[: len(w) - len(end)]
+    if end and _longest(rest[rv:], ["ando", "endo"]):
+        w = rest
+    elif end and _longest(rest[rv:], ["ar", "er", "ir"]):
+        w = rest + "e"
+    start = w
+    w = _italian_ending(w, rv, r1, r2)
+    if w == start:
+        w = w[: len(w) - len(_longest(w[rv:], _IT_VERBS))]
+    if len(w) > rv and w[-1] in "aeioàèìò":
+        w = _less(w[:-1], rv, "i")
+    if w.endswith(("ch", "gh")) and len(w) - 2 >= rv:
+        w = w[:-1]
+    return w.lower()
+
+
+# Portuguese
+
+_PT_V = "aeiouáéíóúâêô"
+#: Fixed values of the published algorithm: endings and verb endings; "~" stands for the nasal sign of the vowel before it.
+_PT_PLAIN = "eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância".split()
+_PT_VERBS = """ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam
+aram eram iram avam em arem erem irem assem essem issem ado ido ando endo indo ara~o era~o ira~o ar er ir as adas idas ias arias
+erias irias arás aras erás eras irás avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis íeis
+aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis ados idos ámos amos íamos aríamos eríamos
+iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos êssemos íssemos imos armos ermos irmos eu iu ou ira iras""".split()
+
+
+def _portuguese_ending(w: str, rv: int, r1: int, r2: int) -> str:
+    pairs = {"logia": "log", "logias": "log", "uça~o": "u", "uço~es": "u", "ência": "ente", "ências": "ente"}
+    end = _longest(w, [*_PT_PLAIN, *pairs, *"amente mente idade idades iva ivo ivas ivos ira iras".split()])
+    at = len(w) - len(end)
+    if end in ("ira", "iras"):
+        return w[:at] + "ir" if at >= rv and w[:at].endswith("e") else w
+    if not end or at < (r1 if end == "amente" else r2):
+        return w
+    w = w[:at] + pairs.get(end, "")
+    if end == "amente":
+        return _less(_less(w, r2, "iv"), r2, "at") if w.endswith("iv") and len(w) - 2 >= r2 else _less(w, r2, "os", "ic", "ad")
+    if end == "mente":
+        return _less(w, r2, "ante", "avel", "ível")
+    if end in ("idade", "idades"):
+        return _less(w, r2, "abil", "ic", "iv")
+    return _less(w, r2, "at") if end.startswith("iv") else w
+
+
+def portuguese(word: str) -> str:
+    v = _PT_V
+    w = word.replace("ã", "a~").replace("õ", "o~")
+    rv, r1 = _rv(w, v), _r1(w, v)
+    r2 = _r1(w, v, r1)
+    start = w
+    w = _portuguese_ending(w, rv, r1, r2)
+    if w == start:
+        w = w[: len(w) - len(_longest(w[rv:], _PT_VERBS))]
+    if w != start:
+        w = w[:-1] if w.endswith("ci") and len(w) - 1 >= rv else w
+    else:
+        w = w[: len(w) - len(_longest(w[rv:], ["os", "a", "i", "o", "á", "í", "ó"]))]
+    if len(w) > rv and w[-1] in "eéê":
+        w = w[:-1]
+        if w.endswith(("gu", "ci")) and len(w) - 1 >= rv:
+            w = w[:-1]
+    elif w.endswith("ç"):
+        w = w[:-1] + "c"
+    return w.replace("a~", "ã").replace("o~", "õ")
+
+
+# Romanian
+
+_RO_V = "aăâeiîou"
+#: Fixed values of the published algorithm: endings, those of verbs in two groups.
+_RO_0 = {"ul": "", "ului": "", "aua": "a", **dict.fromkeys("ea ele elor".split(), "e"), **dict.fromkeys("ii iua iei iile iilor ilor ile".split(), "i"), "atei": "at", "aţie": "aţi", "aţia": "aţi"}
+_RO_1 = {
+    "abil": "abilitate abilitati abilităi abilităţi", "ibil": "ibilitate", "iv": "ivitate ivitati ivităi ivităţi",
+    "ic": "icitate icitati icităi icităţi icator icatori iciv iciva icive icivi icivă ical icala icale icali icală",
+    "at": "ativ ativa ative ativi ativă aţiune atoare ator atori ătoare ător ători", "it": "itiv itiva itive itivi itivă iţiune itoare itor itori",
+}
+_RO_2 = """at ata ată ati ate ut uta ută uti ute it ita ită iti ite ic ica ice ici ică abil abila abile abili abilă ibil ibila ibile ibili
+ibilă oasa oasă oase os osi oşi ant anta ante anti antă ator atori itate itati ităi ităţi iv iva ive ivi ivă""".split()
+_RO_IST = "ism isme ist ista iste isti istă işti".split()
+_RO_VERBS_A = """are ere ire âre ind ând indu ându eze ească ez ezi ează esc eşti eşte ăsc ăşti ăşte am ai au eam eai ea eaţi eau iam iai
+ia iaţi iau ui aşi arăm arăţi ară uşi urăm urăţi ură işi irăm irăţi iră âi âşi ârăm ârăţi âră asem aseşi ase aserăm aserăţi aseră
+isem iseşi ise iserăm iserăţi iseră âsem âseşi âse âserăm âserăţi âseră usem useşi use userăm userăţi useră""".split()
+_RO_VERBS_B = "ăm aţi em eţi im iţi âm âţi seşi serăm serăţi seră sei se sesem seseşi sese seserăm seserăţi seseră".split()
+
+
+def romanian(word: str) -> str:
+    v = _RO_V
+    w = word.translate(str.maketrans("șț", "şţ"))
+    w = re.sub(rf"(?<=[{v}])([ui])(?=[{v}])", lambda m: m[1].upper(), w)
+    rv, r1 = _rv(w, v), _r1(w, v)
+    r2 = _r1(w, v, r1)
+    end = _longest(w, list(_RO_0))
+    at = len(w) - len(end)
+    if end and at >= r1 and not (end == "ile" and w[:at].endswith("ab")):
+        w = w[:at] + _RO_0[end]
+    start, made = w, {e: to for to, ends in _RO_1.items() for e in ends.split()}
+    while (end := _longest(w, list(made))) and len(w) - len(end) >= r1:
+        w = w[: -len(end)] + made[end]
+    changed = w != start
+    end = _longest(w, [*_RO_2, *_RO_IST, "iune", "iuni"])
+    at = len(w) - len(end)
+    if end and at >= r2:
+        if end in ("iune", "iuni"):
+            if w[:at].endswith("ţ"):
+                w, changed = w[: at - 1] + "t", True
+        else:
+            w, changed = w[:at] + ("ist" if end in _RO_IST else ""), True
+    if not changed:
+        end = _longest(w[rv:], [*_RO_VERBS_A, *_RO_VERBS_B])
+        at = len(w) - len(end)
+        if end and (end in _RO_VERBS_B or (at - 1 >= rv and (w[at - 1] not in v or w[at - 1] == "u"))):
+            w = w[:at]
+    w = w[: len(w) - len(_longest(w[rv:], ["a", "e", "i", "ie", "ă"]))]
+    return w.lower()
+
+
+# Russian
+
+_RU_V = "аеиоуыэюя"
+#: Fixed values of the published algorithm: endings; those of a first group only follow а or я.
+_RU_GERUNDS = ("в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split())
+_RU_ADJECTIVES = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
+_RU_PARTICIPLES = ("ем нн вш ющ щ".split(), "ивш ывш ующ".split())
+_RU_VERBS = ("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split(), "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split())
+_RU_NOUNS = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()
+
+
+def _after_a(part: str, groups: tuple[list[str], list[str]]) -> str:
+    """The longest ending, which of the first group has to follow а or я."""
+    end = _longest(part, [*groups[0], *groups[1]])
+    return end if end in groups[1] or part[: len(part) - len(end)].endswith(("а", "я")) else ""
+
+
+def russian(word: str) -> str:
+    w = word.replace("ё", "е")
+    m = re.search(f"[{_RU_V}]", w)
+    rv = m.end() if m else len(w)
+    r2 = _r1(w, _RU_V, _r1(w, _RU_V))
+    head, part = w[:rv], w[rv:]
+    cut = lambda x, end: x[: len(x) - len(end)]
+    if end := _after_a(part, _RU_GERUNDS):
+        part = cut(part, end)
+    else:
+        part = cut(part, _longest(part, ["ся", "сь"]))
+        if end := _longest(part, _RU_ADJECTIVES):
+            part = cut(part, end)
+            part = cut(part, _after_a(part, _RU_PARTICIPLES))
+        elif end := _after_a(part, _RU_VERBS):
+            part = cut(part, end)
+        else:
+            part = cut(part, _longest(part, _RU_NOUNS))
+    part = part.removesuffix("и")
+    end = _longest(part, ["ост", "ость"])
+    if end and len(head) + len(part) - len(end) >= r2:
+        part = cut(part, end)
+    if end := _longest(part, ["ейш", "ейше"]):
+        part = cut(part, end)
+        part = part[:-1] if part.endswith("нн") else part
+    elif part.endswith("нн"):
+        part = part[:-1]
+    else:
+        part = part.removesuffix("ь")
+    return head + part
+
+
+# Hungarian
+
+_HU_V = "aeiouáéíóöőúüű"
+_HU_PAIRS = ("cs", "dz", "gy", "ly", "ny", "sz", "ty", "zs")
+_HU_DOUBLE = tuple("bb cc ccs dd ff gg ggy jj kk ll lly mm nn nny pp rr ss ssz tt tty vv zz zzs".split())
+#: Fixed values of the published algorithm: the endings of each step, in order: those that go, those that leave a, those that leave e.
+_HU_STEPS = [
+    ("ban ben ba be ra re nak nek val vel tól től ról ről ból ből hoz hez höz nál nél ig at et ot öt ért képp képpen kor ul ül vá vé onként enként anként ként en on an ön n t", "", ""),
+    ("", "án ánként", "én"),
+    ("astul estül stul stül", "ástul", "éstül"),
+    ("", "", ""),
+    ("oké öké aké eké ké éi é", "áké áéi", "éké ééi éé"),
+    ("ünk unk nk juk jük uk ük em om am m od ed ad öd d ja je a e o", "ánk ájuk ám ád á", "énk éjük ém éd é"),
+    ("jaim jeim aim eim im jaid jeid aid eid id jai jei ai ei i jaink jeink eink aink ink jaitok jeitek aitok eitek itek jeik jaik aik eik ik", "áim áid ái áink áitok áik", "éim éid éi éink éitek éik"),
+    ("ök ok ek ak k", "ák", "ék"),
+]
+
+
+def hungarian(word: str) -> str:
+    w, v = word, _HU_V
+    if w[:1] and w[0] in v:
+        m = re.search(rf"[^{v}]", w)
+        r1 = (m.start() + (3 if w.startswith("dzs", m.start()) else 2 if w.startswith(_HU_PAIRS, m.start()) else 1)) if m else len(w)
+    else:
+        m = re.search(rf"[{v}]", w)
+        r1 = m.end() if m else len(w)
+
+    def undoubled(x: str, ends: tuple[str, ...]) -> str:
+        """Without an ending that follows a double consonant, which becomes a single one."""
+        end = _longest(x[r1:], ends)
+        rest = x[: len(x) - len(end)]
+        if not end or not (double := _longest(rest, _HU_DOUBLE)):
+            return x
+        return rest[: -len(double)] + double[1:]
+
+    w = undoubled(w, ("al", "el"))
+    for i, (gone, to_a, to_e) in enumerate(_HU_STEPS):
+        if i == 3:
+            w = undoubled(w, ("á", "é"))
+            continue
+        end = _longest(w[r1:], [*gone.split(), *to_a.split(), *to_e.split()])
+        if end:
+            w = w[: -len(end)] + ("a" if end in to_a.split() else "e" if end in to_e.split() else "")
+            if i == 0 and len(w) > r1 and w[-1] in "áé":
+                w = w[:-1] + {"á": "a", "é": "e"}[w[-1]]
+    return w
+
+
+STEMMERS: dict[str, Callable[[str], str]] = {
+    "english": english, "german": german, "french": french, "spanish": spanish, "italian": italian, "portuguese": portuguese, "romanian": romanian,
+    "russian": russian, "hungarian": hungarian, "swedish": swedish, "danish": danish, "norwegian": norwegian, "dutch": dutch,
+}
 
 
 @lru_cache(maxsize=200_000)

@@ -1,6 +1,6 @@
 """Clusters of worlds: statistics, k-means in a boolean space of formulas, its splitting and merging form, single link.
 
-Positions are kept sparsely as (world, dim), the formulas that are true; clusters as (cluster, world).
+Positions are kept sparsely as (world, dim), the formulas that are true; clusters as (cluster, world), centroids as (cluster, dim).
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import Formula
@@ -101,41 +101,50 @@ def random_centroids(dims: int, k: int, seed: int = 0, tries: int = 20) -> list[
     return found
 
 
-def assigned(worlds: DataFrame, places: DataFrame, centroids: Sequence[Sequence[bool]]) -> DataFrame:
-    """(cluster, world): the first of the nearest centroids.
+def centroid_table(spark: SparkSession, centroids: Sequence[Sequence[bool]]) -> DataFrame:
+    """(cluster, dim): the true coordinates of centroids, and for each a row without a dim, so that none is lost."""
+    return spark.createDataFrame([(k, d) for k, c in enumerate(centroids) for d in (None, *(i for i, b in enumerate(c) if b))], "cluster int, dim int")
 
-    The distance to a centroid grows with |p| + |c| - 2 |p and c|, so only the shared true coordinates are summed; the
-    centroids, which the caller holds as a list, are literals of the plan.
+
+def assigned(worlds: DataFrame, places: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(cluster, world): the first of the nearest centroids (cluster, dim).
+
+    The distance to a centroid grows with |c| - 2 |p and c|.  Of the centroids that share no coordinate with a world only the
+    first of the smallest can be the nearest, so worlds only meet centroids that they share one with, and that one.
     """
-    of_dim = places.groupBy("world").agg(F.collect_set("dim").alias("dims"))  # at most one entry for each formula
-    found = worlds.join(of_dim, "world", "left").withColumn("dims", F.coalesce("dims", F.array().cast("array<int>")))
-    true = [F.array(*(F.lit(i) for i, b in enumerate(c) if b)).cast("array<int>") for c in centroids]
-    far = [F.struct((F.size("dims") + F.lit(sum(c)) - 2 * F.size(F.array_intersect("dims", t))).alias("d"), F.lit(i).alias("i")) for i, (c, t) in enumerate(zip(centroids, true, strict=True))]
-    return found.select(F.array_min(F.array(*far))["i"].alias("cluster"), "world")
+    sizes = centroids.groupBy("cluster").agg(F.count("dim").alias("size"))
+    shared = places.join(worlds, "world", "left_semi").join(centroids, "dim").groupBy("world", "cluster").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "cluster")
+    near = shared.select("world", F.struct((F.col("size") - 2 * F.col("shared")).alias("far"), "cluster").alias("to"))
+    least = sizes.agg(F.min(F.struct(F.col("size").alias("far"), "cluster")).alias("to"))  # one row
+    return near.union(worlds.select("world").join(F.broadcast(least))).groupBy("world").agg(F.min("to").alias("to")).select("to.cluster", "world")
 
 
-def majorities(clusters: DataFrame, places: DataFrame, dims: int) -> dict[int, list[bool]]:
-    """By cluster: the coordinates true in at least half of its worlds."""
+def majorities(clusters: DataFrame, places: DataFrame) -> DataFrame:
+    """(cluster, dim): the coordinates true in at least half of a cluster's worlds, and for each cluster a row without one."""
     n = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     true = clusters.join(places, "world").groupBy("cluster", "dim").agg(F.count(F.lit(1)).alias("t")).join(n, "cluster").filter("2 * t >= n")
-    found = {r["cluster"]: [False] * dims for r in n.collect()}  # one row for each centroid of the caller's list
-    for r in true.select("cluster", "dim").collect():
-        found[r["cluster"]][r["dim"]] = True
-    return found
+    return true.select("cluster", "dim").union(n.select("cluster", F.lit(None).cast("int")))
 
 
-def k_means(worlds: DataFrame, places: DataFrame, centroids: Sequence[Sequence[bool]], rounds: int = 4) -> tuple[DataFrame, list[list[bool]]]:
-    """(clusters, centroids) when centroids stop moving or rounds are used up; an empty cluster keeps its centroid."""
-    centroids, dims = [list(c) for c in centroids], len(centroids[0])
-    clusters = saved(assigned(worlds, places, centroids), "clusters")
-    for _ in range(rounds):
-        clusters = saved(assigned(worlds, places, centroids), "clusters")
-        new = majorities(clusters, places, dims)
-        moved = [new.get(i, c) for i, c in enumerate(centroids)]
-        if moved == centroids:
+def _same(one: DataFrame, other: DataFrame) -> bool:
+    return not one.subtract(other).union(other.subtract(one)).limit(1).count()
+
+
+def k_means(worlds: DataFrame, places: DataFrame, centroids: Sequence[Sequence[bool]], rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(clusters, centroids) when centroids stop moving or rounds are used up; an empty cluster keeps its centroid.
+
+    Clusters are (cluster, world), centroids (cluster, dim) as ``centroid_table`` has them.
+    """
+    current = centroid_table(worlds.sparkSession, centroids)
+    clusters = assigned(worlds, places, current)
+    for i in range(rounds):
+        clusters = saved(clusters if not i else assigned(worlds, places, current), "clusters")
+        moved = majorities(clusters, places)
+        moved = saved(moved.union(current.join(clusters, "cluster", "left_anti").select("cluster", "dim")), "centroids")
+        if _same(moved, current):
             break
-        centroids = moved
-    return clusters, centroids
+        current = moved
+    return clusters, current
 
 
 def split(lam: DataFrame, clusters: DataFrame, below: float = SPLIT_BELOW) -> DataFrame:
@@ -170,28 +179,25 @@ def merge_pairs(lam: DataFrame, clusters: DataFrame, below: float = MERGE_BELOW)
 
 def _renumbered(clusters: DataFrame, keys: list[str]) -> DataFrame:
     """Clusters numbered anew by their keys, without gaps."""
-    order = [tuple(r) for r in clusters.select(keys).distinct().orderBy(keys).collect()]  # one row for each cluster
-    number = F.create_map(*(x for i, k in enumerate(order) for x in (F.lit("|".join(map(str, k))), F.lit(i))))
-    return clusters.select(F.element_at(number, F.concat_ws("|", *keys)).alias("cluster"), "world")
+    numbers = clusters.select(keys).distinct().withColumn("number", F.row_number().over(Window.orderBy(*keys)) - 1)  # one row for each cluster
+    return clusters.join(numbers, keys).select(F.col("number").alias("cluster"), "world")
 
 
-def dynamic_k_means(graph: Graph, worlds: DataFrame, places: DataFrame, centroids: Sequence[Sequence[bool]], rounds: int = 20) -> tuple[DataFrame, list[list[bool]]]:
+def dynamic_k_means(graph: Graph, worlds: DataFrame, places: DataFrame, centroids: Sequence[Sequence[bool]], rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """k-means that drops empty clusters, splits loose ones and merges close ones each round; centroids follow the clusters."""
-    dims = len(centroids[0])
-    clusters = saved(_renumbered(assigned(worlds, places, centroids), ["cluster"]), "clusters")
-    found = majorities(clusters, places, dims)
-    current = [found[i] for i in sorted(found)]
+    spark = worlds.sparkSession
+    clusters = saved(_renumbered(assigned(worlds, places, centroid_table(spark, centroids)), ["cluster"]), "clusters")
+    current = saved(majorities(clusters, places), "centroids")
     for _ in range(rounds):
         clusters = saved(_renumbered(assigned(worlds, places, current), ["cluster"]), "clusters")
         clusters = saved(_renumbered(split(graph.lam, clusters), ["cluster", "half"]), "clusters")
         pairs = merge_pairs(graph.lam, clusters)
         if pairs:
-            into = F.create_map(*(F.lit(x) for a, b in pairs for x in (b, a)))
-            clusters = clusters.select(F.coalesce(F.try_element_at(into, F.col("cluster")), "cluster").alias("cluster"), "world")
-            clusters = saved(_renumbered(clusters, ["cluster"]), "clusters")
-        found = majorities(clusters, places, dims)
-        moved = [found[i] for i in sorted(found)]
-        if moved == current:
+            into = spark.createDataFrame([(b, a) for a, b in pairs], "cluster int, into int")
+            merged = clusters.join(into, "cluster", "left").select(F.coalesce("into", "cluster").alias("cluster"), "world")
+            clusters = saved(_renumbered(merged, ["cluster"]), "clusters")
+        moved = saved(majorities(clusters, places), "centroids")
+        if _same(moved, current):
             break
         current = moved
     return clusters, current
@@ -215,16 +221,25 @@ def single_link_edges(worlds: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def single_link_hierarchy(worlds: DataFrame, places: DataFrame, levels: int | None = None) -> DataFrame:
-    """(level, label, world): the components that links up to each level make; a level that changes nothing is left out."""
+    """(level, label, world): the components that links up to each level make; a level that changes nothing is left out.
+
+    Each level only joins components of the one before: its links become links between their labels.
+    """
     edges = saved(single_link_edges(worlds, places), "links")
+    ends = edges.select("level", F.explode(F.array("source", "target")).alias("world")).groupBy("world").agg(F.min("level").alias("first"))
+    labels = saved(ends.select("world", "first", F.col("world").alias("label")), "labels")
     last = edges.agg(F.max("level")).head()[0] or 0
-    done, before = None, None
+    done = None
     for level in range(1, min(last, levels or last) + 1):
-        found = saved(connected(edges.filter(F.col("level") <= level)).select(F.lit(level).cast("bigint").alias("level"), "label", "world"), "components")
-        state = tuple(found.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("world", "label"))).head())
-        if state != before:
-            done = found if done is None else done.union(found)
-        before = state
-        if found.select("label").distinct().count() == 1 and found.count() == worlds.count():
+        of = lambda end, labels=labels: labels.select(F.col("world").alias(end), F.col("label").alias(f"of_{end}"))
+        between = edges.filter(F.col("level") == level).join(of("source"), "source").join(of("target"), "target").filter("of_source <> of_target")
+        between = saved(between.select(F.col("of_source").alias("source"), F.col("of_target").alias("target")).distinct(), "between")
+        if not between.limit(1).count():
+            continue
+        joined = connected(between).select(F.col("world").alias("label"), F.col("label").alias("into"))
+        labels = saved(labels.join(joined, "label", "left").select("world", "first", F.coalesce("into", "label").alias("label")), "labels")
+        found = labels.filter(F.col("first") <= level).select(F.lit(level).cast("bigint").alias("level"), "label", "world")
+        done = found if done is None else done.union(found)
+        if labels.select("label").distinct().limit(2).count() == 1:
             break
     return done if done is not None else edges.select("level", F.col("source").alias("label"), F.col("target").alias("world"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +104,20 @@ def worlds_with_formula(lam: DataFrame, formula: str) -> DataFrame:
     return lam.filter(F.col("formula") == formula).select("world")
 
 
+def holding(lam: DataFrame, atoms: Sequence[str], form: Callable[[str, str | None], str] | None = None, languages: DataFrame | None = None, stem_languages: Sequence[str] = ()) -> DataFrame:
+    """(world, atom, frmcount) of the worlds in which atoms hold.
+
+    With a ``form`` an atom is asked for in the form it has in each world's language, by ``languages`` (world, language); worlds of
+    no known language have the form of none.
+    """
+    if form is None:
+        return lam.filter(_is_in("formula", atoms)).select("world", F.col("formula").alias("atom"), "frmcount")
+    asked = [("" if x is None else x, form(a, x), a) for x in (None, *stem_languages) for a in dict.fromkeys(atoms)]
+    forms = lam.sparkSession.createDataFrame(asked, "language string, formula string, atom string")  # one row for each atom and language
+    named = lam.filter(_is_in("formula", sorted({f for _, f, _ in asked}))).join(languages, "world", "left").withColumn("language", F.coalesce("language", F.lit("")))
+    return named.join(F.broadcast(forms), ["language", "formula"]).select("world", "atom", "frmcount")
+
+
 def worlds_in_lambda(lam: DataFrame) -> DataFrame:
     return lam.select("world").distinct()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import And, Box, Diamond, Formula, Imp, Not, Or, Var
 from ..model import Graph
+from .lookup import holding
 
 
 def _direct(formula: Formula, kinds: type | tuple[type, ...]) -> dict[Formula, None]:
@@ -25,12 +26,14 @@ def _direct(formula: Formula, kinds: type | tuple[type, ...]) -> dict[Formula, N
     return {f: None for p in formula.parts for f in _direct(p, kinds)}
 
 
-def truths(graph: Graph, formulas: Sequence[Formula], worlds: DataFrame | None = None, nested: Callable[[str], str] | None = None) -> DataFrame:
+def truths(graph: Graph, formulas: Sequence[Formula], worlds: DataFrame | None = None, nested: Callable[[str], str] | None = None, held_in: Callable[[Sequence[str]], DataFrame] | None = None) -> DataFrame:
     """(world, f0, f1, ...): the truth of each formula in each of ``worlds`` (all worlds if not given).
 
     ``nested`` renames atoms below a modal operator, where they are asked for in the form of the target world.  A modal part is
     one aggregation over links, whose targets meet the atoms and modal parts right below it, so the plan grows with the formula.
+    ``held_in`` gives the worlds in which atoms hold, (world, atom), where that is more than having the formula of that name.
     """
+    held_in = held_in or (lambda atoms: holding(graph.lam, atoms))
 
     def name(atom: Var, below: bool) -> str:
         return nested(atom.name) if below and nested else atom.name
@@ -41,7 +44,7 @@ def truths(graph: Graph, formulas: Sequence[Formula], worlds: DataFrame | None =
         for atom in {name(a, below): None for f in of for a in _direct(f, Var)}:
             columns[atom] = f"__a{len(columns)}"
         if columns:
-            held = graph.lam.filter(F.col("formula").isin(list(columns))).groupBy(F.col("world").alias(key)).agg(*(F.bool_or(F.col("formula") == a).alias(c) for a, c in columns.items()))
+            held = held_in(list(columns)).groupBy(F.col("world").alias(key)).agg(*(F.bool_or(F.col("atom") == a).alias(c) for a, c in columns.items()))
             rows = rows.join(held, key, "left")
         for part in {m: None for f in of for m in _direct(f, (Box, Diamond))}:
             columns[part] = f"__m{len(columns)}"
@@ -71,9 +74,9 @@ def truths(graph: Graph, formulas: Sequence[Formula], worlds: DataFrame | None =
     return table.select("world", *(column(f).alias(f"f{i}") for i, f in enumerate(formulas)))
 
 
-def satisfying(graph: Graph, formula: Formula, worlds: DataFrame | None = None) -> DataFrame:
+def satisfying(graph: Graph, formula: Formula, worlds: DataFrame | None = None, held_in: Callable[[Sequence[str]], DataFrame] | None = None) -> DataFrame:
     """(world): labelled worlds, or those given, in which a formula is true."""
-    return truths(graph, [formula], graph.labelled if worlds is None else worlds).filter("f0").select("world")
+    return truths(graph, [formula], graph.labelled if worlds is None else worlds, held_in=held_in).filter("f0").select("world")
 
 
 def satisfying_in_frame(graph: Graph, formula: Formula) -> DataFrame:

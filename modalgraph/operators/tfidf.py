@@ -59,7 +59,7 @@ def cut_percent(scores: DataFrame, percent: int) -> DataFrame:
     return scores.select("*", rank.cast("bigint").alias("rank"), many.alias("many")).filter((F.col("rank") > head) & (F.col("rank") <= F.col("many") - tail)).drop("many")
 
 
-def search(lam: DataFrame, formula: str) -> DataFrame:
-    """(world, tfidf) of the worlds with a formula."""
-    here = lam.filter(F.col("formula") == formula)
+def search(lam: DataFrame, formula: str, here: DataFrame | None = None) -> DataFrame:
+    """(world, tfidf) of the worlds with a formula, or of those given (world, frmcount), where it has another form in each."""
+    here = lam.filter(F.col("formula") == formula).select("world", "frmcount") if here is None else here
     return here.join(F.broadcast(here.agg(F.count(F.lit(1)).alias("df"))).join(F.broadcast(lam.agg(F.countDistinct("world").alias("n"))))).select("world", (F.col("frmcount") * F.log10(F.col("n") / F.col("df"))).alias("tfidf"))

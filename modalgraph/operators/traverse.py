@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,19 +15,23 @@ DAMPING = 0.85
 
 
 def link_rings(links: DataFrame, world: str, outward: bool = True, limit: int | None = None) -> DataFrame:
-    """(ring, world): worlds by their distance from (or, inward, to) a world, which is ring 0 itself."""
+    """(ring, world): worlds by their distance from (or, inward, to) a world, which is ring 0 itself.
+
+    Each round writes the new ring alone; from time to time the rings so far become one table, so that plans stay short.
+    """
     near, far = ("source", "target") if outward else ("target", "source")
     steps = links.select(F.col(near).alias("world"), F.col(far).alias("next"))
-    seen = links.sparkSession.createDataFrame([(0, world)], "ring bigint, world string")
+    seen = front = links.sparkSession.createDataFrame([(0, world)], "ring bigint, world string")
     ring = 0
     while limit is None or ring < limit:
-        front = seen.filter(F.col("ring") == ring).select("world")
-        new = steps.join(front, "world", "left_semi").select(F.col("next").alias("world")).distinct().join(seen, "world", "left_anti")
-        grown = saved(seen.union(new.select(F.lit(ring + 1).cast("bigint").alias("ring"), "world")), "rings")
         ring += 1
-        if not grown.filter(F.col("ring") == ring).limit(1).count():
+        new = steps.join(front.select("world"), "world", "left_semi").select(F.col("next").alias("world")).distinct().join(seen, "world", "left_anti")
+        front = saved(new.select(F.lit(ring).cast("bigint").alias("ring"), "world"), "ring")
+        if not front.limit(1).count():
             break
-        seen = grown
+        seen = seen.union(front)
+        if ring % 16 == 0:
+            seen = saved(seen, "rings")
     return seen
 
 
@@ -38,15 +43,15 @@ def ring_columns(rings: list[list[str]]) -> list[str]:
     return ["    ".join(c[i].ljust(w) for c, w in zip(columns, widths, strict=True)) for i in range(height)]
 
 
-def paths_to(links: DataFrame, world: str, longest: int = 50) -> DataFrame:
+def paths_to(links: DataFrame, world: str, longest: int | None = None) -> DataFrame:
     """(path): simple paths, as arrays from their first world, that end in a world and cannot be extended backwards.
 
-    Their number grows exponentially with the links; paths of over ``longest`` worlds raise an error.
+    Their number grows exponentially with the links; where a limit is given, paths of over ``longest`` worlds raise an error.
     """
     back = links.filter("source <> target").select(F.col("target").alias("head"), "source")
     paths = links.sparkSession.createDataFrame([([world],)], "path array<string>")
     done = None
-    for _ in range(longest):
+    for _ in count() if longest is None else range(longest):
         grown = paths.withColumn("head", F.element_at("path", 1)).join(back, "head").filter(~F.array_contains("path", F.col("source")))
         grown = saved(grown.select("path", F.array_prepend("path", F.col("source")).alias("longer")), "paths")
         ended = paths.join(grown.select("path"), "path", "left_anti")
@@ -57,13 +62,13 @@ def paths_to(links: DataFrame, world: str, longest: int = 50) -> DataFrame:
     raise ValueError(f"a path to {world!r} has over {longest} worlds")
 
 
-def paths_via_formulas(lam: DataFrame, world: str, longest: int = 50) -> DataFrame:
+def paths_via_formulas(lam: DataFrame, world: str, longest: int | None = None) -> DataFrame:
     """(path): paths that end in a world, neighbours sharing a formula; worlds found at one step are not visited below it."""
     own = lam.select("world", "formula").distinct()
     mates = saved(own.select("formula", F.col("world").alias("head")).join(own, "formula").filter("head <> world").select("head", F.col("world").alias("next")).distinct(), "mates")
     paths = lam.sparkSession.createDataFrame([([world], [world])], "path array<string>, visited array<string>")
     done = None
-    for _ in range(longest):
+    for _ in count() if longest is None else range(longest):
         found = paths.withColumn("head", F.element_at("path", 1)).join(mates, "head").filter(~F.array_contains("visited", F.col("next")))
         stepped = saved(found.groupBy("path", "visited").agg(F.collect_set("next").alias("new")), "paths")
         ended = paths.join(stepped, "path", "left_anti").select("path")

@@ -45,9 +45,15 @@ add("insert_lambda", lambda d: lookup.with_counts(d.rows("l1"), d.rows("l1").fil
 add("update_fml_count", lambda d: lookup.with_replaced_counts(d.rows("l1"), d.spark.createDataFrame([(W, t, 9) for t in TERMS], "world string, formula string, frmcount bigint")), "l1", f"SELECT world, formula, CAST(CASE WHEN world = '{W}' AND formula IN ({TERMS_SQL}) THEN 9 ELSE frmcount END AS BIGINT) AS frmcount FROM l1")
 add("delete_lambda_world", lambda d: lookup.without_world(d.rows("l1"), W).select("world", "formula"), "l1", f"SELECT world, formula FROM l1 WHERE world <> '{W}'")
 add("fmlset_subset", lambda d: lookup.subset_keys(d.rows("l1"), "world", "formula", TERMS), "l1", f"SELECT DISTINCT world FROM l1 WHERE formula IN ({TERMS_SQL}) EXCEPT SELECT world FROM l1 WHERE formula NOT IN ({TERMS_SQL})")
+#: Sets that are wide enough to hold all formulas or neighbours of some worlds.
+MANY = [*(f"brand#{i}" for i in range(1, 26) if i not in (12, 16)), "economy", "large", "medium", "promo", "small", "standard"]
+HUBS = {"olinks": ["NATION_6", "NATION_7", "NATION_9", "NATION_11"], "ilinks": ["NATION_1", "NATION_4", "NATION_9", "NATION_13", "NATION_17"]}
+_quoted = lambda items: ", ".join(f"'{x}'" for x in items)
+add("fmlset_subset_many", lambda d: lookup.subset_keys(d.rows("l1"), "world", "formula", MANY), "l1", f"SELECT DISTINCT world FROM l1 WHERE formula IN ({_quoted(MANY)}) EXCEPT SELECT world FROM l1 WHERE formula NOT IN ({_quoted(MANY)})")
 add("fmlset_intersect", lambda d: lookup.touching_keys(d.rows("l1"), "world", "formula", TERMS), "l1", f"SELECT DISTINCT world FROM l1 WHERE formula IN ({TERMS_SQL})")
 for end, key, item in (("olinks", "source", "target"), ("ilinks", "target", "source")):
     add(f"{end}_subset", lambda d, k=key, i=item: lookup.subset_keys(d.rows("g1"), k, i, SOME), "g1", f"SELECT DISTINCT {key} AS world FROM g1 WHERE {item} IN ({LISTED}) EXCEPT SELECT {key} FROM g1 WHERE {item} NOT IN ({LISTED})")
+    add(f"{end}_subset_hubs", lambda d, e=end, k=key, i=item: lookup.subset_keys(d.rows("g1"), k, i, HUBS[e]), "g1", f"SELECT DISTINCT {key} AS world FROM g1 WHERE {item} IN ({_quoted(HUBS[end])}) EXCEPT SELECT {key} FROM g1 WHERE {item} NOT IN ({_quoted(HUBS[end])})")
     add(f"{end}_intersect", lambda d, k=key, i=item: lookup.touching_keys(d.rows("g1"), k, i, SOME), "g1", f"SELECT DISTINCT {key} AS world FROM g1 WHERE {item} IN ({LISTED})")
 
 # frames
@@ -82,6 +88,8 @@ LOOPED = "SELECT frame, source, target FROM {e} UNION SELECT frame, source, sour
 REFL = ", r0 AS (SELECT * FROM {t} WHERE source IN {rw} AND target IN {rw}), rg AS ({good}), r1 AS (SELECT * FROM r0 WHERE frame IN (SELECT frame FROM rg)), r2 AS ({looped}) {first}"
 SYMT = ", m AS ({sym}), ow AS (SELECT DISTINCT frame, target AS world FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = t.target AND m.target = t.source)), s0 AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ow WHERE ow.frame = t.frame AND ow.world IN (t.source, t.target))), sg AS ({good}), s1 AS (SELECT * FROM s0 WHERE frame IN (SELECT frame FROM sg)), s2 AS (SELECT frame, source, target FROM s1 UNION SELECT frame, target, source FROM s1), st AS ({first})"
 add("refl_trans_subframes", lambda d: frames.reflexive_transitive(d.kept("g2")), "g2", TRANS.format(g="g2") + REFL.format(t="t", rw=RW.format(g="g2"), good=GOOD.format(e="r0"), looped=LOOPED.format(e="r1"), first=FIRST.format(e="r2")))
+#: Reflexive transitive frames of g2 as a CTE.
+REFL_TRANS = TRANS.format(g="g2") + REFL.format(t="t", rw=RW.format(g="g2"), good=GOOD.format(e="r0"), looped=LOOPED.format(e="r1"), first=f", rt AS ({FIRST.format(e='r2')})")
 _sym = SYMT.format(sym=SYM.format(g="g2"), good=GOOD.format(e="s0"), first=FIRST.format(e="s2"))
 add("sym_trans_subframes", lambda d: frames.symmetric_transitive(d.kept("g2")), "g2", TRANS.format(g="g2") + _sym + " SELECT frame, source, target FROM st")
 add("refl_sym_trans_subframes", lambda d: frames.reflexive_symmetric_transitive(d.kept("g2")), "g2", TRANS.format(g="g2") + _sym + REFL.format(t="st", rw=RW.format(g="g2"), good=GOOD.format(e="r0"), looped=LOOPED.format(e="r1"), first=FIRST.format(e="r2")))
@@ -97,5 +105,5 @@ for way, near, far in (("out", "source", "target"), ("in", "target", "source")):
 PATHS = ", p AS (SELECT '{w}' AS head, ['{w}'] AS path UNION ALL SELECT l.source, list_prepend(l.source, p.path) FROM p JOIN {g} l ON l.target = p.head WHERE NOT list_contains(p.path, l.source)) SELECT array_to_string(path, '>') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM {g} l WHERE l.target = p.head AND NOT list_contains(p.path, l.source))"
 add("paths_to", lambda d: traverse.paths_to(d.kept("g2"), "NATION_24").select(F.array_join("path", ">").alias("path")), "g2", PATHS.format(g="g2", w="NATION_24"))
 add("paths_to_g1", lambda d: traverse.paths_to(d.kept("g1"), W).select(F.array_join("path", ">").alias("path")), "g1", PATHS.format(g="g1", w=W))
-VIA = ", m AS (SELECT DISTINCT a.world AS head, b.world AS nxt FROM (SELECT * FROM l1 WHERE formula LIKE 'brand#1%') a JOIN (SELECT * FROM l1 WHERE formula LIKE 'brand#1%') b ON a.formula = b.formula WHERE a.world <> b.world), p AS (SELECT CAST('{w}' AS VARCHAR) AS head, ['{w}'] AS path, ['{w}'] AS visited UNION ALL SELECT nxt, list_prepend(nxt, path), list_concat(visited, (SELECT list(nxt) FROM m m2 WHERE m2.head = p.head AND NOT list_contains(p.visited, m2.nxt))) FROM p JOIN m ON m.head = p.head WHERE NOT list_contains(p.visited, m.nxt)) SELECT array_to_string(path, '>') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.head = p.head AND NOT list_contains(p.visited, m.nxt))"
-add("paths_to_via_lambda", lambda d: traverse.paths_via_formulas(d.kept("l1").filter("formula like 'brand#1%'"), W).select(F.array_join("path", ">").alias("path")), "l1", VIA.format(w=W))
+VIA = ", m AS (SELECT DISTINCT a.world AS head, b.world AS nxt FROM l1 a JOIN l1 b ON a.formula = b.formula WHERE a.world <> b.world), p AS (SELECT CAST('{w}' AS VARCHAR) AS head, ['{w}'] AS path, ['{w}'] AS visited UNION ALL SELECT nxt, list_prepend(nxt, path), list_concat(visited, (SELECT list(nxt) FROM m m2 WHERE m2.head = p.head AND NOT list_contains(p.visited, m2.nxt))) FROM p JOIN m ON m.head = p.head WHERE NOT list_contains(p.visited, m.nxt)) SELECT array_to_string(path, '>') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.head = p.head AND NOT list_contains(p.visited, m.nxt))"
+add("paths_to_via_lambda", lambda d: traverse.paths_via_formulas(d.kept("l1"), W).select(F.array_join("path", ">").alias("path")), "l1", VIA.format(w=W))

@@ -8,7 +8,7 @@ from ..functions.formula import And, Box, Diamond, Formula, Imp, Not, Or, Var, p
 from ..functions.terms import soundex_code
 from ..model import Graph, nodes
 from ..operators import frames, modal, rough
-from .graph_queries import LISTED, SOME, TERMS, TERMS_SQL, W
+from .graph_queries import LISTED, REFL_TRANS, SOME, TERMS, TERMS_SQL, W
 from .registry import add
 
 P, Q = "brand#8", "promo"
@@ -42,6 +42,7 @@ FORMULAS = {
     "box": f"([] (Not (Var {P})))",
     "diamond": f"(<> (Var {P}))",
     "diamond_or": "(<> (Or (Var brand#25) (Var promo)))",
+    "box_or": "([] (Or (Var medium) (Or (Var large) (Var standard))))",
     "nested": f"(And ([] (<> (Var {P}))) (Imp (<> (Var {Q})) (Not ([] (Var brand#25)))))",
 }
 #: The universes of the three families: labelled worlds, worlds of a frame, worlds of a reduced model.
@@ -76,7 +77,12 @@ for name in ("T", "D", "B", "4", "5"):
     for g in ("g1", "g2"):
         add(f"axiom_{name.lower()}_{g}", lambda d, n=name, g=g: frames.axiom_holds(d.graph(g, "l1"), n, P), f"{g} l1", f", u AS ({LINKED.format(g=g)}) SELECT bool_and({truth_sql(frames.axiom(name, Var(P)), 'u.world', g, 'l1')}) AS truth FROM u")
 add("axiom_k", lambda d: frames.axiom_holds(d.graph("g1", "l1"), "K", P, Q), "g1 l1", f", u AS ({LINKED.format(g='g1')}) SELECT bool_and({truth_sql(frames.axiom('K', Var(P), Var(Q)), 'u.world', 'g1', 'l1')}) AS truth FROM u")
-add("axiom_4_refl_trans", lambda d: frames.axiom_holds(Graph(frames.reflexive_transitive(d.kept("g2")).filter("frame = 'NATION_0'").select("source", "target"), d.kept("l1")), "4", P))
+add(
+    "axiom_4_refl_trans",
+    lambda d: frames.axiom_holds(Graph(frames.reflexive_transitive(d.kept("g2")).filter("frame = 'NATION_0'").select("source", "target"), d.kept("l1")), "4", P),
+    "g2 l1",
+    f"{REFL_TRANS}, one AS (SELECT source, target FROM rt WHERE frame = 'NATION_0'), u AS ({LINKED.format(g='one')}) SELECT coalesce(bool_and({truth_sql(frames.axiom('4', Var(P)), 'u.world', 'one', 'l1')}), true) AS truth FROM u",
+)
 
 # rough sets
 KEYS = {"lam": ("l1", "world", "formula"), "inlinks": ("g1", "target", "source"), "outlinks": ("g1", "source", "target")}

@@ -69,7 +69,7 @@ def hits_sql(g: str, rounds: int) -> str:
 
 add("hits_2", lambda d: R(traverse.hubs_and_authorities(d.graph("g1", "l1"), 2), "auth", "hub"), "g1", hits_sql("g1", 2))
 add("hits_3_g3", lambda d: R(traverse.hubs_and_authorities(d.graph("g3", "l2"), 3), "auth", "hub"), "g3", hits_sql("g3", 3))
-add("hits_partition", lambda d: traverse.hits_partition(d.graph("g1", "l1")).select("world", "part"))
+add("hits_partition", lambda d: traverse.hits_partition(d.graph("g1", "l1")).select("world", "part"), "g1", hits_sql("g1", 20).replace("round(auth, 6) AS auth, round(hub, 6) AS hub", "CASE WHEN auth > hub AND NOT isnan(auth) THEN 'authority' ELSE 'hub' END AS part"))
 
 # schemes on G1 and L1, worlds being those linked
 U = "u AS (SELECT source AS world FROM g1 UNION SELECT target FROM g1), k AS (SELECT DISTINCT world AS v FROM l1)"
@@ -88,6 +88,12 @@ for base, at in (("anded", ALL), ("ored", ANY)):
     }
     for suffix, condition in forms.items():
         add(f"scheme_lambda_{base}{suffix}", lambda d, n=f"lambda_{base}{suffix}": schemes.scheme(d.graph("g1", "l1"), n), "g1 l1", f", {U} SELECT k.v AS formula_of, u.world FROM k, u WHERE {condition}")
+#: The same on frames by region, where those that hold nowhere or everywhere above hold in some worlds.
+for name in ("anded_boxed", "ored_diamonded_negated", "ored_boxed_negated"):
+    base, _, how = name.partition("_")
+    there = {"anded": ALL, "ored": ANY}[base].format(w="e.target")
+    condition = {"boxed": f"NOT EXISTS (SELECT 1 FROM g2 e WHERE e.source = u.world AND NOT ({there}))", "diamonded_negated": f"NOT EXISTS (SELECT 1 FROM g2 e WHERE e.source = u.world AND {there})", "boxed_negated": f"EXISTS (SELECT 1 FROM g2 e WHERE e.source = u.world AND NOT ({there}))"}[how]
+    add(f"scheme_lambda_{name}_g2", lambda d, n=f"lambda_{name}": schemes.scheme(d.graph("g2", "l1"), n), "g2 l1", f", {U.replace('g1', 'g2')} SELECT k.v AS formula_of, u.world FROM k, u WHERE {condition}")
 TOP = RANKED.format(l="l1") + ", top AS (SELECT world, formula FROM r WHERE rank <= many - round_even(CAST(many * 0.6 AS DOUBLE), 0)), cutt AS (SELECT world, formula FROM (SELECT *, round_even(CAST(many * 0.2 AS DOUBLE), 0) AS head FROM r) h WHERE rank > head AND rank <= many - round_even(CAST((many - head) * 0.2 AS DOUBLE), 0)), " + U
 CHOSEN = "EXISTS (SELECT 1 FROM {t} a JOIN l1 b ON a.formula = b.formula WHERE a.world = k.v AND b.world = {w})"
 add("scheme_tfidf_top_ored", lambda d: schemes.scheme(d.graph("g1", "l1"), "tfidf_top_ored", scores(d, "l1"), 40), "g1 l1", f"{TOP} SELECT k.v AS formula_of, u.world FROM k, u WHERE {CHOSEN.format(t='top', w='u.world')}")
@@ -201,6 +207,13 @@ def _single(d, hierarchy=False):
 
 APART = SPACE + ", e AS (SELECT a.world AS source, b.world AS target, (SELECT count(*) FROM (SELECT dim FROM p WHERE world IN (a.world, b.world) GROUP BY dim HAVING count(*) = 1) x) AS apart FROM u a, u b WHERE a.world < b.world), l AS (SELECT dense_rank() OVER (ORDER BY apart) AS level, source, target, apart FROM e)"
 add("single_link_edges", lambda d: R(_single(d), "dist"), "g1 l1", APART + " SELECT level, source, target, round(sqrt(apart), 6) AS dist FROM l")
-add("single_link_hier", lambda d: _single(d, True).select("level", "label", "world"))
+HIER = """, n AS (SELECT DISTINCT level FROM l), w AS (SELECT source AS world FROM l UNION SELECT target FROM l),
+ t AS (SELECT n.level, source, target FROM n JOIN l ON l.level <= n.level UNION SELECT n.level, target, source FROM n JOIN l ON l.level <= n.level),
+ r AS (SELECT level, source AS world, target AS other FROM t UNION SELECT r.level, r.world, t.target FROM r JOIN t ON t.level = r.level AND t.source = r.other),
+ c AS (SELECT level, world, least(world, min(other)) AS label FROM r GROUP BY level, world),
+ s AS (SELECT level, list_sort(list(world || '>' || label)) AS state FROM c GROUP BY level),
+ k AS (SELECT level FROM (SELECT level, state, lag(state) OVER (ORDER BY level) AS before FROM s) x WHERE before IS NULL OR state <> before)
+SELECT level, label, world FROM c WHERE level IN (SELECT level FROM k)"""
+add("single_link_hier", lambda d: _single(d, True).select("level", "label", "world"), "g1 l1", APART + HIER)
 
 __all__ = ["LISTED", "W", "nodes"]

@@ -36,6 +36,22 @@ def test_build_and_query(spark, where):
     assert got["lamaccum"][0].startswith("link\t2\t")
 
 
+def test_formulas_take_the_stem_of_each_world(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = [
+        ("http://a.com", '<html lang="en"><body>running kinder <a href="http://b.de">x</a></body></html>'), ("http://b.de", '<html lang="de"><body>Kindern running <a href="http://c.net">x</a></body></html>'),
+        ("http://c.net", "<html><body>running kindern</body></html>"),
+    ]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{folder}/pages")
+    stem = ("--lambdatype", "BdyStem")
+    assert asked(spark, folder, "-R", "http://a.com", "-d", "3", "-l") == {}
+    assert asked(spark, folder, "--plformula", "(Var runs)", *stem)["plformula"] == ["http://a.com"]
+    assert asked(spark, folder, "--plformula", "(Var kinder)", *stem)["plformula"] == ["http://a.com", "http://b.de"]
+    assert asked(spark, folder, "--plformula", "(Var running)", *stem)["plformula"] == ["http://a.com", "http://b.de", "http://c.net"]
+    assert asked(spark, folder, "--pmlformula", "(<> (Var kinder))", *stem)["pmlformula"] == ["http://a.com"]
+    assert [x.split("\t")[0] for x in asked(spark, folder, "-g", "kinder", *stem)["tfidfsearch"]] == ["http://a.com", "http://b.de"]
+
+
 def test_links_within_a_host(spark, where):
     cli.run(spark, ["--store", f"{where}/other", "--pages", f"{where}/pages", "--relaccrel", "http://a.com"])
     assert [tuple(r) for r in spark.read.parquet(f"{where}/other/links").collect()] == [("http://a.com", "http://a.com/sub")]

@@ -217,7 +217,10 @@ def test_k_means_and_single_link(spark, rows):
     places = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", 2)], "world string, dim int")
     clusters, centroids = cluster.k_means(worlds, places, [[True, True, False], [False, False, True]])
     assert rows(clusters) == [(0, "a"), (0, "b"), (1, "c"), (1, "d")]
-    assert centroids == [[True, True, False], [False, False, True]]
+    assert {(r["cluster"], r["dim"]) for r in centroids.collect()} == {(0, None), (0, 0), (0, 1), (1, None), (1, 2)}
+    kept = cluster.k_means(worlds, places, [[False] * 3] * 2, 1)
+    assert rows(kept[0]) == [(0, w) for w in "abcd"]
+    assert {(r["cluster"], r["dim"]) for r in kept[1].collect()} == {(0, None), (0, 0), (1, None)}  # an empty cluster keeps its centroid
     levels = rows(cluster.single_link_edges(worlds, places), "level", "source", "target")
     assert [x for x in levels if x[0] == 1] == [(1, "a", "b"), (1, "b", "d"), (1, "c", "d")]
     assert rows(cluster.single_link_hierarchy(worlds, places)) == [(1, "a", w) for w in "abcd"]
@@ -230,7 +233,7 @@ def test_dynamic_k_means_ends_and_keeps_all_worlds(spark, rows):
     clusters, centroids = cluster.dynamic_k_means(g, g.linked, places, [[True, False, False], [False, True, True], [False, False, False]])
     found = rows(clusters)
     assert sorted(w for _, w in found) == WORLDS
-    assert sorted({c for c, _ in found}) == list(range(len(centroids)))
+    assert sorted({c for c, _ in found}) == sorted({r["cluster"] for r in centroids.collect()}) == list(range(len({c for c, _ in found})))
 
 
 def test_plans_grow_with_the_formula_and_not_with_its_depth(spark):
@@ -245,3 +248,18 @@ def test_plans_grow_with_the_formula_and_not_with_its_depth(spark):
 
     found = [scans(d) for d in (1, 2, 5, 10)]
     assert found[3] - found[2] == 5 * (found[1] - found[0]) <= 10
+
+
+def test_tables_of_queries_go_on_request(spark):
+    from modalgraph.sources import shared
+
+    folder = shared.work_folder(spark)
+    assert spark.sparkContext.applicationId in folder
+    other = shared.shared_folder(spark) + "/kept"
+    frame(spark, {("a", 1)}, "x string, n int").write.mode("overwrite").parquet(other)
+    table = shared.saved(frame(spark, {("a", 1)}, "x string, n int"))
+    assert table.count() == 1
+    shared.release(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert spark.read.parquet(other).count() == 1 and shared.saved(frame(spark, {("b", 2)}, "x string, n int")).count() == 1

@@ -55,6 +55,11 @@ def test_stop_words_and_terms():
         ("spanish", {"chicharrones": "chicharron", "torneados": "torn", "cheque": "chequ"}),
         ("french", {"continuellement": "continuel", "majestueusement": "majestu", "continuité": "continu", "mainte": "maint", "chevaux": "cheval", "majorité": "major", "constamment": "const", "parlait": "parl", "finissons": "fin", "maître": "maîtr"}),
         ("swedish", {"jaktkarlarne": "jaktkarl", "klostren": "klostr"}),
+        ("italian", {"abbandonata": "abbandon", "abbandoneranno": "abbandon", "abbassandola": "abbass", "pronunciamento": "pronunc", "pronunziò": "pronunz", "propagazione": "propag", "propaghino": "propaghin"}),
+        ("portuguese", {"boataria": "boat", "boatos": "boat", "bobagens": "bobagens", "quilômetro": "quilômetr", "quinhão": "quinhã", "quintal": "quintal"}),
+        ("romanian", {"abruptă": "abrupt", "absolvenţii": "absolvenţ", "ocolesc": "ocol", "ocupaţie": "ocup"}),
+        ("russian", {"вагонов": "вагон", "важнейшие": "важн", "важничал": "важнича", "важностью": "важност", "павильон": "павильон", "в": "в"}),
+        ("hungarian", {"babakocsijáért": "babakocs", "babrálni": "babráln", "babérjaikat": "babér", "babérkoszorúkkal": "babérkoszorú"}),
         (None, {"anything": "anything"}),
         ("finnish", {"sana": "sana"}),
     ],
