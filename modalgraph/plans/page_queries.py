@@ -49,13 +49,13 @@ _ends = {"com": "english", "org": "english", "net": None, "de": "german", "ru":
 add("tld_language", lambda d: d.names(*[f"www.example.{e}" for e in _ends], column="host").select("host", language(F.lit(None).cast("string"), F.col("host")).alias("language")), "", "SELECT host, language FROM (VALUES " + ", ".join(f"('www.example.{e}', {repr(v) if v else 'NULL'})" for e, v in _ends.items()) + ") t(host, language)")
 _words = lambda d: d.table("documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("formula")).distinct()
 add("term_filter", lambda d: _words(d).filter(is_term_column(F.col("formula"))), "", "SELECT formula FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\\s+')) AS formula FROM documents) x WHERE length(formula) BETWEEN 2 AND 80 AND regexp_matches(formula, '\\p{L}') AND NOT regexp_matches(formula, '[#$%()*,0-9:;<>@\\[\\]{|}§]') AND formula NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + ")")
-#: Letters by the digit of their sound; vowels part equal sounds, H and W (7) do not.
+#: Letters by the digit of their sound; vowels and all that are no such letters part equal sounds, H and W (7) do not.
 SOUNDS = "01230127022455012623017202"
 
 
 def soundex_sql(term: str) -> str:
     """A sound code by text functions: equal neighbours count once, vowels not at all."""
-    letters = f"regexp_replace(upper(regexp_replace({term}, '^[^A-Za-z]+', '')), '[^A-Z]', '', 'g')"
+    letters = f"regexp_replace(translate(regexp_replace({term}, '^[^A-Za-z]+', ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'A', 'g')"
     digits = f"translate({letters}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{SOUNDS}')"
     run = f"(substr({digits}, 1, 1) || replace(substr({digits}, 2), '7', ''))"
     for d in "0123456":
