@@ -7,12 +7,13 @@ on a register with the probability Jaccard similarity of their weighted shingles
 
 Texts with equal word sequences are merged first, so a group of copies is one text from then on.  Every text of a bucket is
 compared with the bucket's least id.  Buckets whose other texts are then not yet in one class let a few more of their texts meet
-those of other classes.  The texts of buckets that are still open meet by the rarest of their shingles: two texts can only be
-similar if the rarest shingle they share is among the first of each one's shingles, by rarity, that make up 1 - ``SIMILARITY`` of
-its weight.  Texts with one such shingle make a group; those outside a group's largest class, in blocks, meet all texts of the
-group, and a task returns no pairs but the few links that join classes.  So no link between bucket mates is lost, and texts that
-only share frequent passages do not meet.  A comparison computes the similarity of all shingles and links at ``SIMILARITY`` or
-more; classes are the connected components of the links.
+those of other classes.  What is still open after that is compared in full: the texts outside a bucket's largest class, in
+blocks, meet all texts of the bucket, and a task returns no pairs but the few links that join classes.  So no link between
+bucket mates is lost, and a task holds a block and a part of a bucket.  That is done in buckets of at most ``MOST`` texts, so rows
+grow with the texts.  The texts of larger ones meet by the rarest of their shingles: two texts can only be similar if the rarest
+shingle they share is among the first of each one's shingles, by rarity, that make up 1 - ``SIMILARITY`` of its weight.  Texts with
+one such shingle make a group in the place of a bucket, so texts that only share frequent passages do not meet.  A comparison
+computes the similarity of all shingles and links at ``SIMILARITY`` or more; classes are the connected components of the links.
 
 Defined results: texts without words (null texts included) are copies of each other; the class id is the least doc_id of the
 class; rows with a null doc_id take the class of their copies, or null; repeated rows of one doc_id are one document to
@@ -39,6 +40,8 @@ PER_TASK = 512
 LEADERS = 2
 #: Texts of a block when classes of a bucket are compared.
 BLOCK = 256
+#: Texts of an open bucket that are all compared; those of larger buckets are grouped by their rarest shingles.
+MOST = 1_024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
@@ -314,8 +317,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         labels = components(links)
         rest = _open(led.filter(F.col("rep") != F.col("leader.rep")), labels)
     if rest.limit(1).count():
-        met = saved(rarest(picked(texts, rest.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")), "rarest")
-        labels = components(links.union(across_classes(_open(met, labels), texts)))
+        large = saved(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("bucket"), "large-buckets")
+        links = links.union(across_classes(rest.join(large, "bucket", "left_anti"), texts))
+        if large.limit(1).count():
+            own = rest.join(large, "bucket", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+            met = saved(rarest(picked(texts, own).withColumnRenamed("doc_id", "rep")), "rarest")
+            links = links.union(across_classes(_open(met, labels), texts))
+        labels = components(links)
     return _labelled(merged.select("doc_id", "rep"), labels).select("doc_id", F.col("label").alias("class_id"))
 
 

@@ -89,9 +89,10 @@ def components(rows):
     return {d: find(d) for d in root}
 
 
-@pytest.mark.parametrize("leaders", [0, 2])
-def test_classes_are_the_components(spark, monkeypatch, leaders):
+@pytest.mark.parametrize(("leaders", "most"), [(0, 1_024), (0, 1), (2, 1_024)])
+def test_classes_are_the_components(spark, monkeypatch, leaders, most):
     monkeypatch.setattr(near_dups, "LEADERS", leaders)
+    monkeypatch.setattr(near_dups, "MOST", most)
     monkeypatch.setattr(near_dups, "PER_TASK", 3)
     rows = copies()
     docs = spark.createDataFrame([(d, t, 0, "", "", "", "", 0, 0) for d, t in rows], SCHEMA)
