@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     add("--relaccrel", metavar="URL", help="crawl within a host and add links between its pages")
     add("-d", "--depth", type=int, default=1, metavar="N", help="depth of a crawl (1)")
     add("-l", "--lamrel", action="store_true", help="build the labels of all pages in links")
+    add("--foldlambda", action="store_true", help="add the labels of pages to those of their domains")
     add("--tfidfcalc", action="store_true", help="compute and store the scores of all labels")
     add("-p", "--pagerankcalc", type=int, nargs="?", const=10, metavar="N", help="compute and store ranks in so many sweeps (10)")
     add("--lambdatype", choices=LAMBDA_TYPES, default="BdyRaw", help="labels that the following are about (BdyRaw)")
@@ -81,6 +82,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[tuple[str, DataFrame]]
     if o.lamrel:
         worlds = saved(lookup.worlds_in_links(store.table("links")), "worlds")
         store.build_labels(pages.join(worlds.withColumnRenamed("world", "url"), "url", "left_semi"))
+    if o.foldlambda:
+        store.fold_labels()
     if o.tfidfcalc:
         store.score_labels()
     if o.pagerankcalc is not None:

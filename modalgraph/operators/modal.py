@@ -92,6 +92,15 @@ def true_in(graph: Graph, formula: Formula, worlds: Sequence[str]) -> DataFrame:
     return truths(wider, [formula], asked).agg(F.coalesce(F.bool_and("f0"), F.lit(True)).alias("truth"))
 
 
+def true_in_frame(graph: Graph, formula: Formula, worlds: Sequence[str]) -> DataFrame:
+    """One row: whether a formula is true in all of the worlds named, which have to be worlds of the frame."""
+    asked = graph.lam.sparkSession.createDataFrame([(w,) for w in worlds], "world string")
+    strange = [r["world"] for r in asked.join(graph.linked, "world", "left_anti").orderBy("world").collect()]
+    if strange:
+        raise ValueError(f"worlds that are not in the frame: {', '.join(strange)}")
+    return truths(graph, [formula], asked).agg(F.coalesce(F.bool_and("f0"), F.lit(True)).alias("truth"))
+
+
 def universally_true(graph: Graph, formula: Formula, worlds: DataFrame | None = None) -> DataFrame:
     """One row: whether a formula is true in all labelled worlds, or in all given."""
     found = truths(graph, [formula], graph.labelled if worlds is None else worlds)
@@ -103,4 +112,4 @@ def quantified(items: DataFrame, predicate: Column, every: bool) -> DataFrame:
     return items.agg(F.coalesce((F.bool_and if every else F.bool_or)(predicate), F.lit(every)).alias("truth"))
 
 
-__all__ = ["And", "Box", "Diamond", "Formula", "Imp", "Not", "Or", "Var", "quantified", "satisfying", "satisfying_in_frame", "true_in", "truths", "universally_true"]
+__all__ = ["And", "Box", "Diamond", "Formula", "Imp", "Not", "Or", "Var", "quantified", "satisfying", "satisfying_in_frame", "true_in", "true_in_frame", "truths", "universally_true"]

@@ -7,6 +7,8 @@ negation needs all pairs, as all but few of them are its result.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,15 @@ def all_of(graph: Graph, terms: DataFrame) -> DataFrame:
     return held.join(need, "formula_of").filter("held = need").select(PAIR)
 
 
+def ahead(graph: Graph) -> Graph:
+    """The graph in which worlds have the formulas of the worlds they link to: a disjunction there is the diamond of one here.
+
+    A world has a formula once, however many of its successors share it, before pairs are made.
+    """
+    reached = graph.lam.select(F.col("world").alias("target"), "formula").join(graph.links, "target").select(F.col("source").alias("world"), "formula").distinct()
+    return replace(graph, lam=reached)
+
+
 def within(pairs: DataFrame, worlds: DataFrame) -> DataFrame:
     return pairs.join(worlds, "world", "left_semi").select(PAIR)
 
@@ -71,17 +82,18 @@ def scheme(graph: Graph, name: str, scores: DataFrame | None = None, percent: in
         terms = cut_percent(scores, percent) if name == "tfidf_cut_ored" else top_percent(scores, percent)
         if name == "similar_successor":
             terms = terms.join(worlds, "world", "left_semi")
-            near = diamond(graph, any_of(graph, terms))
+            near = any_of(ahead(graph), terms)
             return within(all_of(graph, terms).join(near, PAIR, "left_semi"), worlds)
-        pairs = any_of(graph, terms)
-        return within(diamond(graph, pairs) if name.endswith("_diamonded") else pairs, worlds)
+        return within(any_of(ahead(graph) if name.endswith("_diamonded") else graph, terms), worlds)
     parts = name.split("_")
     if parts[0] != "lambda" or parts[1] not in ("anded", "ored") or set(parts[2:]) - {"diamonded", "boxed", "negated"}:
         raise ValueError(f"no scheme {name!r}")
     formulas = graph.lam.select(F.col("world").alias("formula_of")).distinct()
-    pairs = (all_of if parts[1] == "anded" else any_of)(graph, graph.lam)
-    if "diamonded" in parts:
-        pairs = diamond(graph, pairs)
+    if parts[1] == "anded":
+        pairs = all_of(graph, graph.lam)
+        pairs = diamond(graph, pairs) if "diamonded" in parts else pairs
+    else:
+        pairs = any_of(ahead(graph) if "diamonded" in parts else graph, graph.lam)
     if "boxed" in parts:
         pairs = boxed(graph, pairs, formulas, worlds)
     return negated(pairs, formulas, worlds) if "negated" in parts else within(pairs, worlds)

@@ -178,9 +178,12 @@ def raw_terms(parsed: DataFrame, main: bool) -> DataFrame:
 def labels(parsed: DataFrame, lambda_type: str) -> DataFrame:
     """(world, formula, frmcount) of one of the six types: Mta or Bdy for the part, Raw, Stem or Soundex for the form."""
     raw = raw_terms(parsed, lambda_type.startswith("Mta"))
-    counted = raw.groupBy("world", "formula").agg(F.count(F.lit(1)).alias("n"))  # forms are made once for each different term of a world
+    counted = raw.groupBy("world", "formula").agg(F.count(F.lit(1)).alias("n"))
     if lambda_type.endswith("Stem"):
-        counted = counted.join(page_language(parsed), "world", "left").select("world", stemmed("formula", "language").alias("formula"), "n")
+        named = counted.join(page_language(parsed), "world", "left")
+        # each word is stemmed once in each language; words of no known language stay
+        stems = named.filter("language is not null").select("language", "formula").distinct().withColumn("stem", stemmed("formula", "language"))
+        counted = named.join(stems, ["language", "formula"], "left").select("world", F.coalesce("stem", "formula").alias("formula"), "n")
     elif lambda_type.endswith("Soundex"):
         counted = counted.select("world", soundex_code(F.col("formula")).alias("formula"), "n").filter("formula is not null")
     elif not lambda_type.endswith("Raw"):

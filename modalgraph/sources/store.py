@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.terms import url_domain
 from ..model import LAMBDA_TYPES, Graph
 from ..operators.tfidf import scored
 from ..operators.traverse import pagerank
-from .pages import host_links, labels, page_language, page_links, parsed
+from .pages import folded, host_links, labels, page_language, page_links, parsed
 from .shared import saved
 
 SCHEMAS = {
@@ -55,6 +56,19 @@ class Store:
         self.write("lambda", rows, "lambda_type")
         self.write("world_stem_lang", page_language(found))
 
+    def fold_labels(self) -> None:
+        """Adds the labels of pages to those of their domains; pages that are not their domain go, from languages too.
+
+        Scores have to be computed anew.
+        """
+        rows = None
+        for kind in LAMBDA_TYPES:
+            own = folded(self.labels(kind)).select("world", "formula", "frmcount", F.lit(None).cast("double").alias("tfidf"), F.lit(kind).alias("lambda_type"))
+            rows = own if rows is None else rows.union(own)
+        self.write("lambda", rows, "lambda_type")
+        domain = url_domain(F.col("world"))
+        self.write("world_stem_lang", self.table("world_stem_lang").filter((domain == "") | (domain == F.col("world"))))
+
     def score_labels(self) -> None:
         """Tf-idf of all labels, by type."""
         rows = None

@@ -52,6 +52,17 @@ def test_formulas_take_the_stem_of_each_world(spark, tmp_path):
     assert [x.split("\t")[0] for x in asked(spark, folder, "-g", "kinder", *stem)["tfidfsearch"]] == ["http://a.com", "http://b.de"]
 
 
+def test_labels_of_pages_fold_into_their_domains(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = [("http://a.com", '<html lang="en"><title>dogs</title><a href="http://a.com/sub">x</a></html>'), ("http://a.com/sub", '<html lang="en"><title>dogs cats</title></html>')]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{folder}/pages")
+    asked(spark, folder, "--relaccrel", "http://a.com", "-l")
+    assert asked(spark, folder, "--plformula", "(Var cats)", "--lambdatype", "MtaRaw")["plformula"] == ["http://a.com/sub"]
+    got = asked(spark, folder, "--foldlambda", "--tfidfcalc", "--lamaccum", "--plformula", "(Var cats)", "--lambdatype", "MtaRaw")
+    assert got["plformula"] == ["http://a.com"] and got["lamaccum"][0].startswith("dogs\t2\t")
+    assert [r["world"] for r in spark.read.parquet(f"{folder}/store/world_stem_lang").collect()] == ["http://a.com"]
+
+
 def test_links_within_a_host(spark, where):
     cli.run(spark, ["--store", f"{where}/other", "--pages", f"{where}/pages", "--relaccrel", "http://a.com"])
     assert [tuple(r) for r in spark.read.parquet(f"{where}/other/links").collect()] == [("http://a.com", "http://a.com/sub")]

@@ -263,3 +263,10 @@ def test_tables_of_queries_go_on_request(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert spark.read.parquet(other).count() == 1 and shared.saved(frame(spark, {("b", 2)}, "x string, n int")).count() == 1
+
+
+def test_worlds_outside_a_frame_are_an_error(spark):
+    g = graph(spark)
+    assert modal.true_in_frame(g, parse("(<> (Var p))"), ["a", "b"]).head()["truth"]
+    with pytest.raises(ValueError, match="alone"):
+        modal.true_in_frame(g, parse("(Var p)"), ["a", "alone"])
