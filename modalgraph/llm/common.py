@@ -36,8 +36,16 @@ def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Estimated bytes of a table's columns for each part of a shuffle, and the most parts.
+PART_BYTES, MOST_PARTS = 32 << 20, 100_000
+
+
+def partitions(table: DataFrame) -> int:
+    """Parts of a shuffle of a table: as many as the session has, and more where the table is estimated to need them."""
+    spark = table.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, min(size // PART_BYTES, MOST_PARTS))  # tables without statistics count as endless
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -157,12 +157,11 @@ def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (center, member) those that are similar, as (a, b)."""
-    spark = pairs.sparkSession
     salt: Column = F.pmod(F.xxhash64("member"), F.col("tasks"))
     sized = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("tasks"))
     members = pairs.join(sized, "center").select("center", salt.cast("int").alias("salt"), "member").join(texts.withColumnRenamed("doc_id", "member"), "member").select("center", "salt", "member", "text")
     centers = sized.join(texts.withColumnRenamed("doc_id", "center"), "center").select("center", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
-    dealt = centers.union(members).repartition(partitions(spark), "center", "salt").sortWithinPartitions("center", "salt", F.col("member").asc_nulls_first())
+    dealt = centers.union(members).repartition(partitions(texts), "center", "salt").sortWithinPartitions("center", "salt", F.col("member").asc_nulls_first())
     return dealt.select("center", "member", "text").mapInArrow(_compare, "a long, b long")
 
 
@@ -247,7 +246,7 @@ def across_classes(mates: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = outside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = outside.join(blocks, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "label", "rep")
     met = mates.join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "label", "rep")
-    rows = held.union(met).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition(partitions(mates.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "side", "rep")
+    rows = held.union(met).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition(partitions(texts), "bucket", "block").sortWithinPartitions("bucket", "block", "side", "rep")
     return rows.mapInArrow(_compare_blocks, "a long, b long")
 
 

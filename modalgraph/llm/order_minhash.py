@@ -132,7 +132,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ranges of ids are cut at ids that occur; a document at which a range begins is also sent, as a ghost, to the range before
     it, so every neighbour is found in one exchange.  The cuts are at most one for each partition.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    spark, n = docs.sparkSession, partitions(docs)
     got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n), F.max("doc_id")).head()
     cuts = sorted({*(got[0] or []), *([] if got[1] is None else [got[1]])}, reverse=True) or [0]
     # a key for each range that hash partitioning sends to a partition of its own

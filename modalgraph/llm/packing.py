@@ -178,7 +178,7 @@ def _place(batches: Iterator[pa.RecordBatch], table: dict[int, np.ndarray]) -> I
 
 def ranked(pieces: DataFrame) -> DataFrame:
     """Adds ``rank``: the place of each piece among those of its length, from 0, counted in dealt buckets."""
-    n = partitions(pieces.sparkSession)
+    n = partitions(pieces)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("many"))

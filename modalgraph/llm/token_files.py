@@ -42,7 +42,9 @@ class Writer:
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def append(self, ids: np.ndarray) -> int:
-        """Adds ids; returns the place of the first."""
+        """Adds ids; returns the place of the first.  Ids that do not fit are an error."""
+        if self.kind is np.uint16 and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError(f"id {int(ids.max())} needs a file of wide ids")
         place = self.written + self.held
         self.rest.append(ids.astype(self.kind))
         self.held += len(ids)
@@ -121,10 +123,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
 
     The order is dealt by range, so each task writes one file of neighbouring documents; ``wide`` stores ids over 65,535.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
     return saved(dealt.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, wide=wide), INDEX), "token-index")
 
 

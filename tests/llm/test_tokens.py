@@ -184,3 +184,23 @@ def test_bpe_digests_offsets_and_decoding(odd, odd_rows, ranked):
     row = encoded.filter("doc_id = 28").head()
     tokens = [ranked.decode_single_token_bytes(i) for i in row["ids"]]
     assert row["offsets"] == np.cumsum([0, *map(len, tokens)])[:-1].tolist()
+
+
+def test_ids_that_do_not_fit_are_an_error(tmp_path):
+    with pytest.raises(ValueError, match="wide"):
+        token_files.Writer(str(tmp_path / "x.arrow")).append(np.array([1, 65_536]))
+    assert token_files.Writer(str(tmp_path / "y.arrow"), wide=True).append(np.array([1, 65_536])) == 0
+
+
+def test_parts_of_a_shuffle_follow_the_table(spark, tmp_path):
+    from modalgraph.llm import common
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions(spark.createDataFrame([(1, "a")], "a int, b string")) == least
+    spark.range(200_000).write.parquet(f"file://{tmp_path}/t")
+    table, before = spark.read.parquet(f"file://{tmp_path}/t"), common.PART_BYTES
+    try:
+        common.PART_BYTES = 10_000
+        assert common.partitions(table) > least
+    finally:
+        common.PART_BYTES = before
