@@ -22,6 +22,8 @@ last is the first, so a single one is its own neighbour; an empty table gives no
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,25 +128,47 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 10, "0")), ""))
 
 
+_LEAST = -(1 << 63)
+
+
+def range_starts(docs: DataFrame, n: int) -> list[tuple[int | None, int, bool]]:
+    """Where about n ranges of documents begin, as (doc_id, text hash, whether that hash has to be met), by descending id, nulls last.
+
+    Ranges begin at ids that occur.  An id that more than one range would begin at, or null if so many rows have it, has ranges of
+    its own, by equal parts of the hashes of its texts; these begin at the least hash that occurs in each.
+    """
+    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).head()
+    often = Counter(got[0] or [])
+    parts: dict[int | None, int] = {v: many for v, many in often.items() if many > 1}
+    if got[2] and (nulls := round(n * got[3] / got[2])) > 1:
+        parts[None] = nulls
+    starts = [(v, _LEAST, False) for v in {*often, *([] if got[1] is None else [got[1]])} - parts.keys()]
+    if parts:
+        many = docs.sparkSession.createDataFrame(list(parts.items()), "hot long, parts int")
+        hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("hot")))
+        own = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("parts"))
+        starts += [(r["hot"], r["h"], True) for r in hashed.groupBy("hot", own.alias("part")).agg(F.min("h").alias("h")).collect()]  # at most n rows
+    return sorted(starts, key=lambda s: (s[0] is None, -(s[0] or 0), s[1])) or [(None, _LEAST, False)]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) beside the text and fingerprint of the next one, by descending doc_id, the first after the last.
 
-    Ranges of ids are cut at ids that occur; a document at which a range begins is also sent, as a ghost, to the range before
-    it, so every neighbour is found in one exchange.  The cuts are at most one for each partition.
+    A document at which a range begins is also sent, as a ghost, to the range before it, so every neighbour is found in one
+    exchange.
     """
     spark, n = docs.sparkSession, partitions(docs)
-    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n), F.max("doc_id")).head()
-    cuts = sorted({*(got[0] or []), *([] if got[1] is None else [got[1]])}, reverse=True) or [0]
+    found = range_starts(docs, n)
     # a key for each range that hash partitioning sends to a partition of its own
     keyed = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("to")).agg(F.min("id").alias("key")).collect()
     key_of = {r["to"]: r["key"] for r in keyed}
-    keys = F.array(*(F.lit(key_of.get(k % n, k)).cast("long") for k in range(len(cuts))))
-    starts = F.array(*(F.lit(c).cast("long") for c in cuts))
-    home = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) - 1)).otherwise(F.size(F.filter(starts, lambda c: c >= F.col("doc_id"))) - 1)
-    place = F.array_position(starts, F.col("doc_id")).cast("int")
-    ghost = F.when(place == 1, F.lit(len(cuts) - 1)).when(place > 1, place - 2)
-    if got[1] is None:
-        ghost = F.lit(0)  # ids are all null: each is also a ghost of the only range
+    keys = F.array(*(F.lit(key_of.get(k % n, k) + (0 if k < n else 64 * n * (k // n))).cast("long") for k in range(len(found))))
+    starts = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h"), F.lit(met).alias("met")) for i, h, met in found))
+    own, h = F.col("doc_id"), F.xxhash64("text")
+    begun = lambda s: F.when(s["id"].isNull(), own.isNull() & (s["h"] <= h)).otherwise(own.isNull() | (s["id"] > own) | ((s["id"] == own) & (s["h"] <= h)))
+    home = F.greatest(F.size(F.filter(starts, begun)) - 1, F.lit(0))
+    place = F.array_position(F.transform(starts, lambda s: s["id"].eqNullSafe(own) & (~s["met"] | (s["h"] == h))), True).cast("int")
+    ghost = F.when(place == 1, F.lit(len(found) - 1)).when(place > 1, place - 2)
     sent = docs.select("doc_id", "text", F.posexplode(F.filter(F.array(home, ghost), lambda x: x.isNotNull())).alias("ghost", "range"))
     dealt = sent.select("doc_id", "text", "ghost", F.get(keys, F.col("range")).alias("range")).repartition(n, "range")
     dealt = fingerprinted(dealt, "text", "own")

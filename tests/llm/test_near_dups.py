@@ -290,6 +290,20 @@ def test_a_single_document_is_its_own_neighbour(spark):
     assert [r["next_text"] for r in order_minhash.with_next(docs).collect()] == ["a b c"]
 
 
+@pytest.mark.parametrize("case", ["plain", "hot", "nulls", "all null", "one id", "repeats"])
+def test_neighbours_of_hot_and_null_ids(spark, case):
+    rng = random.Random(21)
+    ids = {"plain": range(40), "hot": [7] * 30 + [*range(20)], "nulls": [None] * 30 + [*range(10)], "all null": [None] * 25, "one id": [3] * 25, "repeats": [1, 1, 2, 2, None, None]}[case]
+    rows = [(d, "same text" if case == "repeats" else prose(rng, 3)) for d in ids]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in order_minhash.with_next(docs).collect()) == want
+    starts = order_minhash.range_starts(docs, 4)
+    assert len(starts) <= 9 and (len({s[0] for s in starts}) < len(starts)) == (case not in ("plain", "repeats"))
+
+
 def test_arrow_column_slices():
     column = pa.array(["zz", None, "a b c d e f", "", "x"])[1:]
     s = near_dups.Shingles(column)
