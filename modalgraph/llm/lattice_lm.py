@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, lowered, mix, saved, source_table, sums, text_bytes
 
 #: ``PRIOR``: uses of pieces, by their first probabilities, that are added to those of the training words.
-FREQUENT, ROUNDS, PRIOR, DISCOUNT = 20_000, 2, 200.0, 0.75
+FREQUENT, ROUNDS, PRIOR, DISCOUNT = 500_000, 2, 200.0, 0.75
 #: Classes of texts, buckets of their words, and texts of the sample in which the classes start.
 CLASSES, BUCKETS, SAMPLE = 12, 1 << 12, 2_000
 #: The classes start from the best of so many fits to the sample; each is fitted until the likelihood rises by less than a share of it.
