@@ -23,7 +23,7 @@ _cut_languages = lambda d: saved(_languages(d), "languages")
 add("url_domain", lambda d: d.table("pages").select("url", url_domain(F.col("url")).alias("domain")), "", f"SELECT url, {DOMAIN} AS domain FROM pages")
 add("url_key", lambda d: d.table("pages").select("url", without_last_slash(F.col("url")).alias("key"), joined_url(F.col("url"), F.lit("/feed")).alias("joined")), "", "SELECT url, regexp_replace(url, '/$', '') AS key, regexp_replace(url, '/$', '') || '/feed' AS joined FROM pages")
 add("html_lang", lambda d: _parsed(d).select("url", "lang"), "", "SELECT url, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang FROM pages")
-add("page_title", lambda d: _parsed(d).select("url", F.get("title", 0).alias("title")), "", f"SELECT url, {UNESCAPED.format(h='t')} AS title FROM (SELECT url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) x")
+add("page_title", lambda d: _parsed(d).select("url", F.when(F.col("title").isNotNull(), F.coalesce(F.get("title", 0), F.lit(""))).alias("title")), "", f"SELECT url, {UNESCAPED.format(h='t')} AS title FROM (SELECT url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) x")
 add("page_headlines", lambda d: _parsed(d).select("url", F.explode("headlines").alias("headline")), "", f"SELECT url, {UNESCAPED.format(h='t')} AS headline FROM (SELECT url, unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)) AS t FROM pages) x")
 add("feed_link", lambda d: pages.feed_links(_parsed(d)), "", "SELECT url AS world, '' AS feed FROM pages WHERE html LIKE '%<link rel=%'")
 REL = LINKS + f", l AS (SELECT DISTINCT url AS source, {DOMAIN} || h AS target FROM a WHERE h LIKE '/%')"

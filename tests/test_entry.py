@@ -45,7 +45,7 @@ def test_query_gives_what_its_sql_gives(spark, database, name):
 CUT = ["der&amp;&amp;&amp", "the&amp;&am", "und&amp;&a", "of&amp;&", "a &lt", "b &quo", "c &quot", "d&#x27;&#x27", "e&#x2", "f &amp;lt; &gt;", "g &ampx"]
 
 
-@pytest.mark.parametrize("name", ["page_headlines"])
+@pytest.mark.parametrize("name", ["page_headlines", "page_title"])
 def test_query_gives_what_its_sql_gives_on_cut_references(spark, tmp_path, name):
     html = [f"<html><head><title>{t}</title></head><body><h1>{t}</h1><p>&copy; text</p></body></html>" for t in CUT]
     spark.createDataFrame([(f"http://a.com/{n}", h) for n, h in enumerate(html)], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
@@ -58,6 +58,17 @@ def test_query_gives_what_its_sql_gives_on_cut_references(spark, tmp_path, name)
     assert canonical(got.select(columns).collect()) == canonical(want)
 
 
+def test_title_of_pages_without_one(spark, tmp_path):
+    html = ["<html><body>no title</body></html>", "<html><title></title><h1>empty</h1></html>", "", None, "<html><title>one</title></html>"]
+    spark.createDataFrame([(f"http://a.com/{n}", h) for n, h in enumerate(html)], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["page_title"](spark, str(tmp_path)).select("title", "url").collect()
+    with duckdb.connect() as database:
+        database.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = database.sql(f"SELECT title, url FROM ({registry.ORACLES['page_title']}) x").fetchall()
+    assert [t for t, _ in sorted(want, key=lambda r: r[1])] == ["", "", "", None, "one"]
+    assert canonical(got) == canonical(want)
+
+
 @pytest.mark.parametrize("name", ["lambda_body_stem", "lambda_main_soundex", "crawl_depth_2", "links_rel", "fml_as_soundex", "soundex_terms"])
 def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).count() > 0

@@ -33,6 +33,11 @@ def test_unclosed_script_and_missing_parts():
     assert Page('<html xml:lang="fr">').lang == "fr"
 
 
+def test_titles_with_references_without_a_semicolon():
+    page = Page("<title>a &amp;&amp &copy;</title>")
+    assert page.closed["title"] == ["a &&amp ©"] and page.titles == ["a && ©"]
+
+
 def test_references_without_a_semicolon():
     page = Page('<h1>a &amp;&amp &copy;</h1><p>b &copy 1</p><style>c&amp;d &lt</style><h2><style>e&amp;f</style></h2><a href="/x?a&amp;b&lt">g &amp</a>&quot')
     assert page.closed["h1"] == ["a &&amp ©"] and page.headlines["h1"] == ["a && ©"]
